@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import decontamination, packing, quality_rules, token_files
 
-MODULES = [token_files, packing]
+MODULES = [quality_rules, token_files, decontamination, packing]
 
 
 def queries() -> dict:
