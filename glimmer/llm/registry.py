@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, token_files
+from . import decontamination, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_files
 
-MODULES = [quality_rules, token_files, decontamination, packing]
+MODULES = [quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan]
 
 
 def queries() -> dict:

@@ -94,17 +94,20 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def words_of(part: Slice, values: np.ndarray = BYTE_VALUES) -> Words:
-    buf, offsets = part.buf, part.offsets
-    inside = ~IS_SPACE[buf]
-    edge = np.zeros(len(buf) + 1, bool)
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of set bytes; a run ends with its row."""
+    edge = np.zeros(len(inside) + 1, bool)
     edge[offsets] = True
     begin = inside.copy()
     begin[1:] &= ~inside[:-1] | edge[1:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    return Words(segment_hashes(buf, starts, ends, values), starts, ends, np.searchsorted(starts, offsets))
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
+def words_of(part: Slice, values: np.ndarray = BYTE_VALUES) -> Words:
+    starts, ends = runs_of(~IS_SPACE[part.buf], part.offsets)
+    return Words(segment_hashes(part.buf, starts, ends, values), starts, ends, np.searchsorted(starts, part.offsets))
 
 
 def window_sums(hashes: np.ndarray, width: int) -> np.ndarray:
