@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_files
+from . import decontamination, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
 
-MODULES = [quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan, substring_dedup]
+MODULES = [quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan, suffix_dedup, substring_dedup]
 
 
 def queries() -> dict:
