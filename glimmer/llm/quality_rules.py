@@ -34,13 +34,13 @@ PRECISION, SUPPORT = 0.95, 0.005
 STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct"]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts in STATS of every row (null text: zeros); repeated rows stay."""
+def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the counts in STATS of every row (null text: zeros); repeated rows stay."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    d = docs.select("doc_id", text.alias("text"))
-    d = d.select("doc_id", words(F.col("text")).alias("w"), lines.alias("l"), F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).alias("word_chars"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).alias("n_symbols"))
-    d = d.select("doc_id", "word_chars", "n_symbols", F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    d = docs.select(*keys, text.alias("text"))
+    d = d.select(*keys, words(F.col("text")).alias("w"), lines.alias("l"), F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).alias("word_chars"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).alias("n_symbols"))
+    d = d.select(*keys, "word_chars", "n_symbols", F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     d = d.withColumn("w5", windows("h", 5))
     # windows found twice: equal neighbours in sorted order; only texts that have any are sorted
     d = d.withColumn("s", F.when(F.size("w5") > F.size(F.array_distinct("w5")), F.array_sort(F.transform("w5", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
@@ -49,8 +49,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("p", F.array_sort(F.transform(F.filter(s, lambda e, k: F.coalesce(same(e, k - 1), F.lit(False)) | F.coalesce(same(e, k + 1), F.lit(False))), lambda e: e.getField("i"))))
     p = F.col("p")
     covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(5), F.coalesce(F.get(p, k + 1) - x, F.lit(5)))), F.lit(0), lambda a, x: a + x)
-    d = d.select("doc_id", F.size("h").alias("n_words"), "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).alias("n_repeat_words"), F.size(F.array_distinct("h")).alias("n_distinct"))
-    return d.select("doc_id", *(F.col(c).cast("long") for c in STATS))
+    d = d.select(*keys, F.size("h").alias("n_words"), "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).alias("n_repeat_words"), F.size(F.array_distinct("h")).alias("n_distinct"))
+    return d.select(*keys, *(F.col(c).cast("long") for c in STATS))
 
 
 def ratios() -> dict[str, Column]:
@@ -146,15 +146,15 @@ def expression(rules: list[list[Condition]]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, STATS, ``base_failed``, ``rule`` (int, null: none) and ``kept`` of every row.
+def judge(docs: DataFrame, labels: DataFrame, keys: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
+    """``keys`` (with ``doc_id``), STATS, ``base_failed``, ``rule`` (int, null: none) and ``kept`` of every row.
 
     ``labels (doc_id, quality)``: 0 is to be rejected; of repeated labels the least
     counts. Without labels, or where no rule is precise, only the base rule rejects.
     """
-    stats = materialize(statistics(docs), "quality-statistics")
+    stats = materialize(statistics(docs, list(keys)), "quality-statistics")
     rules = learn(cells(stats, labels))
-    return stats.select("doc_id", *STATS, base_failed().alias("base_failed"), expression(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return stats.select(*keys, *STATS, base_failed().alias("base_failed"), expression(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
