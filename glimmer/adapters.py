@@ -27,8 +27,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpack(packed: DataFrame, *keys: str, values: str = "trace") -> DataFrame:
-    """One row a sample: keys, ``t`` and ``y``."""
-    return packed.select(*keys, F.posexplode(values).alias("t", "y"))
+    """One row a sample: keys, ``t`` and ``y``.
+
+    The outer form: for the inner one Spark first tests the array's size, and would
+    compute the array twice for that.
+    """
+    return packed.select(*keys, F.posexplode_outer(values).alias("t", "y")).where("t is not null")
 
 
 def movie(spark: SparkSession, sf_dir: str) -> DataFrame:

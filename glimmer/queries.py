@@ -199,7 +199,7 @@ def _(spark, sf):
 
 
 _EDGE_SQL = f"{_GRAM_SQL}, {TRACE_SQL}, s as (select k1 as k, sqrt(v) as s from gram where k1 = k2), e as (select k1, k2 from gram join s a on a.k = k1 join s b on b.k = k2 where k1 < k2 and v / (a.s * b.s) > 0.15), edge as (select k1, k2, corr(x.y, z.y) as rho from e join trace x on x.k = k1 join trace z on z.k = k2 and z.t = x.t group by k1, k2 having corr(x.y, z.y) >= 0.35)"
-_CC_SQL = f"{_EDGE_SQL}, both as (select k1 as a, k2 as b from edge union all select k2, k1 from edge), reach as (select a as k, b as r from both union select reach.k, both.b from reach join both on both.a = reach.r), comp as (select k, least(k, min(r)) as component from reach group by k)"
+_CC_SQL = f"{_EDGE_SQL}, bi as (select k1 as a, k2 as b from edge union all select k2, k1 from edge), reach as (select a as k, b as r from bi union select reach.k, bi.b from reach join bi on bi.a = reach.r), comp as (select k, least(k, min(r)) as component from reach group by k)"
 
 
 def _edges(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries as base
+from . import numeric_queries, queries as base  # noqa: F401  numeric_queries adds to the same tables
 
 
 def queries() -> dict:
