@@ -25,7 +25,10 @@ from .shared import materialize, small_side
 from .words import Slice, slices
 
 KEY = ["doc_id", "tkey"]
-ACTIONS = "array<struct<i:int,remove:boolean,open:boolean,copies:long>>"
+#: What to do with run i of a text: 8 i + REMOVE, or 8 i + OPEN (compare it), the latter + COPIED if an equal run exists.
+REMOVE, OPEN, COPIED = 1, 2, 4
+#: Names of repeated anchors are broadcast up to this size, 16 bytes each.
+NAME_BYTES = 64 << 20
 
 
 class Runs(NamedTuple):
@@ -105,29 +108,40 @@ def find(docs: DataFrame, units: Units, keep_first: bool) -> Found:
     rows = scanned.select(*KEY, "n_units", "sha").distinct()
     copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY)).alias("first"))
     texts = materialize(rows.join(copies, "sha"), "repeat-texts")
-    alone = texts.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey"))).where(F.col("n_units") >= units.width).select(*KEY)
+    alone = small_side(texts.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey")) & (F.col("n_units") >= units.width)).select(*KEY), 24)
     runs = scanned.join(alone, KEY, "left_semi")
-    runs = runs.select(*KEY, F.posexplode(F.arrays_zip("names", "digests")).alias("i", "x")).select(*KEY, "i", F.col("x.names").alias("name"), F.col("x.digests").alias("digest"))
-    runs = materialize(runs, "repeat-anchors")
-    again = runs.groupBy("name").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("differ")).where("n > 1").select("name", "differ")
-    again = small_side(materialize(again, "repeat-names"), 24)
-    hits = materialize(runs.join(again, "name"), "repeat-hits")
-    equal = hits.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "i")).alias("first"))
-    equal = small_side(materialize(equal, "repeat-equal"), 56)
-    acts = hits.join(equal, "digest")
-    first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey")) & (F.col("first.i") == F.col("i"))
-    remove = ~first if keep_first else F.col("copies") > 1
-    acts = acts.select(*KEY, F.struct("i", remove.alias("remove"), (first & F.col("differ")).alias("open"), "copies").alias("a")).where("a.remove or a.open")
-    acts = acts.groupBy(*KEY).agg(F.array_sort(F.collect_list("a")).alias("acts"))
+    again = runs.select(F.explode_outer("names").alias("name")).groupBy("name").count().where("name is not null and count > 1").select("name")
+    again = small_side(materialize(again, "repeat-names"), 16, NAME_BYTES)
+    runs = runs.select(*KEY, F.posexplode_outer(F.arrays_zip("names", "digests")).alias("i", "x")).select(*KEY, "i", F.col("x.names").alias("name"), F.col("x.digests").alias("digest"))
+    hits = runs.join(again, "name")
+    hits = materialize(hits if scanned.count() == texts.count() else hits.distinct(), "repeat-hits")
+    equal = hits.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "i")).alias("first"), F.first("name").alias("name"))
+    equal = materialize(equal, "repeat-equal")
+    differ = equal.groupBy("name").count().where("count > 1").select("name")
+    opened = equal.join(differ, "name", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey"), (F.col("first.i") * 8 + OPEN + F.when(F.col("copies") > 1, COPIED).otherwise(0)).alias("act"))
+    removed = hits.join(equal.where("copies > 1").select("digest", "first"), "digest")
+    if keep_first:
+        removed = removed.where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.tkey") != F.col("tkey")) | (F.col("first.i") != F.col("i")))
+    acts = opened.union(removed.select(*KEY, (F.col("i") * 8 + REMOVE).alias("act"))).groupBy(*KEY).agg(F.collect_list("act").alias("acts"))
+    acts = materialize(acts, "repeat-acts")
     involved = materialize(keyed(docs).join(acts, KEY), "repeat-involved")
-    return Found(texts, involved)
+    return Found(texts, involved if involved.count() == acts.count() else involved.dropDuplicates(KEY))
 
 
-def open_runs(part: Slice, units: Units, acts: list) -> tuple[Runs, list[tuple[int, int]]]:
-    """Runs of a slice, and (run, copies) of those that are to be compared."""
+def flags(batch: pa.RecordBatch, column: str, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(row in the slice, value) of a list column's entries; null lists have none."""
+    lists = batch.column(column).slice(part.first, part.n)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(part.n), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def open_runs(part: Slice, units: Units, batch: pa.RecordBatch) -> tuple[Runs, np.ndarray, np.ndarray]:
+    """Runs of a slice, which of them are to be compared, and whether they have copies (2) or not (1)."""
     r = units.runs(part)
     bounds = np.searchsorted(r.row, np.arange(part.n + 1))
-    return r, [(int(bounds[row]) + a["i"], a["copies"]) for row in range(part.n) for a in acts[part.first + row] if a["open"]]
+    row, acts = flags(batch, "acts", part)
+    wanted = (acts & OPEN) > 0
+    return r, bounds[row[wanted]] + (acts[wanted] >> 3), 1 + ((acts[wanted] & COPIED) > 0)
 
 
 def finish(found: Found, units: Units, spans: DataFrame, keep_first: bool) -> DataFrame:
@@ -136,29 +150,30 @@ def finish(found: Found, units: Units, spans: DataFrame, keep_first: bool) -> Da
 
     def run(batches):
         for batch in batches:
-            acts, starts = batch.column("acts").to_pylist(), batch.column("starts").to_pylist()
             for part in slices(batch.column("text")):
                 r = units.runs(part)
-                bounds = np.searchsorted(r.row, np.arange(part.n + 1))
-                removed, n_spans, sha = [], [], []
-                for row in range(part.n):
-                    size = int(r.bounds[row + 1] - r.bounds[row])
-                    change = np.zeros(size + 1, np.int32)
-                    whole = bounds[row] + np.array([a["i"] for a in acts[part.first + row] if a["remove"]], np.int64)
-                    np.add.at(change, r.start[whole], 1)
-                    np.add.at(change, r.start[whole] + r.count[whole] - 1 + units.width, -1)
-                    own = np.array(starts[part.first + row] or [], np.int64)
-                    np.add.at(change, own, 1)
-                    np.add.at(change, own + units.width, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    removed.append(int(gone.sum()))
-                    n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if size else 0)
-                    text = part.buf[part.offsets[row] : part.offsets[row + 1]].tobytes()
-                    sha.append(sha256(units.kept(text, gone)).hexdigest())
+                runs = np.searchsorted(r.row, np.arange(part.n + 1))
+                row, acts = flags(batch, "acts", part)
+                whole = runs[row] + (acts >> 3)
+                whole = whole[(acts & REMOVE) > 0]
+                at, single = flags(batch, "starts", part)
+                base = r.bounds[:-1]
+                begin = np.concatenate([base[r.row[whole]] + r.start[whole], base[at] + single]).astype(np.int64)
+                end = np.concatenate([base[r.row[whole]] + r.start[whole] + r.count[whole] - 1, base[at] + single]).astype(np.int64) + units.width
+                size = int(r.bounds[-1])
+                gone = np.cumsum(np.bincount(begin, minlength=size + 1)[:size] - np.bincount(end, minlength=size + 1)[:size]) > 0
+                head = gone.copy()
+                head[1:] &= ~gone[:-1]
+                inner = base[base < size]
+                head[inner] = gone[inner]
+                removed, heads = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, head))
+                removed, heads = (np.diff(x[r.bounds]) for x in (removed, heads))
+                raw, offsets, bounds = part.buf.tobytes(), part.offsets.tolist(), r.bounds.tolist()
+                sha = [sha256(units.kept(raw[offsets[i] : offsets[i + 1]], gone[bounds[i] : bounds[i + 1]])).hexdigest() for i in range(part.n)]
                 ids = [batch.column(c).slice(part.first, part.n) for c in KEY]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)], [*KEY, "n_removed", "n_spans", "own_sha"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(removed, pa.int64()), pa.array(heads, pa.int64()), pa.array(sha)], [*KEY, "n_removed", "n_spans", "own_sha"])
 
-    changed = found.involved.join(spans, KEY, "left").select(*KEY, "text", "acts", "starts").mapInArrow(run, "doc_id long, tkey long, n_removed long, n_spans long, own_sha string").distinct()
+    changed = found.involved.join(spans, KEY, "left").select(*KEY, "text", "acts", "starts").mapInArrow(run, "doc_id long, tkey long, n_removed long, n_spans long, own_sha string")
     first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey"))
     copied: Column = (F.col("n_units") >= units.width) & (~first if keep_first else F.col("copies") > 1)
     empty = F.sha2(F.lit(""), 256)

@@ -45,12 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast when the counted rows fit ``BROADCAST_BYTES``, else leave a shuffle join.
+def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the counted rows fit ``limit``, else leave a shuffle join.
 
     ``df`` has to be a materialised table, as it is counted here.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
 def union_sides(edges: DataFrame) -> DataFrame:

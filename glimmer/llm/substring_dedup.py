@@ -91,20 +91,17 @@ def compared_windows(involved: DataFrame, units: repeats.Units) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            acts = batch.column("acts").to_pylist()
             keys = [batch.column(c).to_numpy() for c in repeats.KEY]
             for part in slices(batch.column("text")):
-                r, wanted = repeats.open_runs(part, units, acts)
-                if not wanted:
+                r, i, copies = repeats.open_runs(part, units, batch)
+                if not len(i):
                     continue
-                i = np.array([x for x, _ in wanted])
                 count = r.count[i]
                 each = np.repeat(np.arange(len(i)), count)
                 start = np.repeat(r.start[i], count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
                 row = r.row[i][each]
                 w = window_sums(r.units, units.width)[start + r.bounds[row]]
-                copies = np.array([c for _, c in wanted])[each]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64), keys[0][part.first + row], keys[1][part.first + row], start.astype(np.int32), copies)], ["w", *repeats.KEY, "start", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64), keys[0][part.first + row], keys[1][part.first + row], start.astype(np.int32), copies[each])], ["w", *repeats.KEY, "start", "copies"])
 
     return involved.select(*repeats.KEY, "text", "acts").mapInArrow(run, "w long, doc_id long, tkey long, start int, copies long")
 
@@ -117,7 +114,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     units = WordUnits()
     found = repeats.find(docs, units, keep_first=False)
-    windows = materialize(compared_windows(found.involved, units).dropDuplicates([*repeats.KEY, "start"]), "repeat-windows")
+    windows = materialize(compared_windows(found.involved, units), "repeat-windows")
     twice = windows.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
     gone = windows.where("copies = 1").join(twice, "w", "left_semi").groupBy(*repeats.KEY).agg(F.collect_list("start").alias("starts"))
     return repeats.finish(found, units, gone, keep_first=False).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
