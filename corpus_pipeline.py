@@ -16,11 +16,11 @@ from glimmer.llm.tokens import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules keep; of rows with one doc_id each is judged by itself."""
-    labels = table(spark, sf_dir, "labels")
-    tagged = docs.withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rejected = quality_rules.judge(tagged, labels, keys=["doc_id", "own"]).where("not kept").select("doc_id", "own").distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    judged = quality_rules.judge(docs.select("doc_id", "text", own.alias("own")), table(spark, sf_dir, "labels"), keys=["doc_id", "own"])
+    rejected = judged.where("not kept").select(F.col("doc_id").alias("rejected_id"), F.col("own").alias("rejected_own")).distinct()
     rejected = small_side(materialize(rejected, "rejected"), 16)
-    return tagged.join(rejected, tagged["doc_id"].eqNullSafe(rejected["doc_id"]) & (tagged["own"] == rejected["own"]), "left_anti").select(*docs.columns)
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]) & (own == rejected["rejected_own"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

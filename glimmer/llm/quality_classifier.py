@@ -93,7 +93,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int) -> tuple[np.ndarray,
     """
     sample = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = materialize(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "grade-sample")
-    texts = docs.join(F.broadcast(sample), "doc_id").select("text", "grade")  # at most SAMPLE rows of 16 bytes
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade")  # at most SAMPLE rows of 16 bytes
 
     def hashed(batches):
         for batch in batches:
