@@ -29,9 +29,9 @@ from .shared import materialize, small_side, table
 from .words import Slice, mix, powers, window_sums
 
 WIDTH = 100
-GRAM = 24
+GRAM = 40
 #: Bytes of fragments of a bucket, on average, and the fragments of an anchor from which it counts as hot.
-BUCKET_BYTES, HOT = 1 << 20, 2000
+BUCKET_BYTES, HOT = 1 << 20, 500
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _U = np.uint64
@@ -155,13 +155,11 @@ def compared_fragments(involved: DataFrame, units: repeats.Units) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            acts = batch.column("acts").to_pylist()
             keys = [batch.column(c).to_numpy() for c in repeats.KEY]
             for part in repeats.slices(batch.column("text")):
-                r, wanted = repeats.open_runs(part, units, acts)
-                if not wanted:
+                r, i, _ = repeats.open_runs(part, units, batch)
+                if not len(i):
                     continue
-                i = np.array([x for x, _ in wanted])
                 at = (r.bounds[r.row[i]] + r.start[i]).tolist()
                 raw = part.buf.tobytes()
                 data = [raw[a : a + n + WIDTH - 1] for a, n in zip(at, r.count[i].tolist(), strict=True)]
@@ -217,7 +215,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     units = ByteUnits()
     found = repeats.find(docs, units, keep_first=True)
-    fragments = materialize(compared_fragments(found.involved, units).dropDuplicates([*repeats.KEY, "start"]), "fragments")
+    fragments = materialize(compared_fragments(found.involved, units), "fragments")
     hot = small_side(materialize(fragments.groupBy("name").count().where(F.col("count") > HOT).select("name"), "hot-anchors"), 8)
     size = fragments.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
