@@ -22,6 +22,8 @@ BUCKETS = 1 << 22
 #: Bound of the labelled sample.
 SAMPLE = 20_000
 EPOCHS, RATE, DECAY, BATCH = 12, 0.15, 1e-6, 256
+#: Steps at least, for small samples.
+STEPS = 600
 
 
 def features(texts: pa.Array):
@@ -55,7 +57,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> tu
     start = float(t[0])
     w, g2, s2, d2 = np.zeros(len(seen)), np.full(len(seen), 1e-6), 1e-6, np.full(len(gaps), 1e-6)
     order = np.random.Generator(np.random.PCG64(7))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(rows)))) if rows else 0):
         shuffled = order.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             own = shuffled[at : at + BATCH]
