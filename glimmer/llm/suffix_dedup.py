@@ -30,8 +30,9 @@ from .words import Slice, mix, powers, window_sums
 
 WIDTH = 100
 GRAM = 40
-#: Bytes of fragments of a bucket, on average, and the fragments of an anchor from which it counts as hot.
-BUCKET_BYTES, HOT = 1 << 20, 500
+#: Bytes of fragments of a bucket, on average, and the fragments of an anchor from which it counts as hot: about a quarter of a bucket.
+BUCKET_BYTES = 1 << 20
+HOT = BUCKET_BYTES // 512
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _U = np.uint64
