@@ -177,6 +177,49 @@ def convolution_nnls(y: np.ndarray, kernel: np.ndarray, lam: float = 0.0) -> tup
     return k @ s, s
 
 
+def ar2_response(g1: float, g2: float, n: int) -> np.ndarray:
+    """First ``n`` values of the response of an AR(2) process to one spike."""
+    h = np.zeros(n)
+    for t in range(n):
+        h[t] = float(t == 0) + (g1 * h[t - 1] if t else 0.0) + (g2 * h[t - 2] if t > 1 else 0.0)
+    return h
+
+
+def thresholded_spikes(y: np.ndarray, kernel: np.ndarray, smin: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(c, s): non-negative spikes of at least ``smin``; smaller ones are dropped and the others fitted again until none is left."""
+    n = len(y)
+    k = np.stack([np.concatenate([np.zeros(t), kernel[: n - t], np.zeros(max(0, n - t - len(kernel)))]) for t in range(n)], axis=1)
+    s, own = nnls(k, y), np.arange(n)
+    for _ in range(rounds):
+        keep = own[s[own] >= smin]
+        if len(keep) == len(own):
+            break
+        own, s = keep, np.zeros(n)
+        if len(own):
+            s[own] = nnls(k[:, own], y)
+    s[s < smin] = 0.0
+    return k @ s, s
+
+
+def spline_basis(n: int, pieces: int, degree: int = 3) -> np.ndarray:
+    """``n`` by ``pieces + degree`` values of the B-splines over ``pieces`` equal spans of [0, 1], by their recursion."""
+    x = np.linspace(0, 1, n)
+    knots = np.concatenate([np.zeros(degree), np.linspace(0, 1, pieces + 1), np.ones(degree)])
+    last = knots[:-1].searchsorted(1.0) - 1
+    b = np.stack([((a <= x) & (x < z)) | ((i == last) & (x == 1)) for i, (a, z) in enumerate(zip(knots[:-1], knots[1:], strict=True))], axis=1).astype(float)
+    for d in range(1, degree + 1):
+        left = [(x - knots[i]) / (knots[i + d] - knots[i]) * b[:, i] if knots[i + d] > knots[i] else np.zeros(n) for i in range(b.shape[1] - 1)]
+        right = [(knots[i + d + 1] - x) / (knots[i + d + 1] - knots[i + 1]) * b[:, i + 1] if knots[i + d + 1] > knots[i + 1] else np.zeros(n) for i in range(b.shape[1] - 1)]
+        b = np.stack(left, axis=1) + np.stack(right, axis=1)
+    return b
+
+
+def spline_detrended(y: np.ndarray, pieces: int) -> np.ndarray:
+    """The trace less its least-squares cubic spline."""
+    basis = spline_basis(len(y), pieces)
+    return y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
+
+
 def soft_hals(u: np.ndarray, v: np.ndarray, threshold: np.ndarray, mask: np.ndarray, sweeps: int = 40, tol: float = 1e-3) -> np.ndarray:
     """One pixel's weights: coordinate descent with soft thresholds on u = C y, v = C C'."""
     a = np.zeros(len(u))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import numeric_queries, queries as base  # noqa: F401  numeric_queries adds to the same tables
+from . import component_queries, numeric_queries, queries as base  # noqa: F401  they add to the same tables
 
 
 def queries() -> dict:

@@ -85,3 +85,24 @@ def test_patches_cover(length, size, overlap, least):
 def test_half_sample_mode():
     y = np.concatenate([np.random.default_rng(5).standard_normal(300) * 0.1 + 1, [10, 11, 12]])
     assert abs(n.half_sample_mode(y) - 1) < 0.1
+
+
+def test_splines():
+    x = np.linspace(0, 1, 64)
+    basis = n.spline_basis(64, 6)
+    assert np.allclose(basis.sum(axis=1), 1) and (basis >= 0).all() and basis.shape == (64, 9)
+    assert np.allclose(n.spline_detrended(3 * x**3 - x + 2, 6), 0, atol=1e-9)
+    y = np.random.default_rng(4).standard_normal(64)
+    once = n.spline_detrended(y, 6)
+    assert np.allclose(n.spline_detrended(once, 6), once)
+
+
+def test_ar2_spikes():
+    h = n.ar2_response(1.2, -0.4, 80)
+    s = np.zeros(80)
+    s[[5, 30, 33]] = [1.0, 2.0, 0.5]
+    y = np.convolve(s, h)[:80]
+    assert np.allclose(h[2:], 1.2 * h[1:-1] - 0.4 * h[:-2])
+    assert np.allclose(n.convolution_nnls(y, h)[1], s, atol=1e-6)
+    c, found = n.thresholded_spikes(y + 0.01 * np.random.default_rng(6).standard_normal(80), h, 0.3)
+    assert np.allclose(found, s, atol=0.1) and ((found == 0) | (found >= 0.3)).all() and np.allclose(c, np.convolve(found, h)[:80])

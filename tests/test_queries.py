@@ -23,7 +23,7 @@ def test_against_sql(spark, duck, name):
         assert all(p == q or (p is not None and q is not None and abs(float(p) - float(q)) < 2e-5) for p, q in zip(x, y, strict=True)), (x, y)
 
 
-@pytest.mark.parametrize("name", ["oasis_ar1", "onnls", "nnls_spatial", "event_exceptionality", "kde_mode", "fit_patches"])
+@pytest.mark.parametrize("name", ["oasis_ar1", "onnls", "nnls_spatial", "event_exceptionality", "kde_mode", "fit_patches", "oasis_ar2", "thresholded_nnls", "detrend_bspline"])
 def test_rows(spark, name):
     d = QUERIES[name](spark, DATA)
     assert d.count() > 0
