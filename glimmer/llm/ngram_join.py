@@ -4,14 +4,16 @@ A text's set holds the hashes of its distinct shingles of WIDTH words (A-Z lower
 All sets are sorted in one global order, frequent shingles last; two sets whose
 Jaccard similarity reaches PERCENT share a token among their first
 n - ceil(PERCENT n / 100) + 1 ones, their prefixes. Texts with equal sets are one
-node, nodes with equal prefixes and sizes are one group, and only groups are listed
-under their prefix tokens.
+node, nodes with equal prefixes and sizes are one group. The nodes of a group are
+listed under those of its prefix tokens that another group has, and, if there are
+several, under the group's own key, so pairs inside a group are candidates too.
 
 Components are found without all pairs of a token's list: in each round the lists
 that still span several components pick a leader, and every other node is verified
 against it, which settles the large families of near copies in time linear in their
 size. Last, every pair of nodes of different components that a list still holds is
-filtered by the number of prefix tokens it shares and verified, so no link is lost.
+filtered by the number of prefix tokens it shares (a group key stands for all of
+them) and verified, so no link is lost.
 """
 
 from __future__ import annotations
@@ -198,7 +200,7 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``lists (token, node, n, pos)`` with the node's component so far, only of tokens that span several."""
+    """``lists (token, node, n, pos, weight)`` with the node's component so far, only of tokens that span several."""
     known = small_side(materialize(components(links), "join-components"), 24)
     d = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = materialize(d.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"), "join-mixed")
@@ -223,7 +225,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     listed = found.join(heads, ["doc_id", "d1"], "left_semi").select(F.col("doc_id").alias("group"), F.posexplode_outer("prefix").alias("pos", "token")).where("token is not null")
     shared = listed.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
     by_group = listed.join(small_side(materialize(shared, "join-shared"), 12), "token", "left_semi").distinct()
-    lists = materialize(by_group.join(small_side(members, 40), "group").select("token", "node", "n", "pos"), "join-buckets")
+    by_token = by_group.join(small_side(members, 40), "group").select("token", "node", "n", "pos", F.lit(1).cast("long").alias("weight"))
+    # a group's own key: its members share their whole prefixes, more than any link needs
+    several = small_side(materialize(members.where("`group` <> node").select("group").distinct(), "join-several"), 12)
+    by_key = members.join(several, "group", "left_semi").select(F.xxhash64("group", F.lit("group")).alias("token"), "node", "n", F.lit(0).alias("pos"), F.col("n").alias("weight"))
+    lists = materialize(by_token.union(by_key), "join-buckets")
     sizes = small_side(nodes.select("doc_id", "n"), 24)
 
     def sized(pairs: DataFrame) -> DataFrame:
@@ -233,15 +239,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
         need = needed(F.col("na") + F.col("nb"), F.greatest("na", "nb"))
         return d.where(similar_sizes(F.col("na"), F.col("nb")) & (2 * F.col("shared") >= need)).select("a", "b")
 
-    inside = members.select(F.col("group").alias("a"), F.col("node").alias("b"), F.col("n").alias("shared"))
     # a token early in a prefix has few rarer ones before it: such a node has least of its own, and is central in its family
     lead = lists.groupBy("token").agg(F.min(F.struct("pos", "node")).alias("l"))
-    links = verify(docs, sized(inside.union(lists.join(lead, "token").select("l.node", F.col("node").alias("b"), F.lit(1)))), nodes)
+    links = verify(docs, sized(lists.join(lead, "token").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("weight").alias("shared"))), nodes)
     left = labelled(lists, links)
     for k in range(1, LEADER_ROUNDS):
         ranked = F.struct(F.floor(F.log2(F.col("pos") + 1)).alias("p"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")
         lead = left.groupBy("token").agg(F.min(ranked).alias("l"))
-        pairs = left.join(lead, "token").where("component <> l.component").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("shared"))
+        pairs = left.join(lead, "token").where("component <> l.component").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("weight").alias("shared"))
         links = links.union(verify(docs, sized(pairs), nodes))
         left = labelled(left.drop("component"), links)
     # all pairs across components that are left: nodes outside a list's largest component against the list
@@ -255,7 +260,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     both = F.col("x.n") + F.col("y.n")
     across = across & (both - different >= 2 * F.ceil(both * PERCENT / (100 + PERCENT)))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & across)
-    pairs = pairs.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared"), F.first(F.col("x.n") + F.col("y.n")).alias("both"), F.first(F.greatest("x.n", "y.n")).alias("more"))
+    pairs = pairs.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum("x.weight").alias("shared"), F.first(F.col("x.n") + F.col("y.n")).alias("both"), F.first(F.greatest("x.n", "y.n")).alias("more"))
     need = needed(F.col("both"), F.col("more"))
     links = links.union(verify(docs, pairs.where(F.col("shared") >= need).select("a", "b"), nodes))
     same = nodes.join(equal.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))

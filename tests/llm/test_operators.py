@@ -120,6 +120,25 @@ def test_ngram_join_families(spark, seed):
     assert {k: r["component_id"] for k, r in got.items()} == label
 
 
+def test_ngram_join_links_inside_a_group(spark):
+    """Three texts of one size and one prefix: the least doc_id links with neither of the others, which link with each other."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    trials = []
+    for i in range(3000):
+        w = [f"w{i}x{k}" for k in rng.permutation(50)]
+        trials.append([" ".join(x) for x in (w[:6] + w[20:27], w[:13], w[:12] + w[30:31])])
+    found = [own for part in ngram_join.slices(pa.array([t for x in trials for t in x])) for own in ngram_join.shingle_sets(part)]
+    firsts = [{tuple(own[: ngram_join.prefix_length(9)].tolist()) for own in found[3 * i : 3 * i + 3]} for i in range(len(trials))]
+    three = trials[next(i for i, x in enumerate(firsts) if len(x) == 1)]
+    h, m1, m2 = map(sets, three)
+    assert 100 * len(m1 & m2) >= 80 * len(m1 | m2) and 100 * len(h & (m1 | m2)) < 80 * len(m1)
+    docs = spark.createDataFrame(list(enumerate(three)), "doc_id long, text string")
+    assert {k: r["component_id"] for k, r in by_id(ngram_join.similar_components(docs)).items()} == {0: 0, 1: 1, 2: 1}
+    assert {r["doc_id"] for r in ngram_join.keep_one(docs).collect()} == {0, 1}
+
+
 def test_quality_statistics(docs, empty):
     got = by_id(quality_rules.statistics(docs, ["doc_id"]))
     for i, t in corpus():
