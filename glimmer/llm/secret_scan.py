@@ -1,13 +1,15 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Every run of 20 or more characters of ``[A-Za-z0-9+/=_-]`` that no pattern covers is
-a candidate. Its encoding is the smallest of digits, hexadecimal, base 32, lower
+Every run of 20 or more characters of ``[A-Za-z0-9+/_-]``, with the ``=`` that pad its
+end, is a candidate, less what a pattern covers. Its encoding is the smallest of digits, hexadecimal, base 32, lower
 case with digits, base 62 and base 64 that has all its characters. Against that
 alphabet stand three tests: chi-squared uniformity over eight equal parts of the
 alphabet, runs above and below its middle, and serial correlation; a candidate that
 fails one (Bonferroni) is no random string. How unlike text it is gives a p-value:
 the share of equal character pairs, which is near KAPPA in text, falls to one in the
-alphabet's size in random strings. These are counted over all documents by length
+alphabet's size in random strings. Digits and hexadecimal have few characters, so
+their text has a KAPPA of its own, and hexadecimal also changes between letters and
+digits more often than words and numbers do. These are counted over all documents by length
 class, and in each class the Benjamini-Hochberg threshold keeps the expected share
 of false finds under RATE, so short strings need stronger evidence.
 """
@@ -28,7 +30,7 @@ from .words import runs_of, slices
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/=_-]))?")
 KINDS = ["assign", "access", "hex", "random"]
 #: What a text has to hold (in lower case) for a pattern to be worth a try.
 _HINTS = [b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey", b"akia"]
@@ -39,6 +41,11 @@ ALPHABETS += [_UP + _LOW + "0123456789", _UP + _LOW + "0123456789+/", _UP + _LOW
 _PLACE = [{c: i for i, c in enumerate(a)} for a in ALPHABETS]
 #: Share of equal pairs of characters in text; least p-value of the battery; false-discovery rate.
 KAPPA, BATTERY, RATE = 0.065, 0.01, 0.01
+#: Share of equal pairs in numbers (leading digits, by Benford), in English letters a-f alone, and in the mix of both that has fewest.
+KAPPA_DIGITS, KAPPA_A_F = 0.165, 0.261
+KAPPA_HEX = KAPPA_DIGITS * KAPPA_A_F / (KAPPA_DIGITS + KAPPA_A_F)
+#: Share of neighbours that change between letter and digit where words and numbers of five characters alternate.
+CHANGES = 0.2
 #: Length classes begin here; p-values are counted in bins of a tenth of a power of ten, up to 10**-30.
 LENGTHS = [20, 28, 40, 64]
 BINS = 301
@@ -78,7 +85,13 @@ def battery(text: str) -> tuple[float, float]:
     each = np.bincount(at)
     pairs = n * (n - 1) / 2
     equal = float((each * (each - 1) / 2).sum()) / pairs
-    return min(1.0, 3 * min(p)), _tail((KAPPA - equal) / math.sqrt(KAPPA * (1 - KAPPA) / pairs))
+    kappa = {10: KAPPA_DIGITS, 16: KAPPA_HEX}.get(size, KAPPA)
+    unlike = (kappa - equal) / math.sqrt(kappa * (1 - kappa) / pairs)
+    if size == 16:
+        letter = at >= 10
+        changes = int((letter[1:] != letter[:-1]).sum())
+        unlike = (unlike + (changes - CHANGES * (n - 1)) / math.sqrt(CHANGES * (1 - CHANGES) * (n - 1))) / math.sqrt(2)
+    return min(1.0, 3 * min(p)), _tail(unlike)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -93,12 +106,18 @@ def other_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, kind, end, bin, random) of the candidates outside the patterns' matches."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        uniform, like_text = battery(m[0])
-        length = sum(len(m[0]) >= x for x in LENGTHS) - 1
-        strength = min(BINS - 1, int(-10 * math.log10(max(like_text, 1e-300))))
-        out.append((m.start(), 3, m.end(), length * BINS + strength, uniform >= BATTERY))
+        pieces, at = [], m.start()
+        for a, _, b in base:
+            if a < m.end() and m.start() < b:
+                pieces.append((at, a))
+                at = max(at, b)
+        for a, b in [*pieces, (at, m.end())]:
+            if b - a < LEAST:
+                continue
+            uniform, like_text = battery(text[a:b])
+            length = sum(b - a >= x for x in LENGTHS) - 1
+            strength = min(BINS - 1, int(-10 * math.log10(max(like_text, 1e-300))))
+            out.append((a, 3, b, length * BINS + strength, uniform >= BATTERY))
     return out
 
 

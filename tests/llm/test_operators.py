@@ -244,6 +244,33 @@ def test_randomness_battery():
     assert flagged(keys) > 0.9 and flagged(plain) < 0.02
 
 
+def test_secret_candidates_split():
+    """NAME=value, two values in a row, and what is left beside a pattern's match are tested by themselves."""
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ83kLm2Tv"
+    spans = lambda t: [t[a:b] for a, _, b, _, _ in secret_scan.other_spans(t, secret_scan.base_spans(t))]
+    assert spans(f"AWS_ACCESS_KEY_VALUE=x sig={key}") == ["AWS_ACCESS_KEY_VALUE", key] and spans(f"?sig={key}==&x") == [f"{key}=="]
+    assert spans(f"{key}={key}=") == [key, f"{key}="]
+    assert spans("0123456789abcdef" * 2 + "/" + key) == ["/" + key]
+    found = secret_scan.other_spans(f"sig={key}", [])[0]
+    assert found[4] and found[3] % secret_scan.BINS >= 30
+
+
+def test_randomness_battery_small_alphabets():
+    import random
+
+    rng = random.Random(5)
+    strings = lambda alphabet, n: ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
+    flagged = lambda xs, p=1e-3: sum(u >= secret_scan.BATTERY and q < p for u, q in map(secret_scan.battery, xs)) / len(xs)
+    upper, lower, digits = "0123456789ABCDEF", "0123456789abcdef", "0123456789"
+    assert flagged(strings(upper, 32)) > 0.8 and flagged(strings(upper, 64), 1e-6) > 0.9
+    assert flagged(strings(lower, 28)) > 0.7 and flagged(strings(lower, 20), 1e-2) > 0.5
+    assert flagged(strings(digits, 40)) > 0.9 and flagged(strings(digits, 64), 1e-6) > 0.9 and flagged(strings(digits, 20), 1e-2) > 0.4
+    words = ["dead", "beef", "cafe", "face", "decade", "added", "facade", "2024", "1000", "200", "19990", "12"]
+    text = ["".join(rng.choice(words) for _ in range(8)) for _ in range(300)]
+    dates = ["".join(f"20{rng.randrange(10, 25)}{rng.randrange(1, 13):02}{rng.randrange(1, 29):02}" for _ in range(4)) for _ in range(300)]
+    assert flagged(text) < 0.02 and flagged(dates) < 0.02
+
+
 def test_decontamination(spark, docs, empty):
     items = [(0, " ".join(corpus()[12][1].split()[:30])), (1, corpus()[12][1] + " extra words that do not occur anywhere at all in it"), (2, "one two"), (3, None), (4, "never seen words in any of the texts here"), (None, "x")]
     items = spark.createDataFrame(items, "item_id long, text string")
