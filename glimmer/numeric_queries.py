@@ -106,27 +106,34 @@ def _(spark, sf):
     return numerics.map_traces(v.pixels(spark, sf), one, "w array<double>", "px", "trace").select("px", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
 
 
+def _field(spark, sf):
+    """Pixels, and the rows and columns of the grid that holds all of them."""
+    d = v.pixels(spark, sf)
+    last = d.agg(F.max("r")).first()[0]
+    return d, 0 if last is None else last + 1, v.GRID_COLUMNS
+
+
 @query("greedy_init_patch")
 def _(spark, sf):
-    d = plan.fit_patches(v.pixels(spark, sf), 20, 25, plan.FitOptions(sweeps=0))
+    d = plan.fit_patches(*_field(spark, sf), plan.FitOptions(sweeps=0))
     return d.select("patch", "k", F.size("px").alias("n_pixels"), r6(F.array_max("c")).alias("top"))
 
 
 @query("fit_patches")
 def _(spark, sf):
-    d = plan.fit_patches(v.pixels(spark, sf), 20, 25)
+    d = plan.fit_patches(*_field(spark, sf))
     return d.select("patch", "k", F.size("px").alias("n_pixels"), r6(F.array_max("c")).alias("top"))
 
 
 @query("merge_rank1")
 def _(spark, sf):
-    d = plan.merged(plan.fit_patches(v.pixels(spark, sf), 20, 25))
+    d = plan.merged(plan.fit_patches(*_field(spark, sf)))
     return d.select("k", "members", F.size("px").alias("n_pixels"), r6(F.array_max("c")).alias("top"))
 
 
 @query("fit_pipeline")
 def _(spark, sf):
-    d = plan.fit(v.pixels(spark, sf), 20, 25)
+    d = plan.fit(*_field(spark, sf))
     return d.select("k", "members", F.size("px").alias("n_pixels"), r6(F.col("g")).alias("g"), r6(F.col("noise")).alias("noise"), F.size(F.filter("s", lambda x: x > 0)).alias("n_spikes"))
 
 

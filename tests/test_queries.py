@@ -32,3 +32,18 @@ def test_rows(spark, name):
 def test_pipeline(spark):
     got = QUERIES["fit_pipeline"](spark, DATA).toPandas()
     assert len(got) and got.k.is_unique and got.g.between(0, 1).all() and (got.members >= 1).all()
+
+
+def test_patches_cover_larger_tables(spark, tmp_path):
+    """60 rows of pixels: each patch of 12 by 12 starts components, not only those of the first 20 rows."""
+    import numpy as np
+    from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
+
+    from glimmer.operators.patches import axis_spans
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.random(64).tolist()) for i in range(60 * 25)]
+    schema = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType()))])
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = len(axis_spans(60, 12, 4, 3)) * len(axis_spans(25, 12, 4, 3))
+    assert QUERIES["greedy_init_patch"](spark, str(tmp_path)).select("patch").distinct().count() == want
