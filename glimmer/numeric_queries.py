@@ -79,31 +79,34 @@ _trace_query("event_exceptionality", numerics.event_fitness, "fitness double, mo
 _trace_query("kde_mode", numerics.kde_mode, "mode double, level double")
 
 
-def _bases(spark, sf):
-    """Traces of components 0-7, collected: a fixed, small matrix."""
-    rows = v.traces(spark, sf).where("k < 8").orderBy("k").collect()
-    c = np.array([r["c"] for r in rows])
-    return c - c.min()
+def _spatial(spark, sf, solve):
+    """``px, k (array), w (array)``: each pixel on the traces of the components whose footprints hold it, gathered by a join."""
+    c = v.traces(spark, sf)
+    low = c.agg(F.min(F.array_min("c"))).first()[0]
+    own = v.footprints(spark, sf).select("k", "px").join(c, "k").groupBy("px").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("own"))
+    d = v.pixels(spark, sf).select("px", "trace").join(own, "px", "left").select("px", "trace", F.coalesce("own.k", F.array().cast("array<long>")).alias("k"), F.col("own.c").alias("c"))
+
+    def run(frames):
+        for pdf in frames:
+            pdf["w"] = [solve(np.stack(c) - low, np.asarray(y, float)).tolist() if len(k) else [] for k, c, y in zip(pdf.k, pdf.c, pdf.trace, strict=True)]
+            yield pdf[["px", "k", "w"]]
+
+    return d.mapInPandas(run, "px long, k array<long>, w array<double>").select("px", "k", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
 
 
 @query("nnls_spatial")
 def _(spark, sf):
-    c = _bases(spark, sf)
-    d = numerics.map_traces(v.pixels(spark, sf), lambda y: {"w": numerics.nnls(c.T, y - y.min()).tolist()}, "w array<double>", "px", "trace")
-    return d.select("px", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
+    return _spatial(spark, sf, lambda c, y: numerics.nnls(c.T, y - y.min()))
 
 
 @query("lasso_spatial")
 def _(spark, sf):
-    c = _bases(spark, sf)
-    gram, cc = c @ c.T, np.sqrt((c * c).sum(axis=1))
     z = numerics.NORMAL.inv_cdf(0.75)
 
-    def one(y: np.ndarray) -> dict:
-        sn = numerics.noise_level(y)
-        return {"w": numerics.soft_hals(c @ (y - y.min()), gram, z * sn * cc, np.ones(len(c), bool)).tolist()}
+    def one(c: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return numerics.soft_hals(c @ (y - y.min()), c @ c.T, z * numerics.noise_level(y) * np.sqrt((c * c).sum(axis=1)), np.ones(len(c), bool))
 
-    return numerics.map_traces(v.pixels(spark, sf), one, "w array<double>", "px", "trace").select("px", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
+    return _spatial(spark, sf, one)
 
 
 def _field(spark, sf):

@@ -47,3 +47,12 @@ def test_patches_cover_larger_tables(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
     want = len(axis_spans(60, 12, 4, 3)) * len(axis_spans(25, 12, 4, 3))
     assert QUERIES["greedy_init_patch"](spark, str(tmp_path)).select("patch").distinct().count() == want
+
+
+@pytest.mark.parametrize("name", ["nnls_spatial", "lasso_spatial"])
+def test_spatial_has_every_component_of_a_pixel(spark, duck, name):
+    got = {r["px"]: r for r in QUERIES[name](spark, DATA).collect()}
+    want = duck.execute("select vec_id, list(distinct l_suppkey) filter (l_suppkey in (select vec_id from embeddings)) from embeddings left join lineitem on l_partkey = vec_id group by 1").fetchall()
+    assert len(got) == len(want) and max(k for r in got.values() for k in r["k"]) >= 8
+    for px, k in want:
+        assert got[px]["k"] == sorted(k or []) and len(got[px]["w"]) == len(got[px]["k"]) and all(w >= 0 for w in got[px]["w"])
