@@ -143,20 +143,25 @@ def thresholded_ar1(y: np.ndarray, g: float, noise: float, steps: int = 9) -> tu
     return *oasis_ar1(y, g, 0.0, low), low
 
 
-def nnls(a: np.ndarray, y: np.ndarray, limit: int = 200) -> np.ndarray:
-    """Non-negative least squares by an active set on the normal equations."""
+def nnls(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Non-negative least squares by an active set on the normal equations, until the optimality conditions hold."""
     gram, b = a.T @ a, a.T @ y
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    for _ in range(limit):
+    # columns that rounding took out at once: they wait until another one moves the fit
+    waiting = np.zeros(a.shape[1], bool)
+    scale = max(1.0, np.abs(b).max(initial=0.0))
+    for _ in range(10 * len(x) + 10):
         w = b - gram @ x
-        free = np.where(~passive, w, -np.inf)
-        j = int(free.argmax())
-        if passive.all() or free[j] <= 1e-10:
-            break
-        passive[j] = True
-        while True:
+        free = np.where(~passive & ~waiting, w, -np.inf)
+        j = int(free.argmax()) if len(x) else 0
+        if not len(x) or free[j] <= 1e-10 * scale:
+            if w[waiting].max(initial=0.0) > 1e-6 * scale:
+                break
+            return x
+        passive[j], before = True, x
+        while passive.any():
             s = np.zeros(len(x))
-            s[passive] = np.linalg.lstsq(gram[np.ix_(passive, passive)], b[passive], rcond=None)[0]
+            s[passive] = _solved(gram[np.ix_(passive, passive)], b[passive])
             if (s[passive] > 0).all():
                 x = s
                 break
@@ -165,7 +170,23 @@ def nnls(a: np.ndarray, y: np.ndarray, limit: int = 200) -> np.ndarray:
             x = x + step * (s - x)
             passive &= x > 1e-12
             x[~passive] = 0.0
-    return x
+        if np.abs(x - before).max() > 1e-12 * max(1.0, x.max()):
+            waiting[:] = False
+        else:
+            passive[j], waiting[j] = False, True
+            x = np.where(passive, x, 0.0)
+    raise RuntimeError("nnls: the steps ended without an optimum")
+
+
+def _solved(gram: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of the normal equations; the one of least norm where they are singular."""
+    try:
+        s = np.linalg.solve(gram, b)
+        if np.abs(gram @ s - b).max() <= 1e-9 * max(1.0, np.abs(b).max()):
+            return s
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(gram, b, rcond=None)[0]
 
 
 def convolution_nnls(y: np.ndarray, kernel: np.ndarray, lam: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -185,19 +206,15 @@ def ar2_response(g1: float, g2: float, n: int) -> np.ndarray:
     return h
 
 
-def thresholded_spikes(y: np.ndarray, kernel: np.ndarray, smin: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def thresholded_spikes(y: np.ndarray, kernel: np.ndarray, smin: float) -> tuple[np.ndarray, np.ndarray]:
     """(c, s): non-negative spikes of at least ``smin``; smaller ones are dropped and the others fitted again until none is left."""
     n = len(y)
     k = np.stack([np.concatenate([np.zeros(t), kernel[: n - t], np.zeros(max(0, n - t - len(kernel)))]) for t in range(n)], axis=1)
     s, own = nnls(k, y), np.arange(n)
-    for _ in range(rounds):
-        keep = own[s[own] >= smin]
-        if len(keep) == len(own):
-            break
+    while len(keep := own[s[own] >= smin]) < len(own):
         own, s = keep, np.zeros(n)
         if len(own):
             s[own] = nnls(k[:, own], y)
-    s[s < smin] = 0.0
     return k @ s, s
 
 

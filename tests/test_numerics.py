@@ -106,3 +106,28 @@ def test_ar2_spikes():
     assert np.allclose(n.convolution_nnls(y, h)[1], s, atol=1e-6)
     c, found = n.thresholded_spikes(y + 0.01 * np.random.default_rng(6).standard_normal(80), h, 0.3)
     assert np.allclose(found, s, atol=0.1) and ((found == 0) | (found >= 0.3)).all() and np.allclose(c, np.convolve(found, h)[:80])
+
+
+def test_nnls_has_no_limit_of_spikes():
+    """More than 200 spikes come out, and the optimality conditions hold."""
+    rng = np.random.default_rng(4)
+    s = np.where(rng.random(600) < 0.5, 1 + rng.random(600), 0.0)
+    h = 0.5 ** np.arange(40)
+    y = np.convolve(s, h)[:600]
+    c, found = n.convolution_nnls(y, h)
+    assert (s > 0).sum() > 200 and np.allclose(found, s, atol=1e-6) and np.allclose(c, y, atol=1e-6)
+    noisy = y + 0.2 * rng.standard_normal(600)
+    c, found = n.convolution_nnls(noisy, h)
+    w = np.correlate(noisy - c, h, "full")[len(h) - 1 :][:600]
+    assert (found > 0).sum() > 200 and w.max() < 1e-6 and np.abs(w[found > 0]).max() < 1e-6
+
+
+def test_thresholded_spikes_end_with_a_fit():
+    """Every round drops a few spikes; what is left is the fit of its own frames."""
+    rng = np.random.default_rng(7)
+    h = 0.9 ** np.arange(60)
+    y = np.convolve(np.where(rng.random(300) < 0.3, rng.random(300), 0.0), h)[:300] + 0.3 * rng.standard_normal(300)
+    c, s = n.thresholded_spikes(y, h, 0.5)
+    assert (s[s > 0] >= 0.5).all()
+    w = np.correlate(y - c, h, "full")[len(h) - 1 :][:300]
+    assert np.abs(w[s > 0]).max() < 1e-6
