@@ -4,16 +4,17 @@ A text's set holds the hashes of its distinct shingles of WIDTH words (A-Z lower
 All sets are sorted in one global order, frequent shingles last; two sets whose
 Jaccard similarity reaches PERCENT share a token among their first
 n - ceil(PERCENT n / 100) + 1 ones, their prefixes. Texts with equal sets are one
-node, nodes with equal prefixes and sizes are one group. The nodes of a group are
-listed under those of its prefix tokens that another group has, and, if there are
-several, under the group's own key, so pairs inside a group are candidates too.
+node, nodes with equal prefixes and sizes are one group. A group is listed under
+those of its prefix tokens that another group has; pairs of groups are filtered by
+size and by the number of prefix tokens they can share, and only then expanded to
+their members, which are verified. The members of a group of several nodes are
+listed one by one under the group's own key, so pairs inside it are candidates too.
 
 Components are found without all pairs of a token's list: in each round the lists
-that still span several components pick a leader, and every other node is verified
-against it, which settles the large families of near copies in time linear in their
-size. Last, every pair of nodes of different components that a list still holds is
-filtered by the number of prefix tokens it shares (a group key stands for all of
-them) and verified, so no link is lost.
+that still span several components pick a leader, and the members of every other
+group are verified against it, which settles the large families of near copies in
+time linear in their size. Last, the pairs of groups across components that a list
+still holds go through the filters, so no link is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialize, small_side, table
+from .shared import BROADCAST_BYTES, components, materialize, small_side, table
 from .words import LOWER_VALUES, Slice, mix, slices, window_sums, words_of
 
 WIDTH, PERCENT = 5, 80
@@ -155,7 +156,8 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "chunk", F.lit(True).alias("member")).union(dealt.select(F.col("a").alias("doc_id"), "a", "chunk", F.lit(False)).distinct())
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "chunk", "member")).alias("to")).join(nodes.select("doc_id", "d1"), "doc_id")
     wanted = materialize(wanted, "join-wanted")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted, 64), "doc_id")
+    held = wanted.agg(F.sum(48 + 40 * F.size("to"))).first()[0] or 0
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted, "doc_id")
 
     def sets(batches):
         for batch in batches:
@@ -199,12 +201,32 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(compare, "a long, b long"), "join-links")
 
 
-def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``lists (token, node, n, pos, weight)`` with the node's component so far, only of tokens that span several."""
+def group_lists(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``token, unit, n, i, cap``: each group under the tokens of its prefix that another group has as well.
+
+    ``i`` counts these tokens in the global order, ``cap`` is how many there are: two
+    groups whose first common token is number i of one have at most cap - i in common.
+    """
+    heads = small_side(materialize(members.where("`group` = node").select(F.col("group").alias("doc_id"), "d1"), "join-heads"), 24)
+    listed = found.join(heads, ["doc_id", "d1"], "left_semi").select(F.col("doc_id").alias("unit"), "n", F.posexplode_outer("prefix").alias("pos", "token")).where("token is not null")
+    shared = listed.groupBy("token").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x <> y").select("token")
+    own = listed.join(small_side(materialize(shared, "join-shared"), 12), "token", "left_semi")
+    own = own.groupBy("unit", "n").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("p"))  # at most a text's prefix
+    own = own.select("unit", "n", F.col("p.token").alias("p"), F.size("p").alias("cap"))
+    return own.select(F.posexplode("p").alias("i", "token"), "unit", "n", "cap").select("token", "unit", "n", "i", "cap", F.lit(False).alias("single"))
+
+
+def labelled(lists: DataFrame, members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lists`` with the least and the greatest component (``low, high``) of each unit so far, only of tokens that span several; and every member's component."""
     known = small_side(materialize(components(links), "join-components"), 24)
-    d = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = materialize(d.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"), "join-mixed")
-    return materialize(d.join(small_side(mixed, 12), "token", "left_semi"), "join-open")
+    of = materialize(members.join(known, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("component")), "join-labels")
+    by_group = of.groupBy(F.col("group").alias("unit")).agg(F.min("component").alias("low"), F.max("component").alias("high")).select("unit", F.lit(False).alias("single"), "low", "high")
+    by_node = of.where("`group` <> node").select("group").distinct()
+    by_node = of.join(by_node, "group", "left_semi").select(F.col("node").alias("unit"), F.lit(True), "component", "component")
+    ends = small_side(materialize(by_group.union(by_node), "join-units"), 32)
+    d = lists.join(ends, ["unit", "single"])
+    mixed = d.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("token")
+    return materialize(d.join(small_side(materialize(mixed, "join-mixed"), 12), "token", "left_semi"), "join-open"), of
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -221,53 +243,74 @@ def similar_components(docs: DataFrame) -> DataFrame:
     # groups of equal prefixes and sizes: the least node lists for all of them
     groups = equal.groupBy("n", "pkey").agg(F.min("node").alias("group"))
     members = materialize(equal.join(groups, ["n", "pkey"]).select("group", "node", "n", "d1"), "join-members")
-    heads = small_side(materialize(members.where("`group` = node").select(F.col("group").alias("doc_id"), "d1"), "join-heads"), 24)
-    listed = found.join(heads, ["doc_id", "d1"], "left_semi").select(F.col("doc_id").alias("group"), F.posexplode_outer("prefix").alias("pos", "token")).where("token is not null")
-    shared = listed.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
-    by_group = listed.join(small_side(materialize(shared, "join-shared"), 12), "token", "left_semi").distinct()
-    by_token = by_group.join(small_side(members, 40), "group").select("token", "node", "n", "pos", F.lit(1).cast("long").alias("weight"))
-    # a group's own key: its members share their whole prefixes, more than any link needs
-    several = small_side(materialize(members.where("`group` <> node").select("group").distinct(), "join-several"), 12)
-    by_key = members.join(several, "group", "left_semi").select(F.xxhash64("group", F.lit("group")).alias("token"), "node", "n", F.lit(0).alias("pos"), F.col("n").alias("weight"))
-    lists = materialize(by_token.union(by_key), "join-buckets")
+    several = materialize(members.where("`group` <> node").select("group").distinct(), "join-several")
+    inside = materialize(members.join(small_side(several, 12), "group", "left_semi").select("group", "node", "n"), "join-inside")
+    # a group's members share their whole prefixes, so they are listed one by one under the group's own key
+    by_key = inside.select(F.xxhash64("group", F.lit("group")).alias("token"), F.col("node").alias("unit"), "n", F.lit(0).alias("i"), F.col("n").cast("int").alias("cap"), F.lit(True).alias("single"))
+    lists = materialize(group_lists(found, members).union(by_key), "join-buckets")
     sizes = small_side(nodes.select("doc_id", "n"), 24)
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of similar sizes and, by ``shared``, at least half of the prefix tokens that a link needs: others can wait."""
+    expansion = small_side(inside.select(F.col("group").alias("x"), "node"), 24)
+
+    def expanded(pairs: DataFrame, side: str) -> DataFrame:
+        """Every member of the group ``side`` in its place; units listed one by one stand for themselves."""
+        d = pairs.join(expansion, (F.col(side) == F.col("x")) & ~F.col("single"), "left")
+        return d.withColumn(side, F.coalesce("node", side)).drop("x", "node")
+
+    def to_leaders(open_lists: DataFrame, rank, across) -> DataFrame:
+        """Pairs of each list's leader with the members of its other units that share half of the prefix tokens a link needs: others can wait."""
+        lead = open_lists.groupBy("token").agg(F.min(rank).alias("l"))
+        weight = F.when(F.col("single"), F.col("n")).otherwise(1)
+        d = open_lists.join(lead, "token").where(across).select(F.col("l.unit").alias("a"), F.col("unit").alias("b"), "single", weight.alias("shared"))
+        d = d.where("a <> b").groupBy("a", "b", "single").agg(F.sum("shared").alias("shared"))
         a, b = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        d = pairs.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(a, "a").join(b, "b")
-        need = needed(F.col("na") + F.col("nb"), F.greatest("na", "nb"))
-        return d.where(similar_sizes(F.col("na"), F.col("nb")) & (2 * F.col("shared") >= need)).select("a", "b")
-
-    # a token early in a prefix has few rarer ones before it: such a node has least of its own, and is central in its family
-    lead = lists.groupBy("token").agg(F.min(F.struct("pos", "node")).alias("l"))
-    links = verify(docs, sized(lists.join(lead, "token").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("weight").alias("shared"))), nodes)
-    left = labelled(lists, links)
+        d = d.join(a, "a").join(b, "b").where(similar_sizes(F.col("na"), F.col("nb")) & (2 * F.col("shared") >= needed(F.col("na") + F.col("nb"), F.greatest("na", "nb"))))
+        return expanded(d.select("a", "b", "single"), "b").select("a", "b").distinct()
+
+    # a token early in a prefix has few rarer ones before it: such a unit has least of its own, and is central in its family
+    links = verify(docs, to_leaders(lists, F.struct("i", "unit"), F.lit(True)), nodes)
+    left, of = labelled(lists, members, links)
     for k in range(1, LEADER_ROUNDS):
-        ranked = F.struct(F.floor(F.log2(F.col("pos") + 1)).alias("p"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")
-        lead = left.groupBy("token").agg(F.min(ranked).alias("l"))
-        pairs = left.join(lead, "token").where("component <> l.component").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("weight").alias("shared"))
-        links = links.union(verify(docs, sized(pairs), nodes))
-        left = labelled(left.drop("component"), links)
-    # all pairs across components that are left: nodes outside a list's largest component against the list
-    largest = left.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("l")).select("token", F.col("l.component").alias("main"))
-    bits = found.join(nodes.select("doc_id", "d1"), ["doc_id", "d1"]).select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"])
-    left = left.join(largest, "token").join(bits, "node")
-    x, y = left.where("component <> main").alias("x"), left.alias("y")
-    across = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & similar_sizes(F.col("x.n"), F.col("y.n"))
-    # sets that differ in too many bits share too little: settled inside the join, so families of almost similar texts make no rows
-    different = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    both = F.col("x.n") + F.col("y.n")
-    across = across & (both - different >= 2 * F.ceil(both * PERCENT / (100 + PERCENT)))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & across)
-    pairs = pairs.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum("x.weight").alias("shared"), F.first(F.col("x.n") + F.col("y.n")).alias("both"), F.first(F.greatest("x.n", "y.n")).alias("more"))
-    need = needed(F.col("both"), F.col("more"))
-    links = links.union(verify(docs, pairs.where(F.col("shared") >= need).select("a", "b"), nodes))
+        rank = F.struct(F.floor(F.log2(F.col("i") + 1)).alias("p"), F.xxhash64("unit", F.lit(k)).alias("h"), "unit", "low", "high")
+        links = links.union(verify(docs, to_leaders(left, rank, (F.col("low") != F.col("l.low")) | (F.col("high") != F.col("l.high")) | (F.col("low") != F.col("high"))), nodes))
+        left, of = labelled(left.drop("low", "high"), members, links)
+    links = links.union(verify(docs, across_components(found, nodes, left, of, expanded), nodes))
     same = nodes.join(equal.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     known = components(links.union(same.where("a <> b"))).withColumnRenamed("node", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def too_different(x, y, both):
+    """Whether two bitmaps differ in more bits than linked sets of ``both`` elements together can; null bitmaps do not."""
+    bits = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return F.coalesce(both - bits < 2 * F.ceil(both * PERCENT / (100 + PERCENT)), F.lit(False))
+
+
+def across_components(found: DataFrame, nodes: DataFrame, left: DataFrame, of: DataFrame, expanded) -> DataFrame:
+    """All pairs of nodes of different components that a list still holds and the filters let through.
+
+    Pairs of units come first: sizes, the place of the common token in both prefixes,
+    and for groups of one the bitmaps, all inside the join, so families of almost
+    similar texts make no rows. Then groups are expanded to their members.
+    """
+    bits = found.join(nodes.select("doc_id", "d1"), ["doc_id", "d1"]).select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"])
+    alone = of.groupBy("group").agg(F.count("*").alias("members")).where("members = 1").select(F.col("group").alias("node"))
+    own = bits.join(alone, "node", "left_semi").select(F.col("node").alias("unit"), F.lit(False).alias("single"), "bits")
+    largest = left.where("low = high").groupBy("token", "low").count().groupBy("token").agg(F.max(F.struct("count", "low")).alias("l")).select("token", F.col("l.low").alias("main"))
+    left = left.join(largest, "token", "left").join(own, ["unit", "single"], "left").withColumn("inner", F.coalesce((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")), F.lit(False)))
+    x, y = left.where("not `inner`").alias("x"), left.alias("y")
+    both, more = F.col("x.n") + F.col("y.n"), F.greatest("x.n", "y.n")
+    # a unit outside the main component against the list: those inside, and those outside that come later
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("y.inner") | (F.col("x.unit") < F.col("y.unit")))
+    on = on & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
+    on = on & similar_sizes(F.col("x.n"), F.col("y.n")) & (F.least(F.col("x.cap") - F.col("x.i"), F.col("y.cap") - F.col("y.i")) >= needed(both, more))
+    on = on & ~too_different(F.col("x.bits"), F.col("y.bits"), both)
+    units = x.join(y, on).select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"), F.col("x.single").alias("single")).distinct()
+    pairs = expanded(expanded(materialize(units, "join-unit-pairs"), "a"), "b").select("a", "b", "single")
+    a, b = (of.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}")).join(bits.select(F.col("node").alias(k), F.col("bits").alias(f"bits{k}")), k) for k in "ab")
+    d = pairs.select("a", "b").where("a <> b").join(a, "a").join(b, "b").where("ca <> cb").where(~too_different(F.col("bitsa"), F.col("bitsb"), F.col("na") + F.col("nb")))
+    return d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a lower doc_id; rows without doc_id stay."""
     found = similar_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
