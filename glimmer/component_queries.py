@@ -66,8 +66,8 @@ def _(spark, sf):
 
 @query("residual_movie", f"with {FOOT_SQL}, {MOVIE_SQL}, {TRACE_SQL}, m as (select px, trace.t, sum(w * y) as model from foot join trace using (k) where px in (select vec_id from embeddings) group by 1, 2) select px, t, round(y - coalesce(model, 0), 6) + 0.0 as y from movie left join m using (px, t)")
 def _(spark, sf):
-    d = components.residual_movie(v.footprints(spark, sf), v.traces(spark, sf), v.movie(spark, sf))
-    return d.select("px", "t", r6(F.col("y")).alias("y"))
+    d = components.residual_movie(v.footprints(spark, sf), v.traces(spark, sf), v.pixels(spark, sf))
+    return v.unpack(d, "px").select("px", "t", r6(F.col("y")).alias("y"))
 
 
 @query("tau_c2d", "select tau_d, tau_r, round(exp(-0.1 / tau_d), 6) + 0.0 as d, round(exp(-0.1 / tau_r), 6) + 0.0 as r from (select distinct p_size + 1.0::double as tau_d, (p_size + 1.0::double) / 4 as tau_r from part)")

@@ -38,8 +38,8 @@ def hazen_sql(a: str, p: float) -> str:
     return f"({low} + ({h} - floor({h})) * (coalesce(list_sort({a})[floor({h})::int + 1], {low}) - {low}))"
 
 
-def zscore(a: Column) -> Column:
-    """Array less its mean over its population deviation; null for constant arrays. ``a`` should be a plain column."""
-    m = mean(a)
-    sd = F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))
-    return F.when(sd > 0, F.transform(a, lambda x: (x - m) / sd))
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation of two arrays from five sums, none nested in another; null where one is constant."""
+    n, x, y = F.size(a), total(a), total(b)
+    spread = (n * dot(a, a) - x * x) * (n * dot(b, b) - y * y)
+    return (n * dot(a, b) - x * y) / F.sqrt(F.when(spread > 0, spread))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import dot, mean, total
-from .linalg import binary_edges, centers
+from ..functions.stats import correlation, dot, mean, total
+from .linalg import binary_edges, centers, weighted_sums
+from .numerics import map_traces
 
 
 def energy_mask(foot: DataFrame, share: float) -> DataFrame:
@@ -76,9 +78,12 @@ def outlines(foot: DataFrame, rows: int) -> DataFrame:
 
 def rolling_energy(pixels: DataFrame, window: int) -> DataFrame:
     """``px, v``: largest causal moving mean of squares; the frames before the first count as zero."""
-    d = pixels.withColumn("square", F.transform("trace", lambda x: x * x))
-    part = lambda t: F.slice("square", F.greatest(t - window + 2, F.lit(1)), F.least(t + 1, F.lit(window)))
-    return d.select("px", F.array_max(F.transform(F.sequence(F.lit(0), F.size("trace") - 1), lambda t: total(part(t)) / window)).alias("v"))
+
+    def one(y: np.ndarray) -> dict:
+        sums = np.convolve(y * y, np.ones(window))[: len(y)]
+        return {"v": float(sums.max()) / window if len(y) else None}
+
+    return map_traces(pixels, one, "v double", "px", "trace")
 
 
 def rises(traces: DataFrame, least: float) -> DataFrame:
@@ -87,13 +92,6 @@ def rises(traces: DataFrame, least: float) -> DataFrame:
     return traces.select("k", F.zip_with(F.slice("c", 2, n), F.slice("c", 1, n), lambda x, y: F.when(x - y >= least, x - y).otherwise(0.0)).alias("c"))
 
 
-def _correlation(a: Column, b: Column) -> Column:
-    """Correlation of two arrays from five sums, none nested in another; null where one is constant."""
-    n, x, y = F.size(a), total(a), total(b)
-    spread = (n * dot(a, a) - x * x) * (n * dot(b, b) - y * y)
-    return (n * dot(a, b) - x * y) / F.sqrt(F.when(spread > 0, spread))
-
-
 def triple_edges(foot: DataFrame, traces: DataFrame, spikes: DataFrame, overlap: float, rho: float, spike_rho: float) -> DataFrame:
     """``k1 < k2, rho, spike_rho`` of pairs whose masks, traces and spikes all agree by more than their thresholds.
 
@@ -103,16 +101,16 @@ def triple_edges(foot: DataFrame, traces: DataFrame, spikes: DataFrame, overlap:
     d = binary_edges(foot, overlap).select("k1", "k2")
     for i in "12":
         d = d.join(both.select(F.col("k").alias(f"k{i}"), F.col("c").alias(f"c{i}"), F.col("s").alias(f"s{i}")), f"k{i}")
-    d = d.select("k1", "k2", _correlation(F.col("c1"), F.col("c2")).alias("rho"), _correlation(F.col("s1"), F.col("s2")).alias("spike_rho"))
+    d = d.select("k1", "k2", correlation(F.col("c1"), F.col("c2")).alias("rho"), correlation(F.col("s1"), F.col("s2")).alias("spike_rho"))
     return d.where((F.col("rho") > rho) & (F.col("spike_rho") > spike_rho))
 
 
-def residual_movie(foot: DataFrame, traces: DataFrame, movie: DataFrame) -> DataFrame:
-    """``px, t, y``: the movie less the components. Footprints are cut to the movie's pixels before they meet the traces."""
-    own = foot.join(movie.select("px").distinct(), "px", "left_semi")
-    part = own.join(traces, "k").select("px", "w", F.posexplode_outer("c").alias("t", "c")).where("t is not null")
-    model = part.groupBy("px", "t").agg(F.sum(F.col("w") * F.col("c")).alias("model"))
-    return movie.select("px", "t", "y").join(model, ["px", "t"], "left").select("px", "t", (F.col("y") - F.coalesce("model", F.lit(0.0))).alias("y"))
+def residual_movie(foot: DataFrame, traces: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``px, trace``: packed pixels less the components. Footprints are cut to the movie's pixels before they meet the traces."""
+    own = foot.join(pixels.select("px"), "px", "left_semi")
+    model = weighted_sums(own.join(traces, "k").select(F.col("px").alias("k"), "w", F.col("c").alias("x"))).select(F.col("k").alias("px"), "x")
+    left = F.when(F.col("x").isNull(), F.col("trace")).otherwise(F.zip_with("trace", "x", lambda y, m: y - m))
+    return pixels.select("px", "trace").join(model, "px", "left").select("px", left.alias("trace"))
 
 
 def poles_of_times(grid: DataFrame, dt: float) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import dot
+from ..functions.stats import correlation
 from ..plans.lineage import cut
-from .images import standardised
 from .linalg import cosine_edges
 
 
 def correlated_edges(foot: DataFrame, traces: DataFrame, overlap: float, least: float) -> DataFrame:
-    """``k1 < k2, rho`` of pairs that overlap in space and correlate in time."""
-    z = standardised(traces.select(F.col("k"), F.col("c").alias("trace"))).select("k", "trace")
-    d = cosine_edges(foot, overlap).join(z.select(F.col("k").alias("k1"), F.col("trace").alias("a")), "k1").join(z.select(F.col("k").alias("k2"), F.col("trace").alias("b")), "k2")
-    return d.select("k1", "k2", (dot(F.col("a"), F.col("b")) / F.size("a")).alias("rho")).where(F.col("rho") >= least)
+    """``k1 < k2, rho`` of pairs that overlap in space and correlate in time; constant traces correlate with none."""
+    d = cosine_edges(foot, overlap).select("k1", "k2")
+    for i in "12":
+        d = d.join(traces.select(F.col("k").alias(f"k{i}"), F.col("c").alias(f"c{i}")), f"k{i}")
+    return d.select("k1", "k2", correlation(F.col("c1"), F.col("c2")).alias("rho")).where(F.col("rho") >= least)
 
 
 def merge_groups(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import dot, mean
+from ..functions.stats import mean
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -19,34 +21,69 @@ def annulus(least: float, most: float) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if least <= math.hypot(a, b) < most]
 
 
-def standardised(pixels: DataFrame) -> DataFrame:
-    """``trace`` as z-scores (population deviation), in steps so that each mean is computed once; constant pixels drop out."""
-    d = pixels.withColumn("m", mean(F.col("trace")))
-    d = d.withColumn("sd", F.sqrt(mean(F.transform("trace", lambda x: (x - F.col("m")) * (x - F.col("m")))))).where("sd > 0")
-    return d.withColumn("trace", F.transform("trace", lambda x: (x - F.col("m")) / F.col("sd"))).drop("m", "sd")
+#: Side of the square tiles that images of neighbourhoods are computed on; a tile gets the pixels around it that its own ones reach.
+TILE = 32
 
 
-def correlation_image(pixels: DataFrame, offsets: list[tuple[int, int]], *keys: str) -> DataFrame:
-    """Mean correlation ``rho`` of each pixel with the neighbours it has (borders: fewer).
+def tiles(pixels: DataFrame, reach: int) -> DataFrame:
+    """``pixels`` under each tile (``tr, tc``) that holds them or lies within ``reach`` of them: only those near an edge are sent twice."""
+    near = lambda x: F.explode(F.sequence(F.floor((F.col(x) - reach) / TILE), F.floor((F.col(x) + reach) / TILE)))
+    return pixels.withColumn("tr", near("r")).withColumn("tc", near("c"))
+
+
+def half_of(offsets: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """One of each pair of opposite offsets."""
+    if {(-a, -b) for a, b in offsets} != set(offsets):
+        raise ValueError("neighbourhoods are symmetric")
+    return [x for x in offsets if x > (-x[0], -x[1])]
 
-    One equi-join on grid coordinates of one row a pixel; ``keys`` (a time block) are
-    kept apart. Pixels without neighbours or variance have no row.
-    """
-    z = standardised(pixels).select(*keys, "px", "r", "c", "trace")
-    steps = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets))
-    near = z.select(*keys, "px", "trace", "r", "c", F.explode(steps).alias("s")).select(*keys, "px", "trace", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"))
-    pairs = near.join(z.select(*keys, "r", "c", F.col("trace").alias("other")), [*keys, "r", "c"])
-    return pairs.select(*keys, "px", (dot(F.col("trace"), F.col("other")) / F.size("trace")).alias("rho")).groupBy(*keys, "px").agg(F.avg("rho").alias("rho"))
 
+def block_bounds(n: int, block: int | None, least: int) -> list[tuple[int, int]]:
+    """Blocks of frames; a last one of ``least`` frames or fewer joins the one before. None: one block."""
+    count = max(1, n // block + (n % block > least)) if block else 1
+    return [(i * block, n if i == count - 1 else (i + 1) * block) for i in range(count)] if block else [(0, n)]
 
-def correlation_image_max(pixels: DataFrame, offsets: list[tuple[int, int]], block: int, least: int) -> DataFrame:
-    """Pixelwise maximum of the images of blocks of frames; a last block of ``least`` frames or fewer joins the one before."""
-    n = F.size("trace")
-    blocks = F.greatest(F.floor(n / block) + F.when(n % block > least, 1).otherwise(0), F.lit(1)).cast("int")
-    d = pixels.withColumn("blocks", blocks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    length = F.when(F.col("block") == F.col("blocks") - 1, n).otherwise(block)
-    d = d.withColumn("trace", F.slice("trace", F.col("block") * block + 1, length))
-    return correlation_image(d, offsets, "block").groupBy("px").agg(F.max("rho").alias("rho"))
+
+def correlation_image(pixels: DataFrame, offsets: list[tuple[int, int]], block: int | None = None, least: int = 0) -> DataFrame:
+    """Mean correlation ``rho`` of each pixel with the neighbours it has (borders: fewer); with ``block``, its maximum over blocks of frames.
+
+    Tiles with a margin are grouped, so a pixel is shuffled once, or a few times at a
+    tile's edge; in a tile every trace is standardised once and each pair of
+    neighbours multiplied once. Pixels without neighbours or variance have no row.
+    """
+    reach, half = max(max(abs(a), abs(b)) for a, b in offsets), half_of(offsets)
+
+    def run(key, table):
+        r, c, px = (table.column(x).to_numpy() for x in ("r", "c", "px"))
+        traces = table.column("trace").combine_chunks()
+        y = traces.flatten().to_numpy(zero_copy_only=False).reshape(len(px), -1)
+        side = TILE + 2 * reach
+        at = np.full((side, side), -1)
+        at[r - key[0].as_py() * TILE + reach, c - key[1].as_py() * TILE + reach] = np.arange(len(px))
+        best = np.full(len(px), -np.inf)
+        for a, b in block_bounds(y.shape[1], block, least):
+            z = y[:, a:b] - y[:, a:b].mean(axis=1, keepdims=True)
+            size = np.sqrt((z * z).mean(axis=1))
+            z /= np.where(size > 0, size, 1.0)[:, None]
+            total, n = np.zeros(len(px)), np.zeros(len(px))
+            for dr, dc in half:
+                rows, columns = (slice(max(0, -d), side - max(0, d)) for d in (dr, dc))
+                far = tuple(slice(x.start + d, x.stop + d) for x, d in ((rows, dr), (columns, dc)))
+                i, j = at[rows, columns].ravel(), at[far].ravel()
+                both = (i >= 0) & (j >= 0)
+                i, j = i[both], j[both]
+                both = (size[i] > 0) & (size[j] > 0)
+                i, j = i[both], j[both]
+                rho = np.einsum("ij,ij->i", z[i], z[j]) / (b - a)
+                for k in (i, j):
+                    total += np.bincount(k, rho, len(px))
+                    n += np.bincount(k, minlength=len(px))
+            best = np.maximum(best, np.divide(total, n, out=np.full(len(px), -np.inf), where=n > 0))
+        own = (r // TILE == key[0].as_py()) & (c // TILE == key[1].as_py()) & np.isfinite(best)
+        return pa.table({"px": px[own], "rho": best[own]})
+
+    d = tiles(pixels.select("px", "r", "c", "trace"), reach)
+    return d.groupBy("tr", "tc").applyInArrow(run, "px long, rho double")
 
 
 def least_value(pixels: DataFrame) -> DataFrame:
@@ -110,11 +147,24 @@ def gaussian_taps(sigma: float, radius: int) -> list[float]:
 
 
 def blurred(pixels: DataFrame, sigma: float, radius: int) -> DataFrame:
-    """Separable Gaussian blur with zero padding: per axis, each pixel is sent to the neighbours that it adds to."""
-    taps = F.array(*(F.struct(F.lit(i - radius).alias("d"), F.lit(x).alias("g")) for i, x in enumerate(gaussian_taps(sigma, radius))))
-    grid = pixels.select("px", "r", "c")
-    d = pixels.select("r", "c", F.posexplode("trace").alias("t", "y"))
-    for axis in ("r", "c"):
-        other = "c" if axis == "r" else "r"
-        d = d.select(other, "t", (F.col(axis)).alias(axis), "y", F.explode(taps).alias("g")).groupBy((F.col(axis) + F.col("g.d")).alias(axis), other, "t").agg(F.sum(F.col("y") * F.col("g.g")).alias("y"))
-    return d.join(grid, ["r", "c"]).select("px", "r", "c", "t", "y")
+    """``px, r, c, trace``: separable Gaussian blur with zero padding, tile by tile with a margin of ``radius``."""
+    taps = np.array(gaussian_taps(sigma, radius))
+
+    def run(key, table):
+        r, c, px = (table.column(x).to_numpy() for x in ("r", "c", "px"))
+        y = table.column("trace").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(px), -1)
+        row, column = r - key[0].as_py() * TILE, c - key[1].as_py() * TILE
+        # per axis, what a pixel of the tile gets from each place around it
+        weight = lambda x: np.where(np.abs(x[:, None] - np.arange(-radius, TILE + radius)) <= radius, taps[np.clip(x[:, None] - np.arange(-radius, TILE + radius) + radius, 0, 2 * radius)], 0.0)
+        own = np.flatnonzero((row >= 0) & (row < TILE) & (column >= 0) & (column < TILE))
+        across = np.zeros((TILE + 2 * radius, TILE, y.shape[1]))  # rows of places by columns of the tile
+        places = weight(np.arange(TILE))
+        for i in np.unique(row):
+            here = np.flatnonzero(row == i)
+            across[i + radius] = places[:, column[here] + radius] @ y[here]
+        out = np.einsum("kp,kpt->kt", places[row[own]], across[:, column[own]].swapaxes(0, 1)) if len(own) else np.zeros((0, y.shape[1]))
+        lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, max(1, out.shape[1]), dtype=np.int32)[: len(own) + 1], out.ravel())
+        return pa.table({"px": px[own], "r": r[own], "c": c[own], "trace": lists})
+
+    d = tiles(pixels.select("px", F.col("r").cast("int"), F.col("c").cast("int"), "trace"), radius)
+    return d.groupBy("tr", "tc").applyInArrow(run, "px long, r int, c int, trace array<double>")

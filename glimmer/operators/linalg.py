@@ -5,13 +5,58 @@ The residual is never formed from the reconstruction: A'Y - (A'A) C needs two sm
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of partial sums that a task holds before it passes them on.
+HELD_BYTES = 64 << 20
 
-def product_ay(foot: DataFrame, movie: DataFrame) -> DataFrame:
-    """``k, t, v``: A'Y, a hash join on pixels and a sum with partial aggregation."""
-    return foot.join(movie, "px").groupBy("k", "t").agg(F.sum(F.col("w") * F.col("y")).alias("v"))
+
+def weighted_sums(rows: DataFrame) -> DataFrame:
+    """``k, x``: sum of w x over ``rows (k, w, x)`` with packed vectors x of one length.
+
+    Vectors stay packed: each task adds up its own rows first, so one partial vector
+    a task and key is shuffled and added.
+    """
+
+    def vectors(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def batch_of(sums: dict) -> pa.RecordBatch:
+        flat = np.concatenate(list(sums.values()))
+        size = len(flat) // len(sums)
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, size, dtype=np.int32), flat)], ["k", "x"])
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, w, (keys, k) = vectors(batch.column("x"), batch.num_rows), batch.column("w").to_numpy(), np.unique(batch.column("k").to_numpy(), return_inverse=True)
+            order = np.argsort(k, kind="stable")
+            for key, own in zip(keys.tolist(), np.split(order, np.cumsum(np.bincount(k))[:-1]), strict=True):
+                add = w[own] @ x[own]
+                sums[key] = sums[key] + add if key in sums else add
+            if len(sums) * x.shape[1] * 8 > HELD_BYTES:
+                yield batch_of(sums)
+                sums = {}
+        if sums:
+            yield batch_of(sums)
+
+    def total(key, table):
+        x = vectors(table.column("x").combine_chunks(), table.num_rows).sum(axis=0)
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int64()), "x": pa.array([x])})
+
+    d = rows.select(F.col("k").cast("long"), F.col("w").cast("double"), "x").mapInArrow(partial, "k long, x array<double>")
+    return d.groupBy("k").applyInArrow(total, "k long, x array<double>")
+
+
+def product_ay(foot: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``k, ay``: A'Y over packed ``pixels (px, trace)``, a hash join on pixels and sums of whole vectors."""
+    rows = foot.join(pixels.select("px", "trace"), "px").select("k", "w", F.col("trace").alias("x"))
+    return weighted_sums(rows).select("k", F.col("x").alias("ay"))
 
 
 def gram(foot: DataFrame) -> DataFrame:
@@ -21,12 +66,14 @@ def gram(foot: DataFrame) -> DataFrame:
     return half.union(half.where("k1 < k2").select(F.col("k2").alias("k1"), F.col("k1").alias("k2"), "v", "n"))
 
 
-def residual_traces(foot: DataFrame, movie: DataFrame, trace: DataFrame) -> DataFrame:
-    """``k, t, v``: (A'Y - A'A C) / |a|^2; ``trace``: k, t, y."""
+def residual_traces(foot: DataFrame, pixels: DataFrame, traces: DataFrame) -> DataFrame:
+    """``k, c``: (A'Y - A'A C) / |a|^2; ``traces``: packed ``k, c``."""
     g = gram(foot)
-    ac = g.join(trace.select(F.col("k").alias("k2"), "t", "y"), "k2").groupBy(F.col("k1").alias("k"), "t").agg(F.sum(F.col("v") * F.col("y")).alias("ac"))
+    ac = weighted_sums(g.join(traces.select(F.col("k").alias("k2"), "c"), "k2").select(F.col("k1").alias("k"), F.col("v").alias("w"), F.col("c").alias("x")))
     norm = g.where("k1 = k2").select(F.col("k1").alias("k"), F.col("v").alias("norm"))
-    return product_ay(foot, movie).join(ac, ["k", "t"], "left").join(norm, "k").select("k", "t", ((F.col("v") - F.coalesce("ac", F.lit(0.0))) / F.col("norm")).alias("v"))
+    d = product_ay(foot, pixels).join(ac.select("k", F.col("x").alias("ac")), "k", "left").join(norm, "k")
+    left = F.when(F.col("ac").isNull(), F.col("ay")).otherwise(F.zip_with("ay", "ac", lambda x, y: x - y))
+    return d.select("k", "norm", left.alias("left")).select("k", F.transform("left", lambda x: x / F.col("norm")).alias("c"))
 
 
 def cosine_edges(foot: DataFrame, least: float) -> DataFrame:

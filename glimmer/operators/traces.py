@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import dot, hazen, mean, total
+from .linalg import weighted_sums
+from .numerics import map_traces
 
 
 def dff_global(traces: DataFrame, norms: DataFrame, background: DataFrame, p: float) -> DataFrame:
@@ -20,36 +24,72 @@ def dff_global(traces: DataFrame, norms: DataFrame, background: DataFrame, p: fl
     return d.select("k", F.transform("f", lambda x: F.try_divide(x - F.col("fd"), F.col("f0"))).alias("c"))
 
 
-def _block(i: Column, window: int, shift: int) -> Column:
-    return F.slice("padded", i * shift + 1, window)
+def hazen_rows(windows: np.ndarray, p: float) -> np.ndarray:
+    """Percentile of each row at midpoint positions between the sorted values."""
+    n = windows.shape[1]
+    h = min(max(n * p + 0.5, 1.0), float(n))
+    low = int(h)
+    part = np.partition(windows, sorted({low - 1, min(low, n - 1)}), axis=1)
+    return part[:, low - 1] + (h - low) * (part[:, min(low, n - 1)] - part[:, low - 1])
 
 
-def percentile_filter(traces: DataFrame, p: float, window: int, shift: int) -> DataFrame:
-    """``k, base``: percentile of the window around every ``shift``-th sample, linear in between.
+def block_percentiles(y: np.ndarray, p: float, window: int, shift: int) -> np.ndarray:
+    """Percentile of the window around every ``shift``-th sample, linear in between.
 
     Half a window of the first (last) value is put before (behind) the trace; after
     the last block the baseline stays level.
     """
+    n, blocks = len(y), -(-len(y) // shift)
+    padded = np.concatenate([np.full(window // 2, y[0]), y, np.full(window, y[-1])])
+    q = hazen_rows(np.lib.stride_tricks.sliding_window_view(padded, window)[: blocks * shift : shift], p)
+    return np.interp(np.arange(n), np.arange(blocks) * shift, q)
+
+
+def centred_percentiles(y: np.ndarray, p: float, window: int) -> np.ndarray:
+    """Percentile of the centred window of odd length, edges reflected."""
     half = window // 2
-    d = traces.withColumn("n", F.size("c")).withColumn("padded", F.concat(F.array_repeat(F.col("c")[0], half), "c", F.array_repeat(F.element_at("c", -1), window)))
-    blocks = F.ceil(F.col("n") / shift).cast("int")
-    d = d.withColumn("q", F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: hazen(_block(i, window, shift), p)))
-    at = lambda t: F.floor(t / shift).cast("int")
-    step = lambda t: F.get("q", at(t)) + (t / shift - F.floor(t / shift)) * (F.coalesce(F.get("q", at(t) + 1), F.get("q", at(t))) - F.get("q", at(t)))
-    return d.select("k", F.transform(F.sequence(F.lit(0), F.col("n") - 1), step).alias("base"))
+    padded = np.concatenate([y[:half][::-1], y, y[len(y) - half :][::-1]])
+    return hazen_rows(np.lib.stride_tricks.sliding_window_view(padded, window), p)
+
+
+def percentile_filter(traces: DataFrame, p: float, window: int, shift: int) -> DataFrame:
+    """``k, base``: ``block_percentiles`` of every trace, one Arrow pass without a shuffle."""
+    return map_traces(traces, lambda y: {"base": block_percentiles(y, p, window, shift).tolist() if len(y) else []}, "base array<double>")
 
 
 def running_percentile(traces: DataFrame, p: float, window: int) -> DataFrame:
-    """``k, base``: percentile of the centred window of odd length, edges reflected."""
-    half = window // 2
-    d = traces.withColumn("padded", F.concat(F.reverse(F.slice("c", 1, half)), "c", F.reverse(F.slice("c", -half, half))))
-    return d.select("k", F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda i: hazen(_block(i, window, 1), p)).alias("base"))
+    """``k, base``: ``centred_percentiles`` of every trace, one Arrow pass without a shuffle."""
+    return map_traces(traces, lambda y: {"base": centred_percentiles(y, p, window).tolist() if len(y) else []}, "base array<double>")
 
 
-def dff_windowed(traces: DataFrame, p: float, window: int, shift: int) -> DataFrame:
-    """``k, c``: (c - baseline) / (baseline less the trace's minimum, plus 1)."""
-    d = traces.join(percentile_filter(traces, p, window, shift), "k").withColumn("low", F.array_min("c"))
-    return d.select("k", F.zip_with("c", "base", lambda x, b: (x - b) / (b - F.col("low") + 1.0)).alias("c"))
+def dff_windowed(traces: DataFrame, norms: DataFrame, background: DataFrame, p: float, window: int, shift: int) -> DataFrame:
+    """``k, c``: (F - Fd) / F0 with F = |a|^2 c, Fd its percentile filter and F0 that of the background plus Fd, frame by frame."""
+    both = traces.join(norms, "k").join(background, "k").select("k", F.transform("c", lambda x: x * F.col("norm2")).alias("f"), "b")
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for f, b in zip(pdf.f, pdf.b, strict=True):
+                base = block_percentiles(f, p, window, shift)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out.append((f - base) / (block_percentiles(b, p, window, shift) + base))
+            yield pd.DataFrame({"k": pdf.k, "c": out})
+
+    return both.mapInPandas(run, "k long, c array<double>")
+
+
+def extract_dff(traces: DataFrame, ay: DataFrame, gram: DataFrame, base: DataFrame, p: float) -> DataFrame:
+    """``k, df, c``: |a|^2 (C - baseline) over the percentile ``df`` of A'Y less what the other components put there.
+
+    ``ay``: k, ay (array); ``gram``: k1, k2, v with the diagonal; ``base``: k, base.
+    """
+    norm = gram.where("k1 = k2").select(F.col("k1").alias("k"), F.col("v").alias("norm2"))
+    others = weighted_sums(gram.where("k1 <> k2").join(traces.select(F.col("k").alias("k2"), "c"), "k2").select(F.col("k1").alias("k"), F.col("v").alias("w"), F.col("c").alias("x")))
+    d = traces.join(norm, "k").join(base, "k").join(ay, "k").join(others.select("k", F.col("x").alias("others")), "k", "left")
+    left = F.when(F.col("others").isNull(), F.col("ay")).otherwise(F.zip_with("ay", "others", lambda x, y: x - y))
+    d = d.select("k", "c", "norm2", "base", left.alias("left"))
+    d = d.select("k", "c", "norm2", "base", hazen(F.col("left"), p).alias("df"))
+    return d.select("k", "df", F.transform("c", lambda x: F.try_divide((x - F.col("base")) * F.col("norm2"), F.col("df"))).alias("c"))
 
 
 def remove_baseline(traces: DataFrame, noise: Column) -> DataFrame:
@@ -120,7 +160,12 @@ def discrete_to_continuous(grid: DataFrame, dt: float) -> DataFrame:
 
 def ar1_response(spikes: DataFrame, g: float) -> DataFrame:
     """``k, c``: c_t = g c_(t-1) + s_t over packed spikes ``k, s``."""
-    grow = lambda acc, x: F.array_append(acc, g * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)
-    return spikes.select("k", F.aggregate("s", F.array().cast("array<double>"), grow).alias("c"))
 
+    def one(y: np.ndarray) -> dict:
+        out, last = [], 0.0
+        for x in y.tolist():
+            last = g * last + x
+            out.append(last)
+        return {"c": out}
 
+    return map_traces(spikes, one, "c array<double>", values="s")

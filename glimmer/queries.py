@@ -11,7 +11,6 @@ from .operators import graphs, images, linalg, patches, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-GRID = (20, 25, 8, 2, 3)
 
 
 def query(name: str, sql: str | None = None):
@@ -40,7 +39,7 @@ for _name, _offsets in (("4", images.FOUR), ("8", images.EIGHT), ("annulus", ima
 
 @query("corr_image_max", _corr_sql(images.FOUR, block="t // 32"))
 def _(spark, sf):
-    return images.correlation_image_max(v.pixels(spark, sf), images.FOUR, 32, 8).select("px", r6(F.col("rho")).alias("rho"))
+    return images.correlation_image(v.pixels(spark, sf), images.FOUR, 32, 8).select("px", r6(F.col("rho")).alias("rho"))
 
 
 @query("mean_image", f"with {MOVIE_SQL} select px, round(avg(y), 6) + 0.0 as mean, round(median(y), 6) + 0.0 as median from movie group by px")
@@ -92,29 +91,36 @@ _TAPS = ", ".join(f"({i - 2}, {x!r}::double)" for i, x in enumerate(images.gauss
 
 @query("gaussian_blur", f"with {MOVIE_SQL}, g as (select * from (values {_TAPS}) g(d, w)) select p.px, p.t, round(sum(q.y * a.w * b.w), 6) + 0.0 as y from movie p, g a, g b, movie q where q.r = p.r + a.d and q.c = p.c + b.d and q.t = p.t group by 1, 2")
 def _(spark, sf):
-    return images.blurred(v.pixels(spark, sf), 1.2, 2).select("px", "t", r6(F.col("y")).alias("y"))
+    return v.unpack(images.blurred(v.pixels(spark, sf), 1.2, 2), "px").select("px", "t", r6(F.col("y")).alias("y"))
 
 
-_PATCH_SQL = """ax(n) as (values (20), (25)), st as (select n, unnest(range(0, greatest(1, n - 2), 6)) as a from ax),
- sp as (select n, a, least(a + 8, n) - 1 as b, lead(a) over (partition by n order by a) as nxt, lead(least(a + 8, n) - a) over (partition by n order by a) as nl from st),
- axis as (select n, a, case when nxt is not null and nl < 3 and nxt = max(a) over (partition by n) then n - 1 else b end as b from sp where not (b - a + 1 < 3 and a = (select max(a) from st s where s.n = sp.n))),
- grid as (select row_number() over (order by y.a, x.a)::int - 1 as patch, x.a as r0, x.b as r1, y.a as c0, y.b as c1 from axis x, axis y where x.n = 20 and y.n = 25)"""
+_PATCH_SQL = f"""ax as (select 0 as ax, coalesce(max(vec_id) // {v.GRID_COLUMNS} + 1, 0) as n from embeddings union all select 1, {v.GRID_COLUMNS}),
+ st as (select ax, n, unnest(range(0, greatest(1, n - 2), 6)) as a from ax where n > 0),
+ sp as (select ax, n, a, least(a + 8, n) - 1 as b, lead(a) over (partition by ax order by a) as nxt, lead(least(a + 8, n) - a) over (partition by ax order by a) as nl from st),
+ axis as (select ax, a, case when nxt is not null and nl < 3 and nxt = max(a) over (partition by ax) then n - 1 else b end as b from sp where not (b - a + 1 < 3 and a = (select max(a) from st s where s.ax = sp.ax))),
+ grid as (select row_number() over (order by y.a, x.a)::int - 1 as patch, x.a as r0, x.b as r1, y.a as c0, y.b as c1 from axis x, axis y where x.ax = 0 and y.ax = 1)"""
 
 
-@query("patch_grid", f"with {_PATCH_SQL} select patch, r0, r1, c0, c1 from grid")
+def _grid(spark, sf):
+    """Patches over all rows that the table's vectors fill."""
+    last = v.pixels(spark, sf).agg(F.max("r")).first()[0]
+    return patches.patch_grid(spark, 0 if last is None else last + 1, v.GRID_COLUMNS, 8, 2, 3)
+
+
+@query("patch_grid", f"with {_PATCH_SQL} select patch, r0::int as r0, r1::int as r1, c0::int as c0, c1::int as c1 from grid")
 def _(spark, sf):
-    return patches.patch_grid(spark, *GRID)
+    return _grid(spark, sf)
 
 
 @query("patch_pixels", f"with {_PATCH_SQL}, {MOVIE_SQL} select patch, px from grid join (select distinct px, r, c from movie) m on r between r0 and r1 and c between c0 and c1")
 def _(spark, sf):
-    return v.pixels(spark, sf).join(patches.patch_pixels(patches.patch_grid(spark, *GRID)), ["r", "c"]).select("patch", "px")
+    return v.pixels(spark, sf).join(patches.patch_pixels(_grid(spark, sf)), ["r", "c"]).select("patch", "px")
 
 
 @query("patch_coverage_mean", f"with {_PATCH_SQL}, {MOVIE_SQL}, m as (select r, c, avg(y) as y from movie group by r, c) select r, c, count(*) as n, round(avg(y * (patch + 1)), 6) + 0.0 as value from grid join m on r between r0 and r1 and c between c0 and c1 group by r, c")
 def _(spark, sf):
     d = v.pixels(spark, sf).select("r", "c", (F.aggregate("trace", F.lit(0.0), lambda a, x: a + x) / F.size("trace")).alias("y"))
-    d = d.join(patches.patch_pixels(patches.patch_grid(spark, *GRID)), ["r", "c"]).withColumn("value", F.col("y") * (F.col("patch") + 1))
+    d = d.join(patches.patch_pixels(_grid(spark, sf)), ["r", "c"]).withColumn("value", F.col("y") * (F.col("patch") + 1))
     return patches.coverage_mean(d).select("r", "c", "n", r6(F.col("value")).alias("value"))
 
 
@@ -148,13 +154,14 @@ def _(spark, sf):
 
 @query("product_ay", f"with {FOOT_SQL}, {MOVIE_SQL} select k, t, round(sum(w * y), 6) + 0.0 as v from foot join movie using (px) group by k, t")
 def _(spark, sf):
-    return linalg.product_ay(v.footprints(spark, sf), v.movie(spark, sf).select("px", "t", "y")).select("k", "t", r6(F.col("v")).alias("v"))
+    d = linalg.product_ay(v.footprints(spark, sf), v.pixels(spark, sf))
+    return v.unpack(d, "k", values="ay").select("k", "t", r6(F.col("y")).alias("v"))
 
 
 @query("residual_traces", f"with {_GRAM_SQL}, {MOVIE_SQL}, {TRACE_SQL}, ay as (select k, t, sum(w * y) as v from foot join movie using (px) group by k, t), ac as (select k1 as k, t, sum(v * y) as ac from gram join trace on k = k2 group by 1, 2), nn as (select k1 as k, v as norm from gram where k1 = k2) select k, t, round((v - coalesce(ac, 0)) / norm, 6) + 0.0 as v from ay left join ac using (k, t) join nn using (k)")
 def _(spark, sf):
-    trace = v.unpack(v.traces(spark, sf), "k", values="c")
-    return linalg.residual_traces(v.footprints(spark, sf), v.movie(spark, sf).select("px", "t", "y"), trace).select("k", "t", r6(F.col("v")).alias("v"))
+    d = linalg.residual_traces(v.footprints(spark, sf), v.pixels(spark, sf), v.traces(spark, sf))
+    return v.unpack(d, "k", values="c").select("k", "t", r6(F.col("y")).alias("v"))
 
 
 @query("cosine_overlap_edges", f"with {_GRAM_SQL}, s as (select k1 as k, sqrt(v) as s from gram where k1 = k2) select k1, k2, round(v / (a.s * b.s), 6) + 0.0 as cosine from gram join s a on a.k = k1 join s b on b.k = k2 where k1 < k2 and v / (a.s * b.s) > 0.2")
@@ -256,9 +263,35 @@ def _(spark, sf):
     return _traces_of(traces.running_percentile(v.traces(spark, sf), 0.3, 11).select("k", F.col("base").alias("c")), "k")
 
 
-@query("dff_windowed", f"with {_LIST_SQL}, {_filter_sql(0.2, 16, 6)} select k, t, round((c[t + 1] - base) / (base - list_min(c) + 1.0), 6) + 0.0 as y from base join tr using (k)")
+def _norms(spark, sf):
+    return v.footprints(spark, sf).groupBy("k").agg((F.sum(F.col("w") * F.col("w")) / 1000).alias("norm2"))
+
+
+def _background(spark, sf):
+    """A stand-in for A'b f: the component's trace halved and raised."""
+    return v.traces(spark, sf).select("k", F.transform("c", lambda x: x * 0.5 + 3).alias("b"))
+
+
+_NORM_SQL = f"{FOOT_SQL}, n as (select k, sum(w * w) / 1000 as norm2 from foot group by k)"
+_F_FILTER_SQL = _filter_sql(0.2, 16, 6).replace("from tr)", "from fl)").replace("select k, c, list_concat", "select k, c, list_concat")
+_B_FILTER_SQL = _F_FILTER_SQL.replace("pad as", "padb as").replace("blk as", "blkb as").replace("bq as", "bqb as").replace("base as", "baseb as").replace("from fl)", "from bg)").replace("from pad,", "from padb,").replace("from blk)", "from blkb)").replace("join bq a", "join bqb a").replace("join bq b", "join bqb b")
+
+
+@query("dff_windowed", f"""with {_LIST_SQL}, {_NORM_SQL}, fl as (select k, list_transform(c, lambda x: x * norm2) as c from tr join n using (k)), bg as (select k, list_transform(c, lambda x: x * 0.5 + 3) as c from tr join n using (k)), {_F_FILTER_SQL}, {_B_FILTER_SQL}
+ select k, t, round((c[t + 1] - base.base) / (baseb.base + base.base), 6) + 0.0 as y from base join baseb using (k, t) join fl using (k)""")
+def _(spark, sf):
+    return _traces_of(traces.dff_windowed(v.traces(spark, sf), _norms(spark, sf), _background(spark, sf), 0.2, 16, 6), "k")
+
+
+@query("extract_dff", f"""with {_GRAM_SQL}, {MOVIE_SQL}, {TRACE_SQL}, ay as (select k, t, sum(w * y) as v from foot join movie using (px) group by k, t),
+ ot as (select k1 as k, t, sum(v * y) as o from gram join trace on k = k2 where k1 <> k2 group by 1, 2), lf as (select k, t, v - coalesce(o, 0) as x from ay left join ot using (k, t)),
+ ls as (select k, list(x order by t) as w from lf group by k), d as (select k, {hazen_sql("w", 0.5)} as df from ls), mn as (select k, min(y) as base from trace group by k)
+ select k, trace.t, round(df, 4) + 0.0 as df, round((y - base) * g.v / df, 4) + 0.0 as y from trace join mn using (k) join d using (k) join gram g on g.k1 = k and g.k2 = k""")
 def _(spark, sf):
-    return _traces_of(traces.dff_windowed(v.traces(spark, sf), 0.2, 16, 6), "k")
+    foot, tr = v.footprints(spark, sf), v.traces(spark, sf)
+    base = tr.select("k", F.array_min("c").alias("base"))
+    d = traces.extract_dff(tr, linalg.product_ay(foot, v.pixels(spark, sf)), linalg.gram(foot), base, 0.5)
+    return v.unpack(d, "k", "df", values="c").select("k", "t", (F.round("df", 4) + F.lit(0.0)).alias("df"), (F.round("y", 4) + F.lit(0.0)).alias("y"))
 
 
 @query("remove_baseline", f"with {_LIST_SQL}, q as (select k, c, list_filter(c, lambda x, i: i > 1 and x - c[i - 1] >= 0 and x - c[i - 1] < 0.1) as a from tr), b as (select k, c, case when len(a) > 0 then {hazen_sql('a', 0.5)} else 0.0 end as base from q) select k, unnest(range(64)) as t, round(base, 6) + 0.0 as base, round(unnest(c) - base, 6) + 0.0 as y from b")
