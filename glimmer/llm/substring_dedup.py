@@ -1,77 +1,105 @@
 """Removal of word windows that occur twice, by recompression.
 
-Words are named by hashes, and ROUNDS rounds name pairs: in each round every symbol
-falls into a left or a right class by its name, and a left symbol followed by a right
-one becomes one symbol named after both. Names depend on content alone, so they are
-the same on every executor without being exchanged; a run of one symbol keeps one
-name throughout. Whether two neighbours join depends on nothing else, so equal
-windows get equal symbols but for at most 2**ROUNDS - 1 words at either end. The
-first words of the remaining symbols are a window's possible anchors; the one with
-the least name is its anchor. Anchors that Spark counts twice reveal repeats, and
-the runs of windows around them are compared (``repeats``).
+Words are named by hashes, and each of ROUNDS names what stands side by side: the
+first names runs of two equal words (longer runs stay as they are, since their ends
+may lie outside of a window), the others name pairs, a symbol of the left class
+followed by one of the right class, classes being drawn from the names themselves.
+Names depend on content alone, so they are the same in every text and on every
+executor without being exchanged, and equal windows get equal symbols but for EDGE
+words at either end. Consecutive symbols of PHRASE words or more form the symbols of
+the highest level, the phrases; those inside a window are known to be the same in
+every equal window, and the one with the least name stands for it.
+
+Spark counts the phrases of all texts: phrases found twice reveal repeats. Windows
+under such a phrase are extended from it to both ends and compared, first whole runs
+of windows, then word by word in buckets of bounded size (``repeats``).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .shared import materialize, table
-from .words import Slice, mix, powers, slices, window_sums, words_of
+from .shared import table
+from .words import Slice, mix, powers, runs_of, IS_SPACE, words_of
 
-ROUNDS = 3
-EDGE = 2**ROUNDS - 1
-#: Words of an anchor.
-GRAM = 8
 WIDTH = 35
+#: What the rounds name, and the words at a window's ends whose symbols may depend on what lies outside: 2, then 2 more, then 4 more.
+ROUNDS = ("runs", "pairs", "pairs")
+EDGE = 8
+#: Least and greatest number of words of a phrase: one symbol of eight words may follow PHRASE - 1 others.
+PHRASE, LONGEST = 5, 12
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _U = np.uint64
 
 
-def symbol_starts(names: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places where symbols begin after ROUNDS rounds; ``first`` marks the first word of each text."""
+def symbols(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, name) of the symbols after all rounds; ``first`` marks the first word of each text."""
     at, own = np.arange(len(names)), names
-    for k in range(ROUNDS):
+    for k, what in enumerate(ROUNDS):
         if len(own) < 2:
             break
-        left = (mix(own + _U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) & _U(1)).astype(bool)
-        joins = left[:-1] & ~left[1:] & ~first[at[1:]]
+        inner = ~first[at[1:]]
+        if what == "runs":
+            same = (own[1:] == own[:-1]) & inner
+            joins = same.copy()
+            joins[1:] &= ~same[:-1]
+            joins[:-1] &= ~same[1:]
+        else:
+            left = (mix(own + _U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) & _U(1)).astype(bool)
+            joins = left[:-1] & ~left[1:] & inner
         merged = own.copy()
         merged[:-1][joins] = mix(own[:-1][joins] * _U(3) + own[1:][joins] * _U(0x9FB21C651E98DF25) + _U(k))
         keep = np.concatenate([[True], ~joins])
         at, own = at[keep], merged[keep]
-    out = np.zeros(len(names), bool)
-    out[at] = True
-    return out
+    return at, own
+
+
+def phrases(at: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, length, name) of the phrase that begins with each symbol; those that a text's end cuts are left out."""
+    ends = np.append(at[1:], bounds[-1])
+    last = np.searchsorted(ends, at + PHRASE)  # the symbol that completes the phrase
+    inside = last < len(at)
+    inside[inside] &= ends[last[inside]] <= bounds[np.searchsorted(bounds, at[inside], "right")]
+    first, last = np.flatnonzero(inside), last[inside]
+    prefix = np.zeros(len(own) + 1, np.uint64)
+    np.cumsum(own * powers(_MULTIPLIER, len(own)), out=prefix[1:])
+    name = mix((prefix[last + 1] - prefix[first]) * powers(_INVERSE, len(own) + 1)[first] + (last - first).astype(np.uint64))
+    return at[first], ends[last] - at[first], name
 
 
 class WordUnits:
-    width = WIDTH
+    width, reach = WIDTH, WIDTH - EDGE - PHRASE + 1
 
     def runs(self, part: Slice) -> repeats.Runs:
         found = words_of(part)
         names, bounds = found.hashes, found.bounds
         n = len(names)
-        none = np.zeros(0, np.int64)
         if n < WIDTH:
-            return repeats.Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), bounds, names)
+            return repeats.no_runs(bounds)
         first = np.zeros(n + 1, bool)
         first[bounds] = True
-        grams = window_sums(names, GRAM)
-        place = np.arange(len(grams), dtype=np.uint64)
+        at, length, name = phrases(*symbols(names, first[:n]), bounds)
         bits = 24 if n < 1 << 24 else 40  # of the place, below the name's high bits
-        value = (grams >> _U(bits) << _U(bits)) | place
-        value = np.where(symbol_starts(names, first[:n])[: len(grams)], value, ~_U(0))
-        low = repeats.sliding_min(value, WIDTH - 2 * EDGE)  # places s + EDGE ... s + WIDTH - EDGE - 1; a gram fits at each
-        anchors = (low & _U((1 << bits) - 1)).astype(np.int64)
+        value = (name >> _U(bits) << _U(bits)) | at.astype(np.uint64)
+        least = np.full(n - WIDTH + 1, ~_U(0))
+        for size in range(PHRASE, LONGEST + 1):  # phrases of this size end inside if they begin at EDGE ... WIDTH - EDGE - size
+            of = np.full(n, ~_U(0))
+            of[at[length == size]] = value[length == size]
+            low = repeats.sliding_min(of, WIDTH - 2 * EDGE - size + 1)
+            np.minimum(least, low[EDGE : EDGE + len(least)], out=least)
         rows = np.repeat(np.arange(part.n), np.diff(bounds))
         last = bounds[1:][rows] - WIDTH  # last window of each word's row
         valid = np.flatnonzero(np.arange(n) <= last)
-        anchors = anchors[EDGE:]
+        if not len(valid):
+            return repeats.no_runs(bounds)
+        anchors = np.zeros(n, np.int64)
+        anchors[: len(least)] = (least & _U((1 << bits) - 1)).astype(np.int64)
         begin = repeats.run_starts(anchors, valid)
         count = np.diff(np.append(begin, len(valid)))
         start = valid[begin]
@@ -79,31 +107,42 @@ class WordUnits:
         np.cumsum(names * powers(_MULTIPLIER, n), out=prefix[1:])
         end = start + count - 1 + WIDTH
         digest = mix((prefix[end] - prefix[start]) * powers(_INVERSE, n + 1)[start] + count.astype(np.uint64))
-        return repeats.Runs(rows[start], start - bounds[rows[start]], count, grams[anchors[start]], digest, bounds, names)
+        own = name[np.searchsorted(at, anchors[start])]
+        return repeats.Runs(rows[start], start - bounds[rows[start]], anchors[start] - start, count, own, digest, bounds)
 
-    def kept(self, text: bytes, removed: np.ndarray | None) -> bytes:
-        own = text.split()  # bytes: the same six characters
-        return b" ".join(own if removed is None else [w for w, gone in zip(own, removed.tolist(), strict=True) if not gone])
+    def bounds(self, part: Slice) -> np.ndarray:
+        starts, _ = runs_of(~IS_SPACE[part.buf], part.offsets)
+        return np.searchsorted(starts, part.offsets)
 
+    def sequence(self, text: bytes) -> list[bytes]:
+        return text.split()  # bytes: the same six characters
 
-def compared_windows(involved: DataFrame, units: repeats.Units) -> DataFrame:
-    """``w`` (hash), key, ``start`` and ``copies`` of every window of the runs that are to be compared."""
+    def joined(self, units: list[bytes]) -> bytes:
+        return b" ".join(units)
+
+    def kept(self, text: bytes, removed: np.ndarray | None) -> bytes:
+        own = text.split()
+        return b" ".join(own if removed is None else [w for w, gone in zip(own, removed.tolist(), strict=True) if not gone])
 
-    def run(batches):
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in repeats.KEY]
-            for part in slices(batch.column("text")):
-                r, i, copies = repeats.open_runs(part, units, batch)
-                if not len(i):
-                    continue
-                count = r.count[i]
-                each = np.repeat(np.arange(len(i)), count)
-                start = np.repeat(r.start[i], count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                row = r.row[i][each]
-                w = window_sums(r.units, units.width)[start + r.bounds[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64), keys[0][part.first + row], keys[1][part.first + row], start.astype(np.int32), copies[each])], ["w", *repeats.KEY, "start", "copies"])
 
-    return involved.select(*repeats.KEY, "text", "acts").mapInArrow(run, "w long, doc_id long, tkey long, start int, copies long")
+def _compare(table: pa.Table) -> pa.Table:
+    """Windows of one bucket that another one equals, word by word; those of copied fragments count twice, and are gone already."""
+    place = table.column("place").to_numpy()
+    copied = table.column("copied").to_numpy(zero_copy_only=False)
+    count = place & 255
+    words = b" ".join(table.column("bytes").to_pylist()).split(b" ")
+    ids = pd.factorize(np.array(words, object))[0].astype(np.int32)
+    begin = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
+    fragment = np.repeat(np.arange(len(place)), count)
+    offset = np.arange(len(fragment)) - np.repeat(np.cumsum(count) - count, count)
+    rows = np.lib.stride_tricks.sliding_window_view(ids, WIDTH)[begin[fragment] + offset]
+    order = np.lexsort(rows.T)
+    other = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(other)])
+    weight = np.bincount(group, 1 + copied[fragment])
+    gone = np.flatnonzero((weight[group] > 1) & ~copied[fragment])
+    return repeats.spans_by_row(table, fragment[gone], (place >> repeats.START)[fragment[gone]] + offset[gone])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -114,10 +153,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     units = WordUnits()
     found = repeats.find(docs, units, keep_first=False)
-    windows = materialize(compared_windows(found.involved, units), "repeat-windows")
-    twice = windows.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
-    gone = windows.where("copies = 1").join(twice, "w", "left_semi").groupBy(*repeats.KEY).agg(F.collect_list("start").alias("starts"))
-    return repeats.finish(found, units, gone, keep_first=False).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+    spans = repeats.compare(found, units, False, _compare)
+    return repeats.finish(found, units, spans, keep_first=False).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

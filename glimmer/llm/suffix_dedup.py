@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by interval expansion on Burrows-Wheeler transforms.
 
 Texts are cut by content (``repeats``): each WIDTH-byte window belongs to the least
-GRAM-byte string in it, so equal windows meet under equal anchors. Runs that are
-equal as a whole are settled by counting. The fragments of the other runs of an
-anchor go to one bucket; there, one transform is built over all fragments, and
+GRAM-byte string in it, so equal windows meet under equal anchors, and runs of
+windows that are equal as a whole are collapsed to one. The distinct runs of an
+anchor go to one bucket; there, one transform is built over all of them, and
 breadth-first backward extension from the empty string derives the common-prefix
 array by increasing value: an interval of suffixes that share w is extended by each
 character before it to the interval of cw, whose right bound gets the current value
@@ -12,9 +12,8 @@ value already ends the branch. At WIDTH the expansion stops: bounds without a va
 separate suffixes that share WIDTH bytes or more, so what lies between bounds with
 one are the classes of equal windows. Each keeps its first occurrence.
 
-A bucket holds a bounded number of bytes on average; anchors with very many
-different runs (edges of a passage that a large share of all texts has) would break
-that, and their windows are grouped by hash instead, with partial aggregation.
+A bucket holds a bounded number of bytes: crowded anchors are split by the bytes
+around them until they fit.
 """
 
 from __future__ import annotations
@@ -25,28 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .shared import materialize, small_side, table
-from .words import Slice, mix, powers, window_sums
+from .shared import table
+from .words import Slice, mix, powers
 
 WIDTH = 100
 GRAM = 40
-#: Bytes of fragments of a bucket, on average, and the fragments of an anchor from which it counts as hot: about a quarter of a bucket.
-BUCKET_BYTES = 1 << 20
-HOT = BUCKET_BYTES // 512
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _U = np.uint64
 
 
 class ByteUnits:
-    width = WIDTH
+    width, reach = WIDTH, WIDTH - GRAM + 1
 
     def runs(self, part: Slice) -> repeats.Runs:
         buf, bounds = part.buf, part.offsets
         n = len(buf)
-        none = np.zeros(0, np.int64)
         if n < WIDTH:
-            return repeats.Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), bounds, buf)
+            return repeats.no_runs(bounds)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + _U(1)) * powers(_MULTIPLIER, n), out=prefix[1:])
         inverse = powers(_INVERSE, n + 1)
@@ -64,7 +59,16 @@ class ByteUnits:
         row = np.searchsorted(bounds, start, "right") - 1
         end = start + count - 1 + WIDTH
         digest = mix((prefix[end] - prefix[start]) * inverse[start] + count.astype(np.uint64))
-        return repeats.Runs(row, start - bounds[row], count, grams[anchors[start]], digest, bounds, buf)
+        return repeats.Runs(row, start - bounds[row], anchors[start] - start, count, grams[anchors[start]], digest, bounds)
+
+    def bounds(self, part: Slice) -> np.ndarray:
+        return part.offsets
+
+    def sequence(self, text: bytes) -> bytes:
+        return text
+
+    def joined(self, units: bytes) -> bytes:
+        return units
 
     def kept(self, text: bytes, removed: np.ndarray | None) -> bytes:
         return text if removed is None else np.frombuffer(text, np.uint8)[~removed].tobytes()
@@ -151,61 +155,15 @@ def repeated_windows(fragments: list[bytes], order_key: np.ndarray) -> tuple[np.
     return fragment[later], offset[later]
 
 
-def compared_fragments(involved: DataFrame, units: repeats.Units) -> DataFrame:
-    """``name``, key, ``start`` and ``bytes`` of every run that is to be compared with others of its anchor."""
-
-    def run(batches):
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in repeats.KEY]
-            for part in repeats.slices(batch.column("text")):
-                r, i, _ = repeats.open_runs(part, units, batch)
-                if not len(i):
-                    continue
-                at = (r.bounds[r.row[i]] + r.start[i]).tolist()
-                raw = part.buf.tobytes()
-                data = [raw[a : a + n + WIDTH - 1] for a, n in zip(at, r.count[i].tolist(), strict=True)]
-                ids = [pa.array(k[part.first + r.row[i]]) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(r.name[i].view(np.int64)), *ids, pa.array(r.start[i]), pa.array(data, pa.binary())], ["name", *repeats.KEY, "start", "bytes"])
-
-    return involved.select(*repeats.KEY, "text", "acts").mapInArrow(run, "name long, doc_id long, tkey long, start long, bytes binary")
-
-
-SPANS = "doc_id long, tkey long, starts array<long>"
-
-
 def _expand(table: pa.Table) -> pa.Table:
     """Windows of one bucket that an earlier one equals, by document."""
     keys = [table.column(c).to_numpy() for c in repeats.KEY]
-    start = table.column("start").to_numpy()
+    start = table.column("place").to_numpy() >> repeats.START
     by = np.lexsort((keys[1], keys[0]))
-    new = np.concatenate([[0], np.cumsum((np.diff(keys[0][by]) != 0) | (np.diff(keys[1][by]) != 0))])
     doc = np.empty(len(by), np.int64)
-    doc[by] = new
+    doc[by] = np.concatenate([[0], np.cumsum((np.diff(keys[0][by]) != 0) | (np.diff(keys[1][by]) != 0))])
     fragment, offset = repeated_windows(table.column("bytes").to_pylist(), (doc << 36) + start)
-    at = start[fragment] + offset
-    row = doc[fragment]
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    first = by[np.searchsorted(new, row[heads])]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)), pa.int32()), pa.array(at, pa.int64()))
-    return pa.Table.from_arrays([pa.array(keys[0][first]), pa.array(keys[1][first]), lists], ["doc_id", "tkey", "starts"])
-
-
-def _window_rows(batches):
-    """Hash and place of every window of hot anchors' fragments."""
-    for batch in batches:
-        keys = [batch.column(c).to_numpy() for c in repeats.KEY]
-        start, data = batch.column("start").to_numpy(), batch.column("bytes").to_pylist()
-        for a in range(0, len(data), 2000):
-            buf = np.frombuffer(b"".join(data[a : a + 2000]), np.uint8)
-            sizes = np.array([len(x) for x in data[a : a + 2000]])
-            count = sizes - WIDTH + 1
-            each = np.repeat(np.arange(len(sizes)), count)
-            offset = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            w = window_sums(buf.astype(np.uint64) + _U(1), WIDTH)[(np.cumsum(sizes) - sizes)[each] + offset]
-            ids = [pa.array(k[a : a + 2000][each]) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *ids, pa.array(start[a : a + 2000][each] + offset)], ["w", *repeats.KEY, "start"])
+    return repeats.spans_by_row(table, fragment, start[fragment] + offset)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -216,17 +174,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     units = ByteUnits()
     found = repeats.find(docs, units, keep_first=True)
-    fragments = materialize(compared_fragments(found.involved, units), "fragments")
-    hot = small_side(materialize(fragments.groupBy("name").count().where(F.col("count") > HOT).select("name"), "hot-anchors"), 8)
-    size = fragments.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    usual = fragments.join(hot, "name", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
-    spans = usual.repartition(int(min(buckets, 20_000)), "bucket").groupBy("bucket").applyInArrow(_expand, SPANS)
-    rows = materialize(fragments.join(hot, "name", "left_semi").select(*repeats.KEY, "start", "bytes").mapInArrow(_window_rows, "w long, doc_id long, tkey long, start long"), "hot-windows")
-    place = F.struct(*repeats.KEY, "start")
-    first = rows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = rows.join(first, "w").where(place != F.col("first")).select(*repeats.KEY, F.array("start").alias("starts"))
-    spans = spans.union(later).groupBy(*repeats.KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    spans = repeats.compare(found, units, True, _expand)
     return repeats.finish(found, units, spans, keep_first=True).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
 
 
