@@ -32,6 +32,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT, SEEN = 1 << 16, 2
 #: Rounds of leaders before the remaining pairs, and members that one verification task compares with a leader.
 LEADER_ROUNDS, CHUNK = 2, 64
+#: Steps in which the share of a prefix that no other group lists counts when leaders are picked.
+PREFIX_PARTS = 8
 #: Bits of the maps that bound how many elements two sets can share.
 BITS = 1024
 _U = np.uint64
@@ -99,6 +101,11 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def prefix_size(n):
+    """The same of a column."""
+    return n - F.ceil(n * PERCENT / 100) + 1
+
+
 def prefixes(docs: DataFrame) -> DataFrame:
     """``doc_id, n, d1, d2, prefix, pkey, bits`` of every row: set size, set digest, prefix tokens, their digest, bitmap."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # 16 bytes each
@@ -266,11 +273,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
         d = d.join(a, "a").join(b, "b").where(similar_sizes(F.col("na"), F.col("nb")) & (2 * F.col("shared") >= needed(F.col("na") + F.col("nb"), F.greatest("na", "nb"))))
         return expanded(d.select("a", "b", "single"), "b").select("a", "b").distinct()
 
-    # a token early in a prefix has few rarer ones before it: such a unit has least of its own, and is central in its family
-    links = verify(docs, to_leaders(lists, F.struct("i", "unit"), F.lit(True)), nodes)
+    # one order of units for all tokens, so a family's first unit leads every token that it is listed under; units of few tokens
+    # of their own come first, as they are central in their family
+    own = F.floor((PREFIX_PARTS * (prefix_size(F.col("n")) - F.least("cap", prefix_size(F.col("n"))))) / prefix_size(F.col("n")))
+    links = verify(docs, to_leaders(lists, F.struct(own.alias("own"), "unit"), F.lit(True)), nodes)
     left, of = labelled(lists, members, links)
     for k in range(1, LEADER_ROUNDS):
-        rank = F.struct(F.floor(F.log2(F.col("i") + 1)).alias("p"), F.xxhash64("unit", F.lit(k)).alias("h"), "unit", "low", "high")
+        rank = F.struct(own.alias("own"), F.xxhash64("unit", F.lit(k)).alias("h"), "unit", "low", "high")
         links = links.union(verify(docs, to_leaders(left, rank, (F.col("low") != F.col("l.low")) | (F.col("high") != F.col("l.high")) | (F.col("low") != F.col("high"))), nodes))
         left, of = labelled(left.drop("low", "high"), members, links)
     links = links.union(verify(docs, across_components(found, nodes, left, of, expanded), nodes))
