@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation, dot, mean, total
+from ..plans.lineage import ranked_by
 from .linalg import binary_edges, centers, weighted_sums
 from .numerics import map_traces
 
@@ -40,7 +41,7 @@ def event_frames(traces: DataFrame, level: Column, least: int) -> DataFrame:
 
 def ranked_by_events(events: DataFrame) -> DataFrame:
     """``k, n, rank``: most active first, ties by k."""
-    return events.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "k")))  # one row a component
+    return ranked_by(events, F.desc("n"), "k")
 
 
 def stacked_ar2(traces: DataFrame, lags: int, noise_var: float) -> DataFrame:

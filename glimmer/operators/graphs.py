@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
-from ..plans.lineage import cut
+from ..plans.lineage import cut, ranked_by
 from .linalg import cosine_edges
 
 
@@ -38,8 +38,7 @@ def merge_scores(edges: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """``component, score, size, rank`` of the ``most`` groups with the largest summed correlation."""
     size = groups.groupBy("component").agg(F.count("*").alias("size"))
     d = edges.join(groups.select(F.col("k").alias("k1"), "component"), "k1").groupBy("component").agg(F.sum("rho").alias("score")).join(size, "component")
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "component"))  # one row a merge group
-    return d.withColumn("rank", rank).where(F.col("rank") <= most)
+    return ranked_by(d.orderBy(F.desc(F.round("score", 9)), "component").limit(most), F.desc(F.round("score", 9)), "component")
 
 
 def thresholded(foot: DataFrame, share: float) -> DataFrame:

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import dot
+from ..plans.lineage import ranked_by
+
 #: Bytes of partial sums that a task holds before it passes them on.
 HELD_BYTES = 64 << 20
 
@@ -115,4 +118,56 @@ def ranked(foot: DataFrame, traces: DataFrame) -> DataFrame:
     n = foot.groupBy("k").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("n2"), F.pow(F.sum(F.col("w") ** 4), F.lit(0.25)).alias("n4"))
     d = n.join(traces.select("k", F.array_max("c").alias("top")), "k")
     d = d.select("k", (F.col("top") * F.col("n2") * (F.col("n4") / F.col("n2"))).alias("score"))
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "k")))  # one row a component
+    return ranked_by(d, F.desc("score"), "k")
+
+
+def leading_factors(rows: DataFrame, count: int, rounds: int = 8, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(``px, u``, s, V) of the ``count`` largest singular values of packed ``rows (px, trace)``, by subspace iterations.
+
+    The frames' Gram matrix is never formed: each round sends one block of frames by
+    ``count`` numbers to the rows and sums ``count`` vectors; rows stay where they are.
+    """
+
+    def step(v: np.ndarray) -> np.ndarray:
+        def project(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    y = batch.column("trace").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    out = (y @ v).T @ y
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(np.ones(len(out))), pa.array(list(out))], ["k", "w", "x"])
+
+        sums = weighted_sums(rows.select("trace").mapInArrow(project, "k long, w double, x array<double>")).collect()  # count rows
+        return np.stack([x for _, x in sorted((r["k"], np.array(r["x"])) for r in sums)], axis=1) if sums else v[:0]
+
+    first = rows.select(F.size("trace")).first()
+    frames = first[0] if first else 0
+    v = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).normal(size=(frames, min(count, frames))))[0]
+    for _ in range(rounds if frames else 0):
+        v = np.linalg.qr(step(v))[0]
+    values, turn = np.linalg.eigh(v.T @ step(v)) if frames else (np.zeros(0), np.zeros((0, 0)))
+    v, s = v @ turn[:, ::-1], np.sqrt(np.maximum(values[::-1], 0.0))
+
+    def left(batches):
+        for batch in batches:
+            y = batch.column("trace").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, frames)
+            u = np.divide(y @ v, s, out=np.zeros((len(y), len(s))), where=s > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("px"), pa.array(list(u), pa.list_(pa.float64()))], ["px", "u"])
+
+    return rows.select("px", "trace").mapInArrow(left, "px long, u array<double>"), s, v
+
+
+def projected(foot: DataFrame, background: DataFrame) -> DataFrame:
+    """``k, v``: A'b for one background image ``px, b``."""
+    return foot.join(background, "px").groupBy("k").agg(F.sum(F.col("w") * F.col("b")).alias("v"))
+
+
+def reconstruction(foot: DataFrame, traces: DataFrame) -> DataFrame:
+    """``px, trace``: A C, as sums of whole vectors."""
+    d = foot.join(traces.select("k", "c"), "k").select(F.col("px").alias("k"), "w", F.col("c").alias("x"))
+    return weighted_sums(d).select(F.col("k").alias("px"), F.col("x").alias("trace"))
+
+
+def pixel_products(pixels: DataFrame, traces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``k, px, v``: (Y C') of the wanted ``pairs (k, px)``."""
+    d = pairs.select("k", "px").join(traces.select("k", "c"), "k").join(pixels.select("px", "trace"), "px")
+    return d.select("k", "px", dot(F.col("c"), F.col("trace")).alias("v"))

@@ -74,14 +74,102 @@ def event_fitness(y: np.ndarray, n: int = 12) -> dict:
     return {"fitness": float((sums[n:] - sums[:-n]).min()), "mode": mode, "sd": sd}
 
 
-def kde_mode(y: np.ndarray, points: int = 256) -> dict:
-    """Mode of a Gaussian kernel density (Silverman bandwidth), and the share of samples at or below it."""
-    spread = min(y.std(), (np.quantile(y, 0.75) - np.quantile(y, 0.25)) / 1.349) or y.std() or 1.0
-    h = 0.9 * spread * len(y) ** -0.2
-    grid = np.linspace(y.min() - 3 * h, y.max() + 3 * h, points)
-    density = np.exp(-0.5 * ((grid[:, None] - y) / h) ** 2).sum(axis=1)
-    mode = float(grid[density.argmax()])
-    return {"mode": mode, "level": float((y <= mode).mean())}
+def welch_noise(y: np.ndarray, low: float = 0.25, high: float = 0.5, how: str = "logmexp") -> float:
+    """Noise deviation from Welch's spectrum: eight half-overlapping segments under a Hamming window, ``low`` and ``high`` included."""
+    n = len(y)
+    size = max(2, int(n // 4.5))
+    taper = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+    length = max(256, 1 << (size - 1).bit_length())
+    parts = [y[a : a + size] * taper for a in range(0, n - size + 1, size - size // 2)]
+    p = np.mean([np.abs(np.fft.rfft(x, length)) ** 2 for x in parts], axis=0) / (taper @ taper)
+    p[1:-1] *= 2
+    f = np.fft.rfftfreq(length)
+    own = p[(f >= low) & (f <= high)] / 2
+    return float(np.sqrt({"mean": np.mean, "median": np.median, "logmexp": lambda x: np.exp(np.log(x + 1e-300).mean())}[how](own)))
+
+
+def _cosines(x: np.ndarray) -> np.ndarray:
+    """Cosine transform: sum of x_j cos(pi k (j + 1/2) / n), doubled but for the first."""
+    n = len(x)
+    spectrum = np.fft.fft(np.concatenate([x[::2], x[1::2][::-1]]))
+    out = 2 * (np.exp(-1j * np.pi * np.arange(n) / (2 * n)) * spectrum).real
+    out[0] /= 2
+    return out
+
+
+def _from_cosines(a: np.ndarray) -> np.ndarray:
+    """Its inverse times the number of values: a density on the unit interval."""
+    n = len(a)
+    spectrum = np.exp(1j * np.pi * np.arange(n) / (2 * n)) * a * np.where(np.arange(n), 0.5, 1.0)
+    return np.fft.irfft(np.concatenate([spectrum, [0], np.conj(spectrum[1:][::-1])])[: n + 1], 2 * n)[:n] * 2 * n
+
+
+def diffusion_density(y: np.ndarray, points: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grid, density, distribution) by diffusion with the plug-in bandwidth that solves t = xi gamma(t) over seven stages (Botev, Grotowski and Kroese 2010).
+
+    The grid reaches half the data's range beyond both ends. Constant data are a point mass.
+    """
+    low, high = float(y.min()), float(y.max())
+    spread = high - low
+    if spread <= 0:
+        return np.array([low]), np.array([1.0]), np.array([1.0])
+    grid = np.linspace(low - spread / 2, high + spread / 2, points)
+    reach, n = grid[-1] - grid[0], len(np.unique(y))
+    share = np.bincount(np.minimum(np.searchsorted(grid, y, "right") - 1, points - 1), minlength=points) / len(y)
+    a = _cosines(share)
+    k, power = np.arange(1, points, dtype=float) ** 2, (a[1:] / 2) ** 2
+
+    def roughness(order: int, t: float) -> float:
+        return 2 * math.pi ** (2 * order) * float((np.exp(order * np.log(k) - k * math.pi**2 * t) * power).sum())
+
+    def excess(t: float) -> float:
+        f = roughness(7, t)
+        for s in range(6, 1, -1):
+            odd = math.prod(range(1, 2 * s, 2)) / math.sqrt(2 * math.pi)
+            f = roughness(s, (2 * (1 + 0.5 ** (s + 0.5)) / 3 * odd / n / f) ** (2 / (3 + 2 * s))) if f > 0 else 0.0
+        return t - (2 * n * math.sqrt(math.pi) * f) ** (-0.4) if f > 0 else t - 1.0
+
+    t = _least_root(excess, n)
+    density = np.maximum(_from_cosines(a * np.exp(-np.append(0.0, k) * math.pi**2 * t / 2)) / reach, 0.0)
+    f = 2 * math.pi**2 * float((k * power * np.exp(-k * math.pi**2 * t)).sum())
+    t_cdf = (math.sqrt(math.pi) * f * n) ** (-2 / 3)
+    cdf = np.cumsum(_from_cosines(a * np.exp(-np.append(0.0, k) * math.pi**2 * t_cdf / 2))) / points
+    return grid, density, cdf
+
+
+def _least_root(f: Callable[[float], float], n: int) -> float:
+    """Least t in (0, 0.1] at which ``f`` turns positive, by steps that widen and then bisection; (0.28 n^-0.4)^2 where there is none."""
+    a, b = 0.0, 1e-12 + 0.01 * (min(max(n, 50), 1050) - 50) / 1000
+    while f(b) < 0:
+        if b >= 0.1:
+            return (0.28 * n**-0.4) ** 2
+        a, b = b, min(2 * b, 0.1)
+    for _ in range(80):
+        mid = (a + b) / 2
+        a, b = (mid, b) if f(mid) < 0 else (a, mid)
+    return b
+
+
+def percentile_levels(y: np.ndarray, window: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mode, share at or below it) of the diffusion density of each segment; a last segment under two thirds of a window joins the one before."""
+    starts = list(range(0, len(y), shift))
+    ends = [*range(window, len(y) + 1, shift), len(y)]
+    parts = list(zip(starts, ends, strict=False))
+    if len(parts) > 1 and parts[-1][1] - parts[-1][0] < 2 * window / 3:
+        parts[-2:] = [(parts[-2][0], parts[-1][1])]
+    modes, shares = [], []
+    for a, b in parts:
+        grid, density, cdf = diffusion_density(y[a:b])
+        at = int(density.argmax())
+        modes.append(grid[at])
+        shares.append(min(max(float(cdf[at]), 0.0), 1.0))
+    return np.array(modes), np.array(shares)
+
+
+def kde_mode(y: np.ndarray) -> dict:
+    """Mode of the whole trace's diffusion density, and the share of the density at or below it."""
+    mode, level = percentile_levels(y, len(y), len(y))
+    return {"mode": float(mode[0]), "level": float(level[0])}
 
 
 def oasis_ar1(y: np.ndarray, g: float, lam: float = 0.0, smin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +220,96 @@ def constrained_ar1(y: np.ndarray, g: float, noise: float, steps: int = 30) -> t
     return *oasis_ar1(y, g, low), low
 
 
+def foopsi_ar1(y: np.ndarray, g: float, lam: float = 0.0, base: float | None = None, steps: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+    """(c, s, baseline): penalised fit; with ``base`` None the baseline is fitted too.
+
+    At the best baseline the mean of what is left is zero; that mean falls as the
+    baseline rises, as the joint problem is convex, so the baseline is bisected.
+    """
+    if base is None:
+        low, high = float(y.min() - (y.max() - y.min())), float(y.max())
+        for _ in range(steps):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (y - mid - oasis_ar1(y - mid, g, lam)[0]).mean() > 0 else (low, mid)
+        base = high
+    return *oasis_ar1(y - base, g, lam), base
+
+
+def decay_and_rise(g1: float, g2: float) -> tuple[float, float]:
+    """The two poles of an AR(2) process, the larger one first; complex ones by their common size, and all held inside (0, 1)."""
+    root = g1 * g1 + 4 * g2
+    d, r = ((g1 + math.sqrt(root)) / 2, (g1 - math.sqrt(root)) / 2) if root >= 0 else (math.sqrt(-g2), math.sqrt(-g2) * 0.999)
+    return min(max(d, 1e-3), 0.999), min(max(r, 1e-6), 0.998)
+
+
+def two_exponentials(d: float, r: float, window: int) -> np.ndarray:
+    """Response d^t - r^t over d - r at t = 1, 2, ...."""
+    t = np.arange(1, window + 1)
+    return (d**t - r**t) / (d - r)
+
+
+def ar_coefficients(y: np.ndarray, order: int, noise: float, lags: int = 5) -> np.ndarray:
+    """Coefficients by least squares on ``lags`` lags of the autocovariance, the noise taken off lag zero."""
+    x = y - y.mean()
+    v = np.array([x[k:] @ x[: len(x) - k] / len(x) for k in range(lags + order + 1)])
+    v[0] -= noise**2
+    rows = np.array([[v[abs(i - j)] for j in range(1, order + 1)] for i in range(1, lags + order + 1)])
+    return np.linalg.lstsq(rows, v[1 : lags + order + 1], rcond=None)[0]
+
+
+def deconvolve(y: np.ndarray, kind: str = "ar1", method: str = "foopsi", pars=None, noise: float | None = None, lam: float = 0.0, smin: float = 0.0, base: float | None = 0.0, window: int = 200) -> dict:
+    """``c, s, base, pars`` of one trace.
+
+    ``kind``: ar1, ar2 (coefficients), exp2 (poles) or kernel (samples of the response);
+    ``method``: foopsi (penalty ``lam``), constrained (the residual is the noise) or
+    thresholded (spikes of at least ``smin``; 0 for ar1: as large as the noise allows).
+    Missing parameters and noise are estimated; ``base`` None fits the baseline too.
+    """
+    noise = welch_noise(y) if noise is None else noise
+    if pars is None:
+        g = ar_coefficients(y, 1 if kind == "ar1" else 2, noise)
+        if kind == "ar1":
+            pars = [min(max(float(g[0]), 0.05), 0.98)]
+        else:
+            d, r = decay_and_rise(*g)
+            pars = [d + r, -d * r] if kind == "ar2" else [d, r] if kind == "exp2" else two_exponentials(d, r, window)
+    b = float(np.quantile(y, 0.15)) if base is None else base
+    if kind == "ar1":
+        g = float(pars[0])
+        if method == "foopsi":
+            c, s, b = foopsi_ar1(y, g, lam, base)
+        elif method == "constrained":
+            c, s, _ = constrained_ar1(y - b, g, noise)
+        elif smin:
+            c, s = oasis_ar1(y - b, g, lam, smin)
+        else:
+            c, s, _ = thresholded_ar1(y - b, g, noise)
+    else:
+        kernel = ar2_response(float(pars[0]), float(pars[1]), window) if kind == "ar2" else two_exponentials(*pars, window) if kind == "exp2" else np.asarray(pars, float)
+        if method == "thresholded":
+            c, s = thresholded_spikes(y - b, kernel, smin)
+        else:
+            c, s = convolution_nnls(y - b, kernel, lam)
+            if method == "constrained":
+                c, s = _constrained(y - b, kernel, noise)
+    return {"c": c, "s": s, "base": float(b), "pars": [float(x) for x in pars]}
+
+
+def _constrained(y: np.ndarray, kernel: np.ndarray, noise: float, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(c, s) at the largest penalty whose residual stays within the noise, by bisection."""
+    limit = noise**2 * len(y)
+    low, high = 0.0, max(float(y.max()), 1e-9)
+    fit = convolution_nnls(y, kernel, low)
+    for _ in range(steps):
+        mid = (low + high) / 2
+        new = convolution_nnls(y, kernel, mid)
+        if ((y - new[0]) ** 2).sum() <= limit:
+            low, fit = mid, new
+        else:
+            high = mid
+    return fit
+
+
 def thresholded_ar1(y: np.ndarray, g: float, noise: float, steps: int = 9) -> tuple[np.ndarray, np.ndarray, float]:
     """(c, s, least spike): the largest least spike whose residual stays within the noise, by bisection."""
     limit = noise**2 * len(y)
@@ -145,10 +323,22 @@ def thresholded_ar1(y: np.ndarray, g: float, noise: float, steps: int = 9) -> tu
 
 def nnls(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Non-negative least squares by an active set on the normal equations, until the optimality conditions hold."""
-    gram, b = a.T @ a, a.T @ y
-    x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    return nnls_normal(a.T @ a, a.T @ y)
+
+
+def nnls_normal(gram: np.ndarray, b: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """The same from the normal equations; ``start`` is a first guess, of which the support is taken."""
+    x, passive = np.zeros(len(b)), np.zeros(len(b), bool)
+    if start is not None and (start > 0).any():
+        passive = start > 0
+        while passive.any():
+            s = _solved(gram[np.ix_(passive, passive)], b[passive])
+            if (s > 0).all():
+                x[passive] = s
+                break
+            passive[np.flatnonzero(passive)[s <= 0]] = False
     # columns that rounding took out at once: they wait until another one moves the fit
-    waiting = np.zeros(a.shape[1], bool)
+    waiting = np.zeros(len(b), bool)
     scale = max(1.0, np.abs(b).max(initial=0.0))
     for _ in range(10 * len(x) + 10):
         w = b - gram @ x
@@ -189,13 +379,49 @@ def _solved(gram: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(gram, b, rcond=None)[0]
 
 
-def convolution_nnls(y: np.ndarray, kernel: np.ndarray, lam: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(c, s): non-negative spikes under any causal kernel."""
-    n = len(y)
-    lag = np.arange(n)[:, None] - np.arange(n)[None, :]
-    k = np.where((lag >= 0) & (lag < len(kernel)), kernel[np.clip(lag, 0, len(kernel) - 1)], 0.0)
-    s = nnls(k, y - lam)
-    return k @ s, s
+def convolution_nnls(y: np.ndarray, kernel: np.ndarray, lam: float = 0.0, allowed: np.ndarray | None = None, window: int = 200, sweeps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(c, s): non-negative spikes under any causal kernel, at the ``allowed`` samples only.
+
+    Windows of spikes are fitted one after the other with the rest fixed, each half a
+    window on from the last, in sweeps until none moves; the problem is convex, so this
+    ends at its optimum. Inside, all windows share one small Gram matrix.
+    """
+    n, kernel = len(y), np.asarray(kernel, float)[: len(y)]
+    s, rest = np.zeros(n), y - lam
+    allowed = np.ones(n, bool) if allowed is None else allowed
+    blocks = [(a, min(a + window, n)) for a in range(0, max(1, n - window // 2), window // 2)] if n else []
+
+    def columns(a: int, b: int) -> np.ndarray:
+        end = min(n, b + len(kernel) - 1)
+        lag = np.arange(a, end)[:, None] - np.arange(a, b)[None, :]
+        return np.where((lag >= 0) & (lag < len(kernel)), kernel[np.clip(lag, 0, len(kernel) - 1)], 0.0)
+
+    grams: dict[tuple[int, bool], np.ndarray] = {}
+    for _ in range(sweeps if blocks else 0):
+        moved = 0.0
+        for a, b in blocks:
+            key = (b - a, b + len(kernel) - 1 <= n)
+            if not key[1] or key not in grams:
+                k = columns(a, b)
+                grams[key] = k.T @ k
+            own = np.flatnonzero(allowed[a:b])
+            if not len(own):
+                continue
+            gram = grams[key]
+            end = min(n, b + len(kernel) - 1)
+            wanted = np.correlate(np.append(rest[a:end], np.zeros(len(kernel) - 1 - (end - b))), kernel, "valid")[: b - a] + gram @ s[a:b]
+            new = np.zeros(b - a)
+            new[own] = nnls_normal(gram[np.ix_(own, own)], wanted[own], s[a:b][own])
+            change = new - s[a:b]
+            if np.abs(change).max() > 0:
+                rest[a:end] -= np.convolve(change, kernel)[: end - a]
+                s[a:b] = new
+                moved = max(moved, float(np.abs(change).max()))
+        if moved <= tol * max(1.0, float(s.max())) or len(blocks) == 1:
+            return np.convolve(s, kernel)[:n], s
+    if not blocks:
+        return s, s
+    raise RuntimeError("convolution_nnls: the sweeps ended without an optimum")
 
 
 def ar2_response(g1: float, g2: float, n: int) -> np.ndarray:
@@ -208,14 +434,13 @@ def ar2_response(g1: float, g2: float, n: int) -> np.ndarray:
 
 def thresholded_spikes(y: np.ndarray, kernel: np.ndarray, smin: float) -> tuple[np.ndarray, np.ndarray]:
     """(c, s): non-negative spikes of at least ``smin``; smaller ones are dropped and the others fitted again until none is left."""
-    n = len(y)
-    k = np.stack([np.concatenate([np.zeros(t), kernel[: n - t], np.zeros(max(0, n - t - len(kernel)))]) for t in range(n)], axis=1)
-    s, own = nnls(k, y), np.arange(n)
-    while len(keep := own[s[own] >= smin]) < len(own):
-        own, s = keep, np.zeros(n)
-        if len(own):
-            s[own] = nnls(k[:, own], y)
-    return k @ s, s
+    own = np.ones(len(y), bool)
+    while True:
+        c, s = convolution_nnls(y, kernel, allowed=own)
+        small = own & (s < smin)
+        if not small.any():
+            return c, s
+        own &= ~small
 
 
 def spline_basis(n: int, pieces: int, degree: int = 3) -> np.ndarray:
@@ -237,6 +462,15 @@ def spline_detrended(y: np.ndarray, pieces: int) -> np.ndarray:
     return y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
 
 
+def busiest(y: np.ndarray, window: int) -> tuple[int | None, float | None]:
+    """(start, mean) of the ``window`` frames with the largest mean, the first of equal ones; none in shorter traces."""
+    if len(y) < window:
+        return None, None
+    sums = np.round(np.convolve(y, np.ones(window), "valid"), 9)
+    at = int(sums.argmax())
+    return at, float(y[at : at + window].mean())
+
+
 def soft_hals(u: np.ndarray, v: np.ndarray, threshold: np.ndarray, mask: np.ndarray, sweeps: int = 40, tol: float = 1e-3) -> np.ndarray:
     """One pixel's weights: coordinate descent with soft thresholds on u = C y, v = C C'."""
     a = np.zeros(len(u))

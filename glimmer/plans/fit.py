@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import images, numerics, patches
-from ..operators.graphs import merge_groups
+from ..operators.components import residual_movie
+from ..operators.graphs import assignment, correlated_edges, merge_groups, session_distances, thresholded
+from ..operators.updates import rank_one_background, search_locations, temporal_hals, thresholded_footprints, update_spatial
+from .lineage import cut, ranked_by
 
 
 @dataclass(frozen=True)
@@ -25,6 +29,7 @@ class FitOptions:
     sweeps: int = 5
     merge_overlap: float = 0.3
     merge_rho: float = 0.8
+    search: int = 4
 
 
 def fit_patches(pixels: DataFrame, rows: int, columns: int, options: FitOptions = FitOptions()) -> DataFrame:
@@ -42,15 +47,17 @@ def fit_patches(pixels: DataFrame, rows: int, columns: int, options: FitOptions
         patch = int(pdf.patch.iloc[0])
         keep = [k for k in range(a.shape[1]) if a[:, k].any() and c[k].any()]
         px = pdf.px.to_numpy()
-        return pd.DataFrame({"patch": patch, "k": [patch * 1000 + k for k in keep], "px": [px[a[:, k] > 0].tolist() for k in keep], "w": [a[a[:, k] > 0, k].tolist() for k in keep], "c": [c[k].tolist() for k in keep]})
+        return pd.DataFrame({"patch": patch, "k": [(patch << 20) + k for k in keep], "px": [px[a[:, k] > 0].tolist() for k in keep], "w": [a[a[:, k] > 0, k].tolist() for k in keep], "c": [c[k].tolist() for k in keep]})
 
     return patches.by_patch(images.shifted(pixels), grid, run, "patch int, k long, px array<long>, w array<double>, c array<double>")
 
 
 def merged(components: DataFrame, options: FitOptions = FitOptions()) -> DataFrame:
-    """Components of all patches, those that overlap and correlate replaced by their rank-one fit; ``k`` is the least merged."""
-    from ..operators.graphs import correlated_edges
+    """Components of all patches, those that overlap and correlate replaced by their rank-one fit; ``k`` is the least merged.
 
+    ``members`` counts the components of patches behind each; a table without it has one each.
+    """
+    components = components if "members" in components.columns else components.withColumn("members", F.lit(1).cast("long"))
     foot = components.select("k", F.explode(F.arrays_zip("px", "w")).alias("x")).select("k", F.col("x.px").alias("px"), F.col("x.w").alias("w"))
     edges = correlated_edges(foot, components.select("k", "c"), options.merge_overlap, options.merge_rho)
     groups = merge_groups(edges)
@@ -63,9 +70,9 @@ def merged(components: DataFrame, options: FitOptions = FitOptions()) -> DataFra
         for i, (p, w) in enumerate(zip(pdf.px, pdf.w, strict=True)):
             a[np.searchsorted(px, p), i] = w
         foot, c = numerics.rank_one(a, np.stack(pdf.c.to_numpy()))
-        return pd.DataFrame({"k": [int(pdf.k.min())], "members": [len(pdf)], "px": [px.tolist()], "w": [foot.tolist()], "c": [c.tolist()]})
+        return pd.DataFrame({"k": [int(pdf.k.min())], "members": [int(pdf.members.sum())], "px": [px.tolist()], "w": [foot.tolist()], "c": [c.tolist()]})
 
-    return tagged.select("k", "px", "w", "c", "component").groupBy("component").applyInPandas(run, "k long, members long, px array<long>, w array<double>, c array<double>")
+    return tagged.select("k", "members", "px", "w", "c", "component").groupBy("component").applyInPandas(run, "k long, members long, px array<long>, w array<double>, c array<double>")
 
 
 def deconvolved(traces: DataFrame) -> DataFrame:
@@ -84,3 +91,60 @@ def fit(pixels: DataFrame, rows: int, columns: int, options: FitOptions = FitOpt
     """The whole pipeline: ``k, members, px, w, g, noise, c, s``."""
     found = merged(fit_patches(pixels, rows, columns, options), options)
     return found.select("k", "members", "px", "w").join(deconvolved(found.select("k", "c")), "k")
+
+
+def merged_to_fixpoint(components: DataFrame, options: FitOptions = FitOptions(), rounds: int = 50) -> DataFrame:
+    """``merged`` again and again until no two components overlap and correlate."""
+    now = cut(merged(components, options))
+    n = now.count()
+    for _ in range(rounds):
+        now, before = cut(merged(now, options)), n
+        n = now.count()
+        if n == before:
+            return now
+    raise RuntimeError(f"components still merge after {rounds} rounds")
+
+
+def footprints_of(components: DataFrame) -> DataFrame:
+    """``k, px, w`` of packed components."""
+    return components.select("k", F.explode(F.arrays_zip("px", "w")).alias("x")).select("k", F.col("x.px").alias("px"), F.col("x.w").alias("w"))
+
+
+def refined(pixels: DataFrame, rows: int, columns: int, options: FitOptions = FitOptions()) -> DataFrame:
+    """``k, px, w, g, noise, c, s``: patches merged to a fixpoint, then background, weights, and deconvolved traces once more over the whole field.
+
+    Pixels are numbered along rows of ``columns``. Components that lose all pixels or their trace are dropped.
+    """
+    px = cut(images.shifted(pixels))
+    found = merged_to_fixpoint(fit_patches(pixels, rows, columns, options), options)
+    foot, traces = cut(footprints_of(found)), found.select("k", "c")
+    b, f = rank_one_background(residual_movie(foot, traces, px))
+    back = b.select("px", F.transform(F.lit(np.asarray(f, float)), lambda x: x * F.col("b")).alias("trace"))
+    noise = numerics.map_traces(px, lambda y: {"noise": numerics.noise_level(y)}, "noise double", "px", "trace")
+    candidates = search_locations(foot, columns, rows, options.search)
+    weights = cut(thresholded_footprints(update_spatial(px.join(noise, "px"), candidates, traces, background=back), columns, median=0))
+    left = cut(px.join(back.select("px", F.col("trace").alias("back")), "px").select("px", F.zip_with("trace", "back", lambda x, y: x - y).alias("trace")))
+    own = traces.join(weights.select("k").distinct(), "k", "left_semi")
+    raw = temporal_hals(weights, left, own, 1, shape=lambda d: deconvolved(d).select("k", "c"))
+    packed = weights.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("px", "w"))).alias("x")).select("k", F.col("x.px").alias("px"), F.col("x.w").alias("w"))
+    return packed.join(deconvolved(raw), "k")
+
+
+def register_sessions(sessions: list[DataFrame], share: float, exponent: float = 1.0, contained: float = 0.8, most: float = 0.5) -> DataFrame:
+    """``u, session, k``: which component ``k`` of each session (a table ``k, px, w``) is union component ``u``.
+
+    Sessions are matched one after the other with the union so far, in which a matched
+    component takes the latest session's footprint and unmatched ones are added.
+    """
+    union = cut(sessions[0].select(F.col("k").alias("u"), "k", "px", "w"))
+    out = [union.select("u", F.lit(0).alias("session"), "k").distinct()]
+    for i, session in enumerate(sessions[1:], 1):
+        masks = thresholded(session, share), thresholded(union.select(F.col("u").alias("k"), "px", "w"), share)
+        pairs = cut(assignment(session_distances(*masks, exponent, contained, most)))
+        last = union.agg(F.max("u")).first()[0]
+        start = 0 if last is None else last + 1
+        fresh = ranked_by(session.select("k").distinct().join(pairs.select(F.col("k1").alias("k")), "k", "left_anti"), "k").select("k", (F.col("rank") - 1 + start).cast("long").alias("u"))
+        named = cut(pairs.select(F.col("k1").alias("k"), F.col("k2").alias("u")).unionByName(fresh))
+        out.append(named.select("u", F.lit(i).alias("session"), "k"))
+        union = cut(union.join(named.select("u"), "u", "left_anti").select("u", "k", "px", "w").union(session.join(named, "k").select("u", "k", "px", "w")))
+    return functools.reduce(DataFrame.union, out)

@@ -1,15 +1,28 @@
-"""Cutting lineage in loops through the shared checkpoint folder."""
+"""Cutting lineage in loops through the shared checkpoint folder, and ranks over whole tables."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """Checkpoint to ``spark.checkpoint.dir``; a temporary folder only in local mode where the session names none."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glimmer-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glimmer-"))
     return df.checkpoint()
+
+
+def ranked_by(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with ``rank`` 1, 2, ... in ``order`` (a total one): a range-partitioned sort, and the sizes of its partitions."""
+    d = cut(df.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = d.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return d.join(starts, "part").withColumn("rank", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("part", "at", "start")
