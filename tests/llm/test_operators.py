@@ -169,6 +169,33 @@ def test_decision_list_learns_and_abstains(spark):
     assert {r["doc_id"]: r["kept"] for r in d.collect()} == {1: False, 2: True}
 
 
+def test_quality_verdicts(spark, empty):
+    """kept and base_failed of the query's operator against a plain reading of its rules and their expression."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(WORDS, int(rng.integers(3, 60))))
+        bad = i % 4 == 0
+        rows.append((i, " ".join(words + ["#" * 8] * (bad * max(1, len(words) // 5)))))
+        labels.append((i, 0 if bad else 1))
+    rows += [(1000, "so it " * 30), (1001, None), (1001, None), (1002, ""), (1003, " ".join(rng.choice(WORDS, 30_000)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_rules.judge(d, known).collect()
+    assert len(got) == len(rows)
+    rules = quality_rules.learn(quality_rules.cells(quality_rules.statistics(d, ["doc_id"]), known))
+    assert rules
+    for r in got:
+        w, p = r["n_words"], lambda a, b: a / b if b else 0.0
+        ratio = {"words": w, "word_length": p(r["word_chars"], w), "symbols": p(r["n_symbols"], r["word_chars"]), "dup_lines": p(r["n_dup_lines"], r["n_lines"]), "repeats": p(r["n_repeat_words"], w), "distinct": p(r["n_distinct"], w)}
+        failed = w < 10 or 100 * r["n_repeat_words"] > 20 * w
+        first = next((i for i, rule in enumerate(rules, 1) if all((ratio[n] >= t) == up for n, up, t in rule)), None)
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, first, not failed and first is None)
+    right = sum(r["kept"] == (r["doc_id"] % 4 != 0) for r in got if r["doc_id"] < 400 and not r["base_failed"])
+    assert right >= 0.97 * sum(not r["base_failed"] for r in got if r["doc_id"] < 400)
+    assert quality_rules.judge(empty.select("doc_id", "text"), known).count() == 0
+
+
 def test_token_files(spark, docs, empty):
     manifest = token_files.write_token_files(docs, new_path(spark, "t"), tokenizer_path(), 2)
     got = by_id(token_files.read_token_files(manifest))
@@ -213,6 +240,20 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer_path(), 0).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows without or with equal doc_ids are packed and written row by row."""
+    rows = [(1, "one two"), (1, "three"), (None, "four"), (None, None), (2, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    own = encoder(tokenizer_path())
+    got = Counter((p["doc_id"], bytes(p["ids"])) for p in packing.pack(d, tokenizer_path(), 0).collect())
+    assert got == Counter((i, np.array([*own.encode(t or ""), 0], "<u4").tobytes()) for i, t in rows)
+    read = token_files.read_token_files(token_files.write_token_files(d, new_path(spark, "t"), tokenizer_path(), 2)).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in read) == Counter((i, np.array([*own.encode(t or ""), 2], "<u4").tobytes()) for i, t in rows)
+    starts = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in read)
+    assert [s for s, _, _ in starts] == np.concatenate([[0], np.cumsum([n for _, n, _ in starts])[:-1]]).tolist()
+    assert [i for _, _, i in starts] == [None, None, 1, 1, 2]
+
+
 def test_differencing_balances():
     sizes = np.random.default_rng(6).integers(100, 257, 700)
     sets_ = packing.differencing(sizes, 120)
@@ -361,6 +402,10 @@ def test_decontamination(spark, docs, empty):
             if own and 100 * shared >= 80 * len(own):
                 want[i, j] = (shared, len(own))
     assert got == want and len(want) >= 4
+    long = " ".join(f"w{i}" for i in range(30_000))
+    more = spark.createDataFrame([(7, long), (7, long), (8, corpus()[12][1])], "item_id long, text string")
+    found = decontamination.contaminated(spark.createDataFrame([(1, long + " tail"), (1, long), (2, "a b")], "doc_id long, text string"), more)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 29_996, 29_996)]
     assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
@@ -439,6 +484,41 @@ def test_quality_classifier(spark, empty):
     assert not w.any()
 
 
+def test_ordinal_likelihood_and_scores(spark):
+    """The fit reaches a likelihood that small moves do not raise; scores are those of a plain reading of the model."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(WORDS[:12], 8)) for _ in range(300)]
+    grades = np.array([min(2, sum(w in t.split() for w in (WORDS[0], WORDS[5]))) for t in texts])
+    rows = [part[2][a:b] for part in quality_classifier.features(pa.array(texts)) for a, b in zip(part[1][:-1], part[1][1:], strict=True)]
+    seen, w, t = quality_classifier.fit_ordinal(rows, grades, 3)
+    place = {b: i for i, b in enumerate(seen.tolist())}
+    x = np.zeros((len(rows), len(seen)))
+    for i, r in enumerate(rows):
+        x[i, [place[b] for b in r.tolist()]] = 1
+
+    def likelihood(w, t):
+        q = np.concatenate([np.ones((len(x), 1)), 1 / (1 + np.exp(-(x @ w)[:, None] + t)), np.zeros((len(x), 1))], axis=1)
+        at = np.arange(len(x))
+        return np.log(np.maximum(q[at, grades] - q[at, grades + 1], 1e-12)).mean()
+
+    base, flat = likelihood(w, t), likelihood(np.zeros(len(w)), t)
+    assert base > flat / 3  # logs: much closer to zero
+    for _ in range(50):
+        assert likelihood(w + rng.normal(0, 0.05, len(w)), t + np.sort(rng.normal(0, 0.05, 2))) < base + 0.02
+    weights = np.zeros(quality_classifier.BUCKETS, np.float32)
+    weights[seen] = w
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(texts[:40])] + [(0, texts[0]), (99, None), (98, " ".join(WORDS * 5000))], "doc_id long, text string")
+    got = quality_classifier.score(d, weights, t).collect()
+    assert len(got) == 43
+    for r in got:
+        if r["doc_id"] < 40:
+            tails = 1 / (1 + np.exp(-x[r["doc_id"]] @ w.astype(float) + t))
+            assert np.allclose(r["tails"], tails, atol=1e-5) and abs(r["expected_grade"] - tails.sum()) < 1e-5
+    assert quality_classifier.score(d.limit(0), weights, t).count() == 0
+
+
 def removed(texts, width, unit, keep_first):
     seen = Counter()
     for _, u in texts:
