@@ -40,11 +40,13 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = (values[:, None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        low = np.empty(n * low_bits, np.uint8)
+        for k in range(low_bits):
+            low[k::low_bits] = values >> np.uint64(k) & np.uint64(1)
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype("<i8"))
+        return cls(n, low_bits, np.packbits(low, bitorder="little"), np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype("<i8"))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)], "<i8")
@@ -81,14 +83,22 @@ class EliasFano:
         one = byte * 8 + int(places[left])
         return ((one - i) << self.low_bits) | int(self._low(i, 1)[0])
 
+    def block(self, first: int) -> np.ndarray:
+        """Values ``first`` ... ``first`` + SAMPLE - 1 as far as there are any; ``first`` is a sampled one."""
+        n, k = min(SAMPLE, self.n - first), first // SAMPLE
+        at, end = int(self.samples[k]), int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at // 8 : -(-end // 8)], bitorder="little")[at % 8 :]
+        return (np.flatnonzero(bits)[:n] + at - np.arange(first, first + n)) << self.low_bits | self._low(first, n)
+
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n)) << self.low_bits | self._low(0, self.n)
+        return np.concatenate([self.block(i) for i in range(0, self.n, SAMPLE)]) if self.n else np.zeros(0, np.int64)
 
 
 def _file_system(uri: str):
     from pyarrow import fs
 
+    for other, own in (("s3a://", "s3://"), ("s3n://", "s3://")):  # Hadoop's names of the same store
+        uri = own + uri[len(other) :] if uri.startswith(other) else uri
     return fs.FileSystem.from_uri(uri)
 
 
@@ -164,8 +174,20 @@ class TokenFile:
     def ids(self, i: int) -> np.ndarray:
         return self.between(*self.span(i))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_nulls + (self.keys.values() + self.least).tolist()
+    def doc_id(self, i: int) -> int | None:
+        return self.keys.select(i - self.n_nulls) + self.least if i >= self.n_nulls else None
+
+    def blocks(self):
+        """(doc_ids, starts, ends) of the documents in blocks of SAMPLE at most; a block's bounds alone are held."""
+        before, keys = 0, np.zeros(0, np.int64)
+        for first in range(0, self.n_docs, SAMPLE):
+            ends = self.ends.block(first)
+            at = max(first - self.n_nulls, 0)
+            last = first + len(ends) - self.n_nulls  # keys at ... last - 1 belong to the block
+            keys = np.concatenate([self.keys.block(i) for i in range(at // SAMPLE * SAMPLE, max(last, 0), SAMPLE)])[at % SAMPLE :][: max(last, 0) - at] if last > at else keys[:0]
+            ids = [None] * (len(ends) - len(keys)) + (keys + self.least).tolist()
+            yield ids, np.concatenate([[before], ends[:-1]]), ends
+            before = int(ends[-1])
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -175,19 +197,18 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 file = TokenFile(path)
-                ends, keys = file.ends.values(), file.doc_ids()
-                starts = np.concatenate([[0], ends[:-1]])
-                at = 0
-                while at < len(ends):
-                    to = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_BYTES // file.width, "right")))
-                    raw = file.between(int(starts[at]), int(ends[to - 1])).tobytes()
-                    bounds = (np.concatenate([starts[at:to], ends[to - 1 : to]]) - starts[at]) * 4
-                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at:to], pa.int64()), pa.array(starts[at:to] + base), pa.array(ends[at:to] - starts[at:to]), ids.cast(pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-                    at = to
+                for keys, starts, ends in file.blocks():
+                    at = 0
+                    while at < len(ends):
+                        to = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_BYTES // file.width, "right")))
+                        raw = file.between(int(starts[at]), int(ends[to - 1])).tobytes()
+                        bounds = (np.concatenate([starts[at:to], ends[to - 1 : to]]) - starts[at]) * 4
+                        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys[at:to], pa.int64()), pa.array(starts[at:to] + base), pa.array(ends[at:to] - starts[at:to]), ids.cast(pa.binary())],
+                            ["doc_id", "start", "n_tokens", "ids"],
+                        )
+                        at = to
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path", "base").repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -207,17 +207,35 @@ def test_token_files(spark, docs, empty):
         start += len(want)
     path = manifest.orderBy("shard").first()["path"]
     file = token_files.TokenFile(path)
-    ids = file.doc_ids()
-    assert list(file.ids(len(ids) - 1)) == own.encode(dict(corpus())[ids[-1]] or "") + [2]
+    for i in range(file.n_docs):
+        assert list(file.ids(i)) == own.encode(dict(corpus())[file.doc_id(i)] or "") + [2]
     assert token_files.read_token_files(token_files.write_token_files(empty, new_path(spark, "t"), tokenizer_path(), 2)).count() == 0
 
 
+def test_token_file_of_many_documents(spark):
+    """Blocks of bounds over more documents than a block has, rows without doc_id first."""
+    rows = [(None, f"w{i}") for i in range(300)] + [(i * 3, f"some w{i} words") for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = token_files.read_token_files(token_files.write_token_files(d, new_path(spark, "t"), tokenizer_path(), 2)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    own = encoder(tokenizer_path())
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == Counter((i, np.array([*own.encode(t), 2], "<u4").tobytes()) for i, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [i for i, _ in rows]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(5)
     for values in ([], [0], [7] * 600, np.sort(rng.integers(0, 10**7, 3000)), np.arange(1000), [0, 2**40]):
         values = np.array(values, np.int64)
         e = token_files.EliasFano.from_bytes(token_files.EliasFano.encode(values).to_bytes())
-        assert (e.values() == values).all() and [e.select(i) for i in range(len(values))] == values.tolist()
+        assert (e.values() == values).all() and all((e.block(i) == values[i : i + token_files.SAMPLE]).all() for i in range(0, len(values), token_files.SAMPLE)) and [e.select(i) for i in range(len(values))] == values.tolist()
     big = np.sort(rng.integers(0, 2**31, 20_000))
     assert len(token_files.EliasFano.encode(big).to_bytes()) * 8 / len(big) < 2.7 + np.log2(2**31 / len(big))
 
