@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from glimmer.sources import stacks
+from glimmer.sources import sinks, stacks
 
 
 def write_tiff(path, frames, order="<"):
@@ -49,3 +49,53 @@ def test_concatenated(spark, tmp_path):
     plan = stacks.tiff_plan(spark, [str(tmp_path / f"{n}.tif") for n in "ba"])
     got = sorted((r["t"], r["pixels"][0]) for r in stacks.concatenated(stacks.read_frames(plan, 2)).collect())
     assert got == [(0, 2.0), (1, 2.0), (2, 3.0), (3, 3.0), (4, 3.0)]
+
+
+def write_big_tiff(path, frames):
+    out = bytearray(b"II" + struct.pack("<HHHQ", 43, 8, 0, 16))
+    for t, frame in enumerate(frames):
+        data, at = frame.tobytes(), len(out)
+        tags = [(256, 4, 1, frame.shape[1]), (257, 4, 1, frame.shape[0]), (258, 3, 1, frame.itemsize * 8), (273, 16, 1, at + 8 + 20 * 5 + 8), (279, 16, 1, len(data))]
+        out += struct.pack("<Q", len(tags))
+        for tag, field, n, value in tags:
+            out += struct.pack("<HHQQ", tag, field, n, value)
+        following = len(out) + 8 + len(data)
+        out += struct.pack("<Q", following if t + 1 < len(frames) else 0) + data
+    path.write_bytes(out)
+
+
+def test_big_tiff_and_dispatch(spark, tmp_path):
+    frames = np.random.default_rng(3).integers(0, 60_000, (3, 4, 5)).astype("<u2")
+    (tmp_path / "deep").mkdir()
+    write_big_tiff(tmp_path / "deep" / "b.btf", frames)
+    write_tiff(tmp_path / "a.tif", frames[:1])
+    (tmp_path / "c.raw").write_bytes(frames.tobytes())
+    found = stacks.listed(spark, str(tmp_path), "*.{tif,btf}")
+    assert [p.rsplit("/", 1)[1] for p in found] == ["a.tif", "b.btf"]
+    got = {r["t"]: np.array(r["pixels"]).reshape(4, 5) for r in stacks.read_stack(spark, found, 2).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and (got[0] == frames[0]).all() and (got[3] == frames[2]).all()
+    raw = stacks.read_stack(spark, str(tmp_path / "c.raw"), 2, 4, 5, 3).collect()
+    assert len(raw) == 3
+    with pytest.raises(ValueError):
+        stacks.read_stack(spark, str(tmp_path / "c.raw"), 2)
+
+
+def test_packed_store(spark, tmp_path):
+    """Frames become pixels, are stored, and come back whole or by patch."""
+    frames = np.random.default_rng(4).integers(0, 999, (6, 40, 35)).astype("<u2")
+    (tmp_path / "a.raw").write_bytes(frames.tobytes())
+    d = stacks.packed(stacks.read_frames(stacks.raw_plan(spark, str(tmp_path / "a.raw"), 40, 35, 6), 2))
+    folder = str(tmp_path / "store")
+    sinks.save_movie(d, folder, 3)
+    got = sinks.load_movie(spark, folder).collect()
+    assert len(got) == 1400 and all(r["px"] == r["r"] * 35 + r["c"] and r["trace"] == frames[:, r["r"], r["c"]].tolist() for r in got)
+    part = sinks.load_patch(spark, folder, 3, 6, 30, 34).collect()
+    assert {(r["r"], r["c"]) for r in part} == {(r, c) for r in range(3, 7) for c in range(30, 35)}
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.save_movie(d, folder, 3)
+    results = {"traces": d.select("px", "trace"), "grid": d.select("px", "r", "c")}
+    sinks.save_results(results, str(tmp_path / "results"))
+    sinks.save_results(results, str(tmp_path / "results"), overwrite=True)
+    assert {k: x.count() for k, x in sinks.load_results(spark, str(tmp_path / "results"), *results).items()} == {"traces": 1400, "grid": 1400}
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.save_results(results, str(tmp_path / "results"))
