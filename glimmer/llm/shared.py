@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local temporary one only where none is set."""
+    """The session's shared folder; a local temporary one only in local mode where none is set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="glimmer-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
