@@ -9,7 +9,7 @@ from . import adapters as v
 from .adapters import FOOT_SQL, MOVIE_SQL, TRACE_SQL
 from .functions.stats import r6
 from .numeric_queries import _SPIKES, _field, _trace_query
-from .operators import images, linalg, numerics, quality, traces, updates
+from .operators import graphs, images, linalg, numerics, quality, traces, updates
 from .plans import fit as plan
 from .queries import _GRAM_SQL, query
 
@@ -23,16 +23,22 @@ def _(spark, sf):
     return v.unpack(d, "k", values="c").select("k", "t", r6(F.greatest(F.lit(0.0), F.col("y"))).alias("y"))
 
 
+def _peaks(spark, sf):
+    """Footprints of their strongest pixels, which overlap as sparsely as cells in a field do."""
+    foot = v.footprints(spark, sf)
+    return foot.join(graphs.thresholded(foot, 0.8), ["k", "px"], "left_semi")
+
+
 @query("temporal_hals")
 def _(spark, sf):
     """One sweep over the components that the field holds, in the steps of the update order."""
-    d = updates.temporal_hals(v.footprints(spark, sf), v.pixels(spark, sf), v.traces(spark, sf), sweeps=1)
+    d = updates.temporal_hals(_peaks(spark, sf), v.pixels(spark, sf), v.traces(spark, sf), sweeps=1)
     return d.select("k", F.transform("c", lambda x: F.round(x, 6)).alias("c"))
 
 
 @query("update_order")
 def _(spark, sf):
-    g = linalg.gram(v.footprints(spark, sf))
+    g = linalg.gram(_peaks(spark, sf))
     return updates.update_order(g.where("k1 <> k2"), g.select(F.col("k1").alias("k")))
 
 
@@ -236,3 +242,29 @@ def _(spark, sf):
     """The whole pipeline with background, one spatial and one temporal update after merging."""
     d = plan.refined(*_field(spark, sf))
     return d.select("k", F.size("px").alias("n_pixels"), r6(F.col("g")).alias("g"), r6(F.col("noise")).alias("noise"), F.size(F.filter("s", lambda x: x > 0)).alias("n_spikes"))
+
+
+@query("order_sparse", f"with {FOOT_SQL}, {TRACE_SQL}, a as (select k, max(w) / sqrt(sum(w * w)) as top from foot group by k), s as (select k, max(y) * any_value(top) / sqrt(sum(y * y)) as score from trace join a using (k) group by k) select k, round(score, 6) + 0.0 as score, row_number() over (order by round(score, 9) desc, k)::int as rank from s")
+def _(spark, sf):
+    return linalg.sparse_order(v.footprints(spark, sf), v.traces(spark, sf)).select("k", r6(F.col("score")).alias("score"), "rank")
+
+
+@query("contour_pixels", f"with {FOOT_SQL}, m as (select k, px, px % 40 as r, px // 40 as c from (select *, max(w) over (partition by k) as top from foot) where w > 0.2 * top) select k, px from m where (select count(*) from m n where n.k = m.k and abs(n.r - m.r) + abs(n.c - m.c) = 1) < 4")
+def _(spark, sf):
+    return updates.contour_pixels(v.footprints(spark, sf), 40, 0.2)
+
+
+@query("trim_footprints")
+def _(spark, sf):
+    return updates.trimmed_footprints(v.footprints(spark, sf), 40, half=0, least=1).select("k", "px", r6(F.col("w")).alias("w"))
+
+
+@query("regress_footprints")
+def _(spark, sf):
+    d = updates.regressed_footprints(v.pixels(spark, sf), v.footprints(spark, sf), v.traces(spark, sf))
+    return d.select("k", "px", r6(F.col("w")).alias("w"))
+
+
+_FIT = "mode double, noise double, fitness double"
+_trace_query("fit_extreme", lambda y: numerics.exceedance(y, 8, "extreme", 1.0), _FIT)
+_trace_query("fit_gaussian", lambda y: numerics.exceedance(y, 8), _FIT)

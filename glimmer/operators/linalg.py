@@ -121,6 +121,13 @@ def ranked(foot: DataFrame, traces: DataFrame) -> DataFrame:
     return ranked_by(d, F.desc("score"), "k")
 
 
+def sparse_order(foot: DataFrame, traces: DataFrame) -> DataFrame:
+    """``k, score, rank``: peak of the trace times peak of the unit footprint over the trace's norm, largest first, ties by k."""
+    a = foot.groupBy("k").agg((F.max("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("top"))
+    d = traces.join(a, "k").select("k", (F.array_max("c") * F.col("top") / F.sqrt(dot(F.col("c"), F.col("c")))).alias("score"))
+    return ranked_by(d, F.desc(F.round("score", 9)), "k")
+
+
 def leading_factors(rows: DataFrame, count: int, rounds: int = 8, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(``px, u``, s, V) of the ``count`` largest singular values of packed ``rows (px, trace)``, by subspace iterations.
 

@@ -118,9 +118,11 @@ def diffusion_density(y: np.ndarray, points: int = 1 << 14) -> tuple[np.ndarray,
     share = np.bincount(np.minimum(np.searchsorted(grid, y, "right") - 1, points - 1), minlength=points) / len(y)
     a = _cosines(share)
     k, power = np.arange(1, points, dtype=float) ** 2, (a[1:] / 2) ** 2
+    logs = np.log(k)
 
     def roughness(order: int, t: float) -> float:
-        return 2 * math.pi ** (2 * order) * float((np.exp(order * np.log(k) - k * math.pi**2 * t) * power).sum())
+        m = min(len(k), int(math.sqrt(800 / (math.pi**2 * t))) + 1)  # later terms vanish
+        return 2 * math.pi ** (2 * order) * float(np.exp(order * logs[:m] - k[:m] * (math.pi**2 * t)) @ power[:m])
 
     def excess(t: float) -> float:
         f = roughness(7, t)
@@ -144,7 +146,7 @@ def _least_root(f: Callable[[float], float], n: int) -> float:
         if b >= 0.1:
             return (0.28 * n**-0.4) ** 2
         a, b = b, min(2 * b, 0.1)
-    for _ in range(80):
+    for _ in range(50):
         mid = (a + b) / 2
         a, b = (mid, b) if f(mid) < 0 else (a, mid)
     return b
@@ -471,6 +473,29 @@ def busiest(y: np.ndarray, window: int) -> tuple[int | None, float | None]:
     return at, float(y[at : at + window].mean())
 
 
+def exceedance(y: np.ndarray, frames: int, tail: str = "gaussian", factor: float = 3.0) -> dict:
+    """How unlikely the trace's best ``frames`` frames in a row are as noise around the mode of its density.
+
+    The noise is that of the samples below the mode, as half of a normal distribution.
+    ``gaussian``: least causal sum of log upper tails of values over ``factor`` noises;
+    ``extreme``: exp of the largest causal sum of log Gumbel probabilities (of the
+    maximum of as many frames as the trace has) over the root of ``frames``.
+    """
+    mode = float(percentile_levels(y, len(y), len(y))[0][0])
+    below = y[y < mode]
+    noise = float(below.std(ddof=1)) / math.sqrt(1 - 2 / math.pi) if len(below) > 1 else 0.0
+    z = (y - mode) / (factor * noise) if noise > 0 else np.zeros(len(y))
+    if tail == "gaussian":
+        logs = np.array([math.log(max(0.5 * math.erfc(x / math.sqrt(2)), 1e-300)) for x in z])
+        value = float(np.convolve(logs, np.ones(frames))[: len(y)].min())
+    else:
+        middle = NORMAL.inv_cdf(1 - 1 / len(y))
+        spread = NORMAL.inv_cdf(1 - math.exp(-1) / len(y)) - middle
+        logs = -np.exp(np.minimum(-(z - middle) / spread, 700.0))
+        value = float(np.exp((np.convolve(logs, np.ones(frames))[: len(y)] / math.sqrt(frames)).max()))
+    return {"mode": mode, "noise": noise, "fitness": value}
+
+
 def soft_hals(u: np.ndarray, v: np.ndarray, threshold: np.ndarray, mask: np.ndarray, sweeps: int = 40, tol: float = 1e-3) -> np.ndarray:
     """One pixel's weights: coordinate descent with soft thresholds on u = C y, v = C C'."""
     a = np.zeros(len(u))

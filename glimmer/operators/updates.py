@@ -171,17 +171,97 @@ def thresholded_footprints(foot: DataFrame, rows: int, energy: float = 0.9999, c
     return foot.where("w > 0").select("k", "px", F.col("w").cast("double")).groupBy("k").applyInPandas(one, "k long, px long, w double").where("w > 0")
 
 
+def trimmed_footprints(foot: DataFrame, rows: int, share: float = 0.01, half: int = 2, least: int = 5) -> DataFrame:
+    """``k, px, w``: the four-connected piece around a footprint's peak after an opening by squares, where it exceeds ``share`` of the maximum.
+
+    Footprints of fewer than ``least`` pixels after that are dropped.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf.px.to_numpy() % rows, pdf.px.to_numpy() // rows
+        r0, c0 = r.min() - 2 * half - 1, c.min() - 2 * half - 1
+        a = np.zeros((r.max() - r0 + 2 * half + 2, c.max() - c0 + 2 * half + 2))
+        a[r - r0, c - c0] = pdf.w
+        opened = _over_squares(_over_squares(a, half, np.min), half, np.max)
+        label = _pieces(opened > share * a.max(), corners=False)
+        own = label[np.unravel_index(int(opened.argmax()), a.shape)]
+        y, x = np.nonzero((label == own) & (label > 0) & (a > 0))
+        if len(y) < least:
+            return pdf.iloc[:0][["k", "px", "w"]]
+        return pd.DataFrame({"k": int(pdf.k.iloc[0]), "px": (x + c0) * rows + y + r0, "w": a[y, x]})
+
+    return foot.where("w > 0").select("k", "px", F.col("w").cast("double")).groupBy("k").applyInPandas(one, "k long, px long, w double")
+
+
+def regressed_footprints(pixels: DataFrame, candidates: DataFrame, traces: DataFrame) -> DataFrame:
+    """``k, px, w`` > 0: least-squares weights of each pixel on its candidates' traces (``candidates``: k, px), negative ones left out.
+
+    Equal traces share their weight (the solution of least norm).
+    """
+    own = candidates.select("k", "px").distinct().join(traces.select("k", "c"), "k").groupBy("px").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("own"))
+    d = pixels.select("px", "trace").join(own, "px").select("px", "trace", F.col("own.k").alias("k"), F.col("own.c").alias("c"))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for px, y, k, c in zip(pdf.px, pdf.trace, pdf.k, pdf.c, strict=True):
+                w = np.linalg.lstsq(np.stack(c).T, np.asarray(y, float), rcond=None)[0]
+                out += [(int(i), int(px), float(x)) for i, x in zip(k, w, strict=True) if x > 0]
+            yield pd.DataFrame(out, columns=["k", "px", "w"])
+
+    return d.mapInPandas(run, "k long, px long, w double")
+
+
+def regressed_traces(foot: DataFrame, pixels: DataFrame, rounds: int = 200, tol: float = 1e-10) -> DataFrame:
+    """``k, c``: (A'A)^-1 A'Y, negative samples set to zero, by conjugate gradients on all traces at once.
+
+    A round is one sparse product of the Gram matrix with packed vectors. Only
+    components with pixels in the movie have a row.
+    """
+    g = cut(gram(foot.join(pixels.select("px"), "px", "left_semi")))
+    now = product_ay(foot, pixels).select("k", F.transform("ay", lambda x: x * 0.0).alias("x"), F.col("ay").alias("r"), F.col("ay").alias("p"))
+    now = cut(now)
+    dots = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda u, x: u + x)
+    rr = now.agg(F.sum(dots("r", "r"))).first()[0] or 0.0
+    first = rr
+    for _ in range(rounds):
+        if rr <= tol * tol * first or not rr:
+            break
+        gp = weighted_sums(g.join(now.select(F.col("k").alias("k2"), "p"), "k2").select(F.col("k1").alias("k"), F.col("v").alias("w"), F.col("p").alias("x"))).select("k", F.col("x").alias("gp"))
+        d = cut(now.join(gp, "k"))
+        alpha = rr / d.agg(F.sum(dots("p", "gp"))).first()[0]
+        d = d.select("k", F.zip_with("x", "p", lambda x, p: x + alpha * p).alias("x"), F.zip_with("r", "gp", lambda r, q: r - alpha * q).alias("r"), "p")
+        d = cut(d)
+        new = d.agg(F.sum(dots("r", "r"))).first()[0]
+        beta, rr = new / rr, new
+        now = d.select("k", "x", "r", F.zip_with("r", "p", lambda r, p: r + beta * p).alias("p"))
+    else:
+        raise RuntimeError("regressed_traces: the rounds ended before the tolerance")
+    return now.select("k", F.transform("x", lambda x: F.greatest(x, F.lit(0.0))).alias("c"))
+
+
+def contour_pixels(foot: DataFrame, rows: int, share: float) -> DataFrame:
+    """``k, px``: pixels above ``share`` of their footprint's maximum that have a side neighbour which is not."""
+    top = foot.groupBy("k").agg(F.max("w").alias("top"))
+    mask = foot.join(top, "k").where(F.col("w") > share * F.col("top")).select("k", "px", (F.col("px") % rows).alias("r"), F.floor(F.col("px") / rows).alias("c"))
+    sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))
+    near = mask.select("k", F.explode(sides).alias("o"), "r", "c").select("k", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"))
+    inner = near.groupBy("k", "r", "c").agg(F.count("*").alias("n")).where("n = 4").select("k", "r", "c")
+    return mask.join(inner, ["k", "r", "c"], "left_anti").select("k", "px")
+
+
 def _over_squares(a: np.ndarray, half: int, f) -> np.ndarray:
     if not half:
         return a
     return f(np.lib.stride_tricks.sliding_window_view(np.pad(a, half), (2 * half + 1, 2 * half + 1)), axis=(2, 3))
 
 
-def _pieces(mask: np.ndarray) -> np.ndarray:
-    """Labels 1, 2, ... of the eight-connected pieces, by their first pixel in column order."""
+def _pieces(mask: np.ndarray, corners: bool = True) -> np.ndarray:
+    """Labels 1, 2, ... of the connected pieces, by their first pixel in column order; ``corners`` connect as sides do."""
     label = np.where(mask, 1 + np.arange(mask.size).reshape(mask.shape[::-1]).T, 0)
     while True:
-        near = np.lib.stride_tricks.sliding_window_view(np.pad(np.where(mask, label, mask.size + 1), 1, constant_values=mask.size + 1), (3, 3)).min(axis=(2, 3))
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(np.where(mask, label, mask.size + 1), 1, constant_values=mask.size + 1), (3, 3))
+        near = near.min(axis=(2, 3)) if corners else np.minimum(near[:, :, 1].min(axis=2), near[:, :, :, 1].min(axis=2))
         new = np.where(mask, np.minimum(near, label), 0)
         if (new == label).all():
             return np.unique(np.append(0, label.ravel()), return_inverse=True)[1][1:].reshape(mask.shape)

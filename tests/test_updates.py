@@ -269,3 +269,37 @@ def test_refined_pipeline(spark):
         assert np.corrcoef(best["c"], trace)[0, 1] > 0.9
         own = {(p // columns, p % columns) for p in best["px"]}
         assert len(own & {(i, j) for i in range(r - 2, r + 3) for j in range(c - 2, c + 3)}) >= 15
+
+
+def test_regressions(spark, cube, pixels, factors):
+    a, c = factors[0][:, :8], factors[1][:8]
+    foot, tr = frames_of(spark, a, c)
+    y = cube.reshape(-1, FRAMES)
+    got = {r["k"]: r["c"] for r in updates.regressed_traces(foot, pixels).collect()}
+    want = np.maximum(np.linalg.lstsq(a, y, rcond=None)[0], 0)
+    assert np.allclose([got[k] for k in range(8)], want, atol=1e-6)
+    w = np.zeros_like(a)
+    for r in updates.regressed_footprints(pixels, foot, tr).collect():
+        w[r["px"], r["k"]] = r["w"]
+    for p in np.flatnonzero(a.any(axis=1)):
+        own = np.flatnonzero(a[p])
+        assert np.allclose(w[p, own], np.maximum(np.linalg.lstsq(c[own].T, y[p], rcond=None)[0], 0))
+
+
+def test_trimmed_footprints(spark):
+    square = [(r, c, 1.0) for r in range(5, 11) for c in range(5, 11)]
+    tail = [(7, c, 0.9) for c in range(11, 18)]
+    far = [(15, 15, 0.5)]
+    d = spark.createDataFrame([(1, c * 20 + r, w) for r, c, w in square + tail + far] + [(2, 21, 1.0)], "k long, px long, w double")
+    got = {(r["k"], r["px"] % 20, r["px"] // 20) for r in updates.trimmed_footprints(d, 20).collect()}
+    assert got == {(1, r, c) for r, c, _ in square}
+
+
+def test_exceedance():
+    rng = np.random.default_rng(8)
+    noise, active = rng.normal(0, 1, 2000), rng.normal(0, 1, 2000)
+    active[500:520] += 6
+    for tail, factor in (("gaussian", 3.0), ("extreme", 1.0)):
+        a, b = numerics.exceedance(noise, 8, tail, factor), numerics.exceedance(active, 8, tail, factor)
+        assert abs(a["mode"]) < 0.3 and 0.8 < a["noise"] < 1.25
+        assert b["fitness"] < a["fitness"] if tail == "gaussian" else b["fitness"] > a["fitness"]
