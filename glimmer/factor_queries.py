@@ -268,3 +268,9 @@ def _(spark, sf):
 _FIT = "mode double, noise double, fitness double"
 _trace_query("fit_extreme", lambda y: numerics.exceedance(y, 8, "extreme", 1.0), _FIT)
 _trace_query("fit_gaussian", lambda y: numerics.exceedance(y, 8), _FIT)
+
+
+@query("start_seeded")
+def _(spark, sf):
+    d = plan.start_seeded(*_field(spark, sf), least_corr=0.1, least_pnr=2.0, level=1.0)
+    return d.select("patch", "k", F.size("px").alias("n_pixels"), r6(F.array_max("c")).alias("top"))

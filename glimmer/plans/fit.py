@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images, numerics, patches
+from ..operators import images, numerics, patches, seeds
 from ..operators.components import residual_movie
 from ..operators.graphs import assignment, correlated_edges, merge_groups, session_distances, thresholded
 from ..operators.updates import rank_one_background, search_locations, temporal_hals, thresholded_footprints, update_spatial
@@ -52,6 +52,28 @@ def fit_patches(pixels: DataFrame, rows: int, columns: int, options: FitOptions
     return patches.by_patch(images.shifted(pixels), grid, run, "patch int, k long, px array<long>, w array<double>, c array<double>")
 
 
+def start_seeded(pixels: DataFrame, rows: int, columns: int, options: FitOptions = FitOptions(), **how) -> DataFrame:
+    """``patch, k, px, w, c``: seeds by local correlation and peak-to-noise in each patch, for movies with strong background.
+
+    ``how``: ``size``, ``sigma`` and limits of ``seeds.seeded_components``.
+    """
+    grid = patches.patch_grid(pixels.sparkSession, rows, columns, options.patch, options.overlap, options.least)
+    how = {"size": 7, "sigma": 1.5} | how
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = (pdf[x].to_numpy() for x in ("r", "c"))
+        y = np.stack(pdf.trace.to_numpy()).astype(float)
+        cube, number = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1, y.shape[1])), np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), -1)
+        cube[r - r.min(), c - c.min()], number[r - r.min(), c - c.min()] = y, pdf.px.to_numpy()
+        patch, out = int(pdf.patch.iloc[0]), []
+        for k, (a, trace) in enumerate(seeds.seeded_components(cube, options.components, **how)):
+            own = (a > 0) & (number >= 0)
+            out.append((patch, (patch << 20) + k, number[own].tolist(), a[own].tolist(), trace.tolist()))
+        return pd.DataFrame(out, columns=["patch", "k", "px", "w", "c"])
+
+    return patches.by_patch(pixels, grid, run, "patch int, k long, px array<long>, w array<double>, c array<double>")
+
+
 def merged(components: DataFrame, options: FitOptions = FitOptions()) -> DataFrame:
     """Components of all patches, those that overlap and correlate replaced by their rank-one fit; ``k`` is the least merged.
 

@@ -303,3 +303,24 @@ def test_exceedance():
         a, b = numerics.exceedance(noise, 8, tail, factor), numerics.exceedance(active, 8, tail, factor)
         assert abs(a["mode"]) < 0.3 and 0.8 < a["noise"] < 1.25
         assert b["fitness"] < a["fitness"] if tail == "gaussian" else b["fitness"] > a["fitness"]
+
+
+def test_seeded_start_under_background(spark):
+    """Cells over a background that is much stronger and moves: seeds find them, one each."""
+    rng = np.random.default_rng(9)
+    rows, columns, frames = 40, 40, 400
+    wave = np.convolve(rng.normal(0, 1, frames), np.ones(30) / 5, "same")
+    r, c = np.mgrid[:rows, :columns]
+    y = rng.normal(0, 0.3, (rows, columns, frames)) + (20 + 5 * np.sin(r / 15))[:, :, None] * (1 + 0.05 * wave)
+    truth = []
+    for i, j in ((10, 10), (10, 29), (28, 19)):
+        trace = np.convolve((rng.random(frames) < 0.02) * rng.uniform(1, 2, frames), 0.9 ** np.arange(40))[:frames] * 4
+        y += np.exp(-((r - i) ** 2 + (c - j) ** 2) / 6)[:, :, None] * trace
+        truth.append(((i, j), trace))
+    got = plan.start_seeded(pixels_of(spark, y), rows, columns, plan.FitOptions(patch=40, overlap=5, components=5), size=9, sigma=2.0, least_corr=0.5, least_pnr=6.0).collect()
+    assert len(got) == 3
+    for (i, j), trace in truth:
+        best = max(got, key=lambda x: np.corrcoef(x["c"], trace)[0, 1])
+        assert np.corrcoef(best["c"], trace)[0, 1] > 0.9
+        p = best["px"][int(np.argmax(best["w"]))]
+        assert abs(p // columns - i) <= 1 and abs(p % columns - j) <= 1
