@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, components, materialize, small_side, table
-from .words import LOWER_VALUES, Slice, mix, slices, window_sums, words_of
+from .words import Slice, mix, slices, window_sums, words_of
 
 WIDTH, PERCENT = 5, 80
 #: Most frequent shingles that the global order puts last (only speed depends on them), and how often a task has to see one.
@@ -41,7 +41,7 @@ _U = np.uint64
 
 def shingle_sets(part: Slice) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; fewer than WIDTH words make one shingle, none an empty set."""
-    found = words_of(part, LOWER_VALUES)
+    found = words_of(part, lower=True)
     sums = window_sums(found.hashes, WIDTH)
     out, bounds = [], found.bounds.tolist()
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):

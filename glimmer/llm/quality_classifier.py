@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
-from .words import LOWER_VALUES, mix, slices, words_of
+from .words import mix, slices, words_of
 
 BUCKETS = 1 << 22
 #: Bound of the labelled sample.
@@ -29,7 +29,7 @@ STEPS = 600
 def features(texts: pa.Array):
     """(first row, bounds, buckets) of each slice: the sorted distinct buckets of each row."""
     for part in slices(texts):
-        found = words_of(part, LOWER_VALUES)
+        found = words_of(part, lower=True)
         rows = np.repeat(np.arange(part.n), np.diff(found.bounds))
         n_words = np.diff(found.bounds)
         keys = np.unique((rows.astype(np.uint64) << np.uint64(22)) | (found.hashes & np.uint64(BUCKETS - 1)))

@@ -3,7 +3,7 @@
 Every window of a text belongs to the anchor that its own content chooses, so equal
 windows have equal anchors at equal places. Neighbouring windows with one anchor
 form a run. Only anchors that occur twice can hold repeats. Runs that are equal as a
-whole are collapsed to their first one (two independent 64-bit hashes name a run);
+whole are collapsed to their first one (its anchor's hash and that of all of it name a run, 61 bits each);
 the distinct runs of an anchor, its fragments, meet in a bucket and are compared
 there unit by unit. Texts that are equal as a whole (SHA-256) stand for one another
 from the start, however many they are.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .shared import table
-from .words import Slice, mix, powers, runs_of, IS_SPACE, words_of
+from .words import IS_SPACE, Ranges, Slice, mix, runs_of, words_of
 
 WIDTH = 35
 #: What the rounds name, and the words at a window's ends whose symbols may depend on what lies outside: 2, then 2 more, then 4 more.
@@ -33,8 +33,6 @@ ROUNDS = ("runs", "pairs", "pairs")
 EDGE = 8
 #: Least and greatest number of words of a phrase: one symbol of eight words may follow PHRASE - 1 others.
 PHRASE, LONGEST = 5, 12
-_MULTIPLIER = 0xD6E8FEB86659FD93
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _U = np.uint64
 
 
@@ -67,10 +65,7 @@ def phrases(at: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
     inside = last < len(at)
     inside[inside] &= ends[last[inside]] <= bounds[np.searchsorted(bounds, at[inside], "right")]
     first, last = np.flatnonzero(inside), last[inside]
-    prefix = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(own * powers(_MULTIPLIER, len(own)), out=prefix[1:])
-    name = mix((prefix[last + 1] - prefix[first]) * powers(_INVERSE, len(own) + 1)[first] + (last - first).astype(np.uint64))
-    return at[first], ends[last] - at[first], name
+    return at[first], ends[last] - at[first], Ranges(own).hashes(first, last + 1)
 
 
 class WordUnits:
@@ -103,10 +98,7 @@ class WordUnits:
         begin = repeats.run_starts(anchors, valid)
         count = np.diff(np.append(begin, len(valid)))
         start = valid[begin]
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(names * powers(_MULTIPLIER, n), out=prefix[1:])
-        end = start + count - 1 + WIDTH
-        digest = mix((prefix[end] - prefix[start]) * powers(_INVERSE, n + 1)[start] + count.astype(np.uint64))
+        digest = Ranges(mix(names ^ _U(0x2545F4914F6CDD1D))).hashes(start, start + count - 1 + WIDTH)
         own = name[np.searchsorted(at, anchors[start])]
         return repeats.Runs(rows[start], start - bounds[rows[start]], anchors[start] - start, count, own, digest, bounds)
 

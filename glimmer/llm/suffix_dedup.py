@@ -25,12 +25,10 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .shared import table
-from .words import Slice, mix, powers
+from .words import Ranges, Slice
 
 WIDTH = 100
 GRAM = 40
-_MULTIPLIER = 0xD6E8FEB86659FD93
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _U = np.uint64
 
 
@@ -42,10 +40,8 @@ class ByteUnits:
         n = len(buf)
         if n < WIDTH:
             return repeats.no_runs(bounds)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + _U(1)) * powers(_MULTIPLIER, n), out=prefix[1:])
-        inverse = powers(_INVERSE, n + 1)
-        grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: n + 1 - GRAM])
+        hashed = Ranges(buf.astype(np.uint64) + _U(1))
+        grams = hashed.hashes(np.arange(n + 1 - GRAM), np.arange(GRAM, n + 1))
         bits = max(20, n.bit_length())  # of the place, below the name's high bits
         value = (grams >> _U(bits) << _U(bits)) | np.arange(len(grams), dtype=np.uint64)
         anchors = (repeats.sliding_min(value, WIDTH - GRAM + 1) & _U((1 << bits) - 1)).astype(np.int64)
@@ -58,7 +54,7 @@ class ByteUnits:
         start = valid[begin]
         row = np.searchsorted(bounds, start, "right") - 1
         end = start + count - 1 + WIDTH
-        digest = mix((prefix[end] - prefix[start]) * inverse[start] + count.astype(np.uint64))
+        digest = hashed.hashes(start, end)
         return repeats.Runs(row, start - bounds[row], anchors[start] - start, count, grams[anchors[start]], digest, bounds)
 
     def bounds(self, part: Slice) -> np.ndarray:

@@ -3,7 +3,9 @@
 A byte-level BPE vocabulary without a normaliser splits a text wherever a blank
 (space or line feed) follows another character, so each "blanks + word" chunk has
 the same ids in any text. Chunks are found and hashed for a whole slice at once
-and only new ones go to the tokenizer. Texts with other white space, or with a
+and only new ones go to the tokenizer. A chunk counts as known only if its content
+is: up to 15 bytes and their number are compared themselves, and of longer chunks
+128 bits of BLAKE2. Texts with other white space, or with a
 special token's string, are encoded whole.
 """
 
@@ -12,13 +14,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .words import Slice, segment_hashes, slices
+from .words import Slice, mix, slices
 
 #: Chunks remembered by one Python worker; further ones are encoded again each time.
 MEMORY = 900_000
@@ -50,6 +53,31 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def contents(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers that stand for each ``buf[start:end]``: its bytes and their number up to 15, else its digest with the last byte set."""
+    size = ends - starts
+    eight = np.ndarray(len(buf) + 9, "<u8", np.append(buf, np.zeros(16, np.uint8)), strides=(1,))
+    tail = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+    out = np.empty((2, len(starts)), np.uint64)
+    out[0] = eight[starts] & tail[np.minimum(size, 8)]
+    out[1] = eight[np.minimum(starts + 8, len(buf))] & tail[np.clip(size - 8, 0, 7)]
+    out[1] |= size.astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > 15).tolist():
+        digest = np.frombuffer(blake2b(buf[starts[i] : ends[i]], digest_size=16).digest(), "<u8")
+        out[0, i], out[1, i] = digest[0], digest[1] | np.uint64(0xFF << 56)
+    return out
+
+
+def distinct(content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class number of each column of ``content``, and the first column of each class."""
+    inverse, keys = pd.factorize(mix(content[0] + mix(content[1])))
+    first = np.empty(len(keys), np.int64)
+    first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+    if (content[:, first[inverse]] != content).any():  # two contents under one hash
+        _, first, inverse = np.unique(content, axis=1, return_index=True, return_inverse=True)
+    return inverse.ravel(), first
+
+
 class Encoder:
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +86,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self.feed = np.array(self.encode("\n"), np.int32)
-        self.number: dict[int, int] = {}
+        self.number: dict[tuple[int, int], int] = {}
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int64)
@@ -98,11 +126,11 @@ class Encoder:
         begin[offsets[:-1][offsets[:-1] < len(buf)]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(buf))
-        inverse, keys = pd.factorize(segment_hashes(buf, starts, ends))
-        first = np.empty(len(keys), np.int64)
-        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+        content = contents(buf, starts, ends)
+        inverse, first = distinct(content)
+        keys = list(zip(*content[:, first].tolist(), strict=True))
         get = self.number.get
-        numbers = np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        numbers = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
         kept_used = self.used
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
@@ -118,7 +146,7 @@ class Encoder:
                 ids = [e.ids for e in encoded]
                 numbers[missing[other]] = self._store(np.concatenate([np.array(x, np.int32) for x in ids]), np.array([len(x) for x in ids]))
             if self.used <= self.memory:
-                self.number.update(zip(keys[missing].tolist(), numbers[missing].tolist(), strict=True))
+                self.number.update(zip([keys[i] for i in missing.tolist()], numbers[missing].tolist(), strict=True))
                 kept_used = self.used
         numbers = numbers[inverse]
         lengths = self.length[numbers]

@@ -1,13 +1,14 @@
 """Vectorised word and byte hashing over Arrow string batches.
 
 A slice of documents is one byte buffer; words are found with masks and hashed
-with a polynomial over random byte values modulo 2**64, so no Python object is
-made per word. Words are maximal runs of bytes other than space and 0x09-0x0D.
+eight bytes at a time, so no Python object is made for a word but for very long
+ones. Words are maximal runs of bytes other than space and 0x09-0x0D.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -16,21 +17,70 @@ import pyarrow as pa
 #: Bytes of text handled at a time; a longer single text forms its own slice.
 SLICE_BYTES = 1 << 20
 
+#: Words of more bytes are hashed by BLAKE2.
+LONG = 64
 _U = np.uint64
-_MULTIPLIER = 0xD6E8FEB86659FD93
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUES = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-LOWER_VALUES = BYTE_VALUES.copy()
-LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 WINDOW_VALUES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
+_TAIL = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+#: Ranges are hashed in the field of so many elements: a power of two as modulus would let patterned sequences collide.
+FIELD = 2**61 - 1
+_MULTIPLIER = 0x16E8FEB86659FD93
+_INVERSE = pow(_MULTIPLIER, -1, FIELD)
+_P = _U(FIELD)
 _powers: dict[int, np.ndarray] = {}
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser, so that every bit depends on all bits."""
+    x = x ^ (x >> _U(30))
+    x = x * _U(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> _U(27))
+    x = x * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each ``buf[start:end]``: a chain that mixes after every eight bytes, and for more than LONG bytes BLAKE2."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+    if not len(out):
+        return out
+    eight = np.ndarray(len(buf) + 1, "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        if not len(left):
+            break
+        rest = size[left] - at
+        out[left] = mix(out[left] * _U(0xD6E8FEB86659FD93) ^ (eight[starts[left] + at] & _TAIL[np.minimum(rest, 8)]))
+        left = left[rest > 8]
+    long = np.flatnonzero(size > LONG)
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[i] = int.from_bytes(blake2b(buf[a:b], digest_size=8).digest(), "little")
+    return out
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo FIELD."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo FIELD of numbers below it, by halves of 31 bits."""
+    half = _U(2**31 - 1)
+    ah, al, bh, bl = a >> _U(31), a & half, b >> _U(31), b & half
+    middle = ah * bl + al * bh
+    return reduced(_U(2) * ah * bh + (middle >> _U(30)) + ((middle & _U(2**30 - 1)) << _U(31)) + al * bl)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i < n, kept between calls."""
+    """``base ** i`` modulo FIELD for i < n, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 2 * SLICE_BYTES)
@@ -38,26 +88,24 @@ def powers(base: int, n: int) -> np.ndarray:
         out[0], done = 1, 1
         while done < size:
             step = min(done, size - done)
-            out[done : done + step] = out[:step] * _U(pow(base, done, 1 << 64))
+            out[done : done + step] = multiply(out[:step], np.full(1, pow(base, done, FIELD), np.uint64))
             done += step
         _powers[base] = have = out
     return have[:n]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser, so that every bit depends on all bits."""
-    x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+class Ranges:
+    """Hashes of any ranges of a sequence of hashes or bytes: a polynomial in the field, mixed at the end."""
 
+    def __init__(self, values: np.ndarray):
+        terms = multiply(reduced(values.astype(np.uint64)), powers(_MULTIPLIER, len(values)))
+        high, low = np.cumsum(terms >> _U(31), dtype=np.uint64), np.cumsum(terms & _U(2**31 - 1), dtype=np.uint64)
+        self.prefix = np.zeros(len(values) + 1, np.uint64)
+        self.prefix[1:] = reduced(multiply(reduced(high), np.full(1, 2**31, np.uint64)) + reduced(low))
 
-def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """Hash of each ``buf[start:end]``."""
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * powers(_MULTIPLIER, len(buf)), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * powers(_INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        own = reduced(self.prefix[end] + _P - self.prefix[start])
+        return mix(multiply(own, powers(_INVERSE, len(self.prefix))[start]) + ((end - start).astype(np.uint64) << _U(61)))
 
 
 class Slice(NamedTuple):
@@ -105,21 +153,16 @@ def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
-def words_of(part: Slice, values: np.ndarray = BYTE_VALUES) -> Words:
+def words_of(part: Slice, lower: bool = False) -> Words:
+    """``lower``: A-Z count as a-z."""
     starts, ends = runs_of(~IS_SPACE[part.buf], part.offsets)
-    return Words(segment_hashes(part.buf, starts, ends, values), starts, ends, np.searchsorted(starts, part.offsets))
+    return Words(segment_hashes(LOWER[part.buf] if lower else part.buf, starts, ends), starts, ends, np.searchsorted(starts, part.offsets))
 
 
 def window_sums(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive hashes (rows are not kept apart here)."""
+    """Hash of each run of ``width`` consecutive hashes, at most 64 (rows are not kept apart here)."""
     n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    if width <= 16:
-        out = np.zeros(n, np.uint64)
-        for k in range(width):
-            out += hashes[k : k + n] * WINDOW_VALUES[k]
-        return mix(out)
-    prefix = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_MULTIPLIER, len(hashes)), out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * powers(_INVERSE, len(hashes) + 1)[:n])
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(width if n > 0 else 0):
+        out += hashes[k : k + n] * WINDOW_VALUES[k]
+    return mix(out)

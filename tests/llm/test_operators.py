@@ -563,3 +563,40 @@ def test_common_prefixes(seed):
 def test_crc_of_packed_ids(docs):
     d = packing.pack(docs.where("doc_id = 0"), tokenizer_path(), 0).select("ids", F.crc32("ids").alias("c")).first()
     assert zlib.crc32(d["ids"]) == d["c"]
+
+
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text[:n], text[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_patterned_words_stay_apart(spark, n):
+    """Words whose polynomial hashes modulo a power of two are equal, and near-equal long words."""
+    x, y = thue_morse(n)
+    rng = np.random.default_rng(2)
+    block = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 600))
+    before, after = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    texts = [x, y, f"{before} {x} {after}", f"{before} {y} {after}", block, block[:300] + "!" + block[301:], f" {block}", f"q {block[:-1]} {block}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r["component_id"] for r in ngram_join.similar_components(frame).collect()} == set(range(len(texts))) - {6}  # 6 has the words of 4
+    assert all(r["n_removed"] == 0 for r in substring_dedup.remove_repeats(frame).collect())
+    plain = encoder(tokenizer_path()).tokenizer
+    ids = {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    pieces = {}
+    for r in packing.pack(frame, tokenizer_path(), end_id=0).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    assert {i: b"".join(p for _, p in sorted(v)) for i, v in pieces.items()} == {i: np.array(v + [0], "<u4").tobytes() for i, v in ids.items()}
+
+
+def test_ranges_hash_by_content():
+    from glimmer.llm import words
+
+    values = np.random.default_rng(1).integers(0, 2**64 - 1, 300, dtype=np.uint64)
+    twice = words.Ranges(np.concatenate([values, values[:1], values]))
+    assert (twice.hashes(np.arange(100), np.arange(100) + 90) == twice.hashes(np.arange(100) + 301, np.arange(100) + 391)).all()
+    x, y = (np.frombuffer(t.encode(), np.uint8) for t in thue_morse(2048))
+    own = words.Ranges(np.concatenate([x, y])).hashes(np.array([0, 2048]), np.array([2048, 4096]))
+    assert own[0] != own[1]
