@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
+from . import collocations, decontamination, license_scan, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
 
-MODULES = [ngram_join, quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan, suffix_dedup, substring_dedup]
+MODULES = [ngram_join, quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan, suffix_dedup, substring_dedup, collocations]
 
 
 def queries() -> dict:

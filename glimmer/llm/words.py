@@ -45,10 +45,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``buf[start:end]``: a chain that mixes after every eight bytes, and for more than LONG bytes BLAKE2."""
+def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each ``buf[start:end]``: a chain that mixes after every eight bytes, and for more than LONG bytes BLAKE2.
+
+    ``seed`` (0 to 255) chooses one of several independent hashes.
+    """
     size = ends - starts
-    out = mix(size.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+    out = mix(size.astype(np.uint64) + _U(0x9E3779B97F4A7C15) + _U(seed << 56))
     if not len(out):
         return out
     eight = np.ndarray(len(buf) + 1, "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
@@ -61,7 +64,7 @@ def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         left = left[rest > 8]
     long = np.flatnonzero(size > LONG)
     for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
-        out[i] = int.from_bytes(blake2b(buf[a:b], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(blake2b(buf[a:b], digest_size=8, salt=bytes([seed])).digest(), "little")
     return out
 
 
