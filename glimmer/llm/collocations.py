@@ -31,8 +31,8 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 FILTER_BITS = 1 << 27
 #: Hashes to try, and parts of a language that are ranked on their own first.
 SEEDS, PARTS = 8, 128
-#: Rows that a task holds before it adds them up, and slices of text it looks at.
-HELD, SLICE = 2_000_000, 4 << 20
+#: Rows that a task holds before it adds them up.
+HELD = 800_000
 _U = np.uint64
 _CUT = np.zeros(256, bool)
 _CUT[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -102,7 +102,7 @@ def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
         languages = Languages()
         for batch in batches:
             codes = languages.codes(batch.column("lang"))
-            for part in slices(batch.column("text"), SLICE):
+            for part in slices(batch.column("text")):
                 w, starts, ends, row, _ = piece_words(part, seed)
                 if not len(w):
                     continue
@@ -144,13 +144,13 @@ def phrases(docs: DataFrame, k: int, seed: int, known: DataFrame) -> DataFrame:
         filtered = bits.value
 
         def out(keys, n):
-            for at in range(0, len(n), 200_000):
-                part = slice(at, at + 200_000)
+            for at in range(0, len(n), 100_000):
+                part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([languages.column(keys[0, part]), *(pa.array(x[part].view(np.int64)) for x in keys[1:]), pa.array(n[part])], ["lang", *names, "n"])
 
         for batch in batches:
             codes = languages.codes(batch.column("lang"))
-            for part in slices(batch.column("text"), SLICE):
+            for part in slices(batch.column("text")):
                 w, _, _, row, piece = piece_words(part, seed)
                 count = len(w) - k + 1
                 if count <= 0:
