@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import collocations, decontamination, license_scan, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
+from . import collocations, decontamination, html_extraction, license_scan, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files
 
-MODULES = [ngram_join, quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan, suffix_dedup, substring_dedup, collocations, periodic_runs]
+MODULES = [ngram_join, quality_rules, token_files, quality_classifier, secret_scan, decontamination, packing, license_scan, suffix_dedup, substring_dedup, collocations, periodic_runs, html_extraction]
 
 
 def queries() -> dict:
