@@ -50,7 +50,7 @@ def test_deep_and_long():
 def test_vote_of_the_host(spark):
     """A short article next to a long guest text is found by what the host's other pages have in its place."""
     usual = f'<body><div class="col a1"><p>{LONG}</p><p>{LONG}</p></div><div class="guest"><p>Hm.</p><div class="ad">{LONG}</div></div></body>'
-    odd = f'<body><div class="col a7"><p>Short, and yet the article.</p></div><div class="guest"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div class="ad">{LONG}</div></div></body>'
+    odd = f'<body><div class="col a7"><p>Short, and yet the article.</p><div class="ad">{LONG}</div></div><div class="guest"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>'
     rows = [(i, f"http://u@News.example:80/{i}", usual, "x", "y", "z", "w", 1) for i in range(5)] + [(9, "https://news.example/x", odd, "x", "y", "z", "w", 1), (9, "https://other.example/x", odd, "x", "y", "z", "w", 1)]
     rows += [(10, "news.example/no-scheme", odd, "x", "y", "z", "w", 1), (11, None, usual, None, None, None, None, None), (12, "http://news.example", None, "x", "y", "z", "w", 1), (None, "http://news.example", "", "x", "y", "z", "w", 1)]
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in he.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str)
