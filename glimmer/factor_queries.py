@@ -9,7 +9,7 @@ from . import adapters as v
 from .adapters import FOOT_SQL, MOVIE_SQL, TRACE_SQL
 from .functions.stats import r6
 from .numeric_queries import _SPIKES, _field, _trace_query
-from .operators import graphs, images, linalg, numerics, quality, traces, updates
+from .operators import factors, graphs, images, linalg, numerics, quality, traces, updates
 from .plans import fit as plan
 from .queries import _GRAM_SQL, query
 
@@ -68,7 +68,7 @@ _F0_SQL = f"{MOVIE_SQL}, f0 as (select t, greatest(0, avg(y)) as f from movie gr
 
 
 def _background(spark, sf, rounds):
-    return updates.rank_one_background(images.shifted(v.pixels(spark, sf)), rounds, 0.0)
+    return updates.rank_one_background(images.shifted(v.pixels(spark, sf)), rounds)
 
 
 @query("background_image_step", f"with {_F0_SQL.replace('unnest(embedding)::double as y', 'unnest(embedding)::double - (select min(x) from (select unnest(embedding)::double as x from embeddings)) as y')} select px, round(b, 6) + 0.0 as b from b")
@@ -274,3 +274,65 @@ _trace_query("fit_gaussian", lambda y: numerics.exceedance(y, 8), _FIT)
 def _(spark, sf):
     d = plan.start_seeded(*_field(spark, sf), least_corr=0.1, least_pnr=2.0, level=1.0)
     return d.select("patch", "k", F.size("px").alias("n_pixels"), r6(F.array_max("c")).alias("top"))
+
+
+_SHIFTED = "movie as (select vec_id as px, unnest(range(64)) as t, unnest(embedding)::double - (select min(x) from (select unnest(embedding)::double as x from embeddings)) as y from embeddings)"
+_NMF_SQL = f"""{_SHIFTED}, h as (select t, max(y) filter (px = 0) as h0, max(y) filter (px = 1) as h1 from movie group by t),
+ g as (select sum(h0 * h0) as a, sum(h0 * h1) as b, sum(h1 * h1) as d from h), yh as (select px, sum(y * h0) as p, sum(y * h1) as q from movie join h using (t) group by px),
+ w as (select px, greatest(0, (d * p - b * q) / (a * d - b * b)) as w0, greatest(0, (a * q - b * p) / (a * d - b * b)) as w1 from yh, g)"""
+
+
+def _two_traces(spark, sf):
+    """The movie shifted to zero, and its first two pixels as temporal factors."""
+    px = images.shifted(v.pixels(spark, sf))
+    rows = px.where("px < 2").orderBy("px").select("trace").collect()
+    return px, np.array([r["trace"] for r in rows])
+
+
+@query("nmf_weights_step", f"with {_NMF_SQL} select px, round(w0, 6) + 0.0 as w0, round(w1, 6) + 0.0 as w1 from w")
+def _(spark, sf):
+    px, h = _two_traces(spark, sf)
+    return factors.weight_rows(px, h, False).select("px", r6(F.col("w")[0]).alias("w0"), r6(F.col("w")[1]).alias("w1"))
+
+
+@query("nmf_frames_step", f"""with {_NMF_SQL}, ww as (select sum(w0 * w0) as a, sum(w0 * w1) as b, sum(w1 * w1) as d from w), wy as (select t, sum(w0 * y) as p, sum(w1 * y) as q from movie join w using (px) group by t)
+ select t::int as t, round(greatest(0, (d * p - b * q) / (a * d - b * b)), 6) + 0.0 as h0, round(greatest(0, (a * q - b * p) / (a * d - b * b)), 6) + 0.0 as h1 from wy, ww""")
+def _(spark, sf):
+    px, h = _two_traces(spark, sf)
+    h = factors.nonnegative_factors(px, 2, 1, method="als", start=h)[1]
+    return spark.createDataFrame([(t, float(a), float(b)) for t, (a, b) in enumerate(h.T)], "t int, h0 double, h1 double").select("t", r6(F.col("h0")).alias("h0"), r6(F.col("h1")).alias("h1"))
+
+
+@query("nmf_rank_three", "select vec_id as px, true as optimal from embeddings")
+def _(spark, sf):
+    """Whether each pixel's weights satisfy the optimality conditions of the non-negative fit to the factors found."""
+    px = images.shifted(v.pixels(spark, sf))
+    w, h, _ = factors.nonnegative_factors(px, 3, 10)
+    slope = factors.projections(px, h).withColumnRenamed("w", "b").join(w, "px")
+    g = F.lit((h @ h.T).ravel().tolist())  # nine numbers
+    left = [F.col("b")[i] - sum(F.col("w")[j] * g[3 * i + j] for j in range(3)) for i in range(3)]
+    limit = 1e-6 * float(np.abs(h @ h.T).max())
+    fits = [(F.col("w")[i] >= 0) & (left[i] <= limit) & ((F.col("w")[i] == 0) | (left[i] >= -limit)) for i in range(3)]
+    return slope.select("px", (fits[0] & fits[1] & fits[2]).alias("optimal"))
+
+
+@query("nmf_product", f"with {FOOT_SQL} select distinct px, true as nonnegative from foot join (select distinct vec_id as k from embeddings) using (k)")
+def _(spark, sf):
+    w, _ = factors.product_factors(v.footprints(spark, sf), v.traces(spark, sf), 3, 5)
+    return w.select("px", F.forall("w", lambda x: x >= 0).alias("nonnegative"))
+
+
+@query("background_svd", "select vec_id as px, true as orthogonal from embeddings")
+def _(spark, sf):
+    """Whether what two singular vectors leave of each pixel is orthogonal to them."""
+    px = v.pixels(spark, sf)
+    w, f = factors.background_model(px, "svd", 2)
+    back = factors.background_movie(w, f).withColumnRenamed("trace", "back")
+    rest = px.join(back, "px").select("px", F.zip_with("trace", "back", lambda x, y: x - y).alias("trace"))
+    return factors.projections(rest, f).select("px", F.forall("w", lambda x: F.abs(x) < 1e-8).alias("orthogonal"))
+
+
+@query("background_low_pass")
+def _(spark, sf):
+    w, _ = factors.background_model(v.pixels(spark, sf), "low_pass", 1, rate=0.2, size=6)
+    return w.select("px", F.transform("w", lambda x: F.round(x, 6)).alias("w"))

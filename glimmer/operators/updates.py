@@ -6,6 +6,7 @@ Gram matrix, which is as sparse as their overlaps.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .factors import nonnegative_factors, weight_rows
+from .graphs import merge_groups
 from .linalg import gram, product_ay, weighted_sums
-from .numerics import soft_hals
+from .numerics import map_traces, soft_hals
 
 
 def update_order(overlaps: DataFrame, components: DataFrame, rounds: int = 200) -> DataFrame:
@@ -48,26 +51,78 @@ def corrected(ay: DataFrame, grams: DataFrame, traces: DataFrame) -> DataFrame:
     return d.select("k", F.zip_with("c", "left", lambda x, y: x + y / F.col("norm")).alias("c"))
 
 
-def temporal_hals(foot: DataFrame, pixels: DataFrame, traces: DataFrame, sweeps: int = 1, tol: float = 1e-4, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``k, c``: block coordinate descent on the traces, footprints fixed; stops where a sweep moves C by less than ``tol`` of its norm.
+#: Bytes of a block of components that meet in pixels, from which it is swept step by step over the cluster, and of what one task sweeps on average.
+BLOCK_BYTES, TASK_BYTES = 64 << 20, 8 << 20
 
-    ``shape`` maps least-squares traces (``k, c``) to those that are kept, such as their
-    deconvolution; without it negative samples become zero. A sweep goes through the steps of ``update_order``, the freshest traces first.
+
+def swept(block: pd.DataFrame, sweeps: int, tol: float, shape: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Traces of one block after its sweeps, in the steps of ``update_order``; rows: rank, k, c, ay, near (neighbours), v (their products, the own one included)."""
+    keys = block.k.tolist()
+    at = {k: i for i, k in enumerate(keys)}
+    near = [[(at[j], x) for j, x in zip(js, xs, strict=True) if j in at] for js, xs in zip(block.near, block.v, strict=True)]
+    steps: dict[int, int] = {}
+    for i in sorted(range(len(keys)), key=lambda i: (block["rank"].iloc[i], keys[i])):
+        taken = {steps[j] for j, _ in near[i] if j in steps}
+        steps[i] = next(s for s in range(len(taken) + 1) if s not in taken)
+    c, ay = np.stack(block.c.to_numpy()).astype(float), np.stack(block.ay.to_numpy()).astype(float)
+    for _ in range(sweeps):
+        before = c.copy()
+        for i in sorted(steps, key=lambda i: steps[i]):
+            norm = dict(near[i])[i]
+            c[i] = shape(c[i] + (ay[i] - sum(x * c[j] for j, x in near[i])) / norm)
+        if ((c - before) ** 2).sum() <= tol * tol * (before**2).sum():
+            break
+    return c
+
+
+def temporal_hals(foot: DataFrame, pixels: DataFrame, traces: DataFrame, sweeps: int = 1, tol: float = 1e-4, shape: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``k, c``: block coordinate descent on the traces, footprints fixed.
+
+    Components that meet in pixels, directly or through others, form a block. A block
+    is gathered with its Gram matrix and A'Y and swept in one task; where it is too large for
+    that (BLOCK_BYTES), each step of ``update_order`` is a join over the cluster.
+    A block stops where a sweep moves it by less than ``tol`` of its norm. ``shape`` maps a least-squares trace to the one that is
+    kept, such as its deconvolution; without it negative samples become zero.
     Components without a footprint or on pixels that the movie lacks stay as they are.
     """
-    g = cut(gram(foot.join(pixels.select("px"), "px", "left_semi")))
-    ay = cut(product_ay(foot, pixels))
-    order = update_order(g.where("k1 <> k2"), g.select(F.col("k1").alias("k")))
+    shape = shape or (lambda y: np.maximum(y, 0.0))
+    g = cut(gram(foot.join(pixels.select("px"), "px", "left_semi")).where("v <> 0 or k1 = k2"))
+    blocks = merge_groups(g.where("k1 < k2").select("k1", "k2"))
+    near = g.groupBy("k1").agg(F.collect_list("k2").alias("near"), F.collect_list("v").alias("v"))  # a component's neighbours
+    d = traces.select("k", "c").join(near.withColumnRenamed("k1", "k"), "k").join(product_ay(foot, pixels), "k").join(blocks, "k", "left")
+    d = cut(d.select(F.coalesce("component", "k").alias("block"), "k", F.xxhash64("k").alias("rank"), "c", "ay", "near", "v"))
+    bytes_of = 16 * (F.size("c") + F.size("near"))
+    size = cut(d.groupBy("block").agg(F.sum(bytes_of).alias("bytes")))
+    total, most = size.agg(F.sum("bytes"), F.max("bytes")).first()
+    parts = [traces.select("k", "c").join(d.select("k"), "k", "left_anti")]
+    if total is not None:
+        tasks = max(1, total // TASK_BYTES)
+        small = d if most <= BLOCK_BYTES else d.join(size.where(F.col("bytes") <= BLOCK_BYTES).select("block"), "block", "left_semi")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"k": own.k, "c": list(swept(own, sweeps, tol, shape))}) for _, own in pdf.groupby("block")]
+            return pd.concat(out)[["k", "c"]]
+
+        parts.append(small.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(int(tasks)))).groupBy("task").applyInPandas(run, "k long, c array<double>"))
+        if most > BLOCK_BYTES:
+            large = size.where(F.col("bytes") > BLOCK_BYTES).select("block")
+            parts.append(stepped(d.join(large, "block", "left_semi"), sweeps, tol, shape))
+    return cut(functools.reduce(DataFrame.union, parts))
+
+
+def stepped(d: DataFrame, sweeps: int, tol: float, shape: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The same of blocks that no task holds: ``d`` as gathered there; all that share no pixel are updated at once, by joins."""
+    g = cut(d.select(F.col("k").alias("k1"), F.explode(F.arrays_zip("near", "v")).alias("x")).select("k1", F.col("x.near").alias("k2"), F.col("x.v").alias("v")))
+    ay = d.select("k", "ay")
+    order = update_order(g.where("k1 <> k2"), d.select("k"))
     steps = order.agg(F.max("step")).first()[0]
-    now = cut(traces.select("k", "c"))
+    now = cut(d.select("k", "c"))
     for _ in range(sweeps):
         before = now
         for step in range(0 if steps is None else steps + 1):
-            own = order.where(F.col("step") == step).select("k")
-            rows = g.join(own.select(F.col("k").alias("k1")), "k1", "left_semi")
-            new = corrected(ay, rows, now)
-            new = shape(new) if shape else new.select("k", F.transform("c", lambda x: F.greatest(F.lit(0.0), x)).alias("c"))
-            now = cut(now.join(new.select("k", F.col("c").alias("new")), "k", "left").select("k", F.coalesce("new", "c").alias("c")))
+            rows = g.join(order.where(F.col("step") == step).select(F.col("k").alias("k1")), "k1", "left_semi")
+            new = map_traces(corrected(ay, rows, now), lambda y: {"new": shape(y).tolist()}, "new array<double>")
+            now = cut(now.join(new, "k", "left").select("k", F.coalesce("new", "c").alias("c")))
         moved = now.join(before.select("k", F.col("c").alias("old")), "k").select(F.aggregate(F.zip_with("c", "old", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d"), F.aggregate("old", F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.sum("d"), F.sum("n")).first()
         if moved[0] is None or moved[0] <= tol * tol * (moved[1] or 0.0):
             break
@@ -268,31 +323,16 @@ def _pieces(mask: np.ndarray, corners: bool = True) -> np.ndarray:
         label = new
 
 
-def background_step(pixels: DataFrame, f: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(``px, b``, f): b = max(0, Y f / f f) of every pixel where it lies, then f = max(0, b'Y / b b) as one sum of vectors."""
-    size = float(f @ f)
-    values = F.lit(np.asarray(f, float))  # one value a frame
-    b = pixels.select("px", "trace", F.greatest(F.lit(0.0), F.aggregate(F.zip_with("trace", values, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / (size or 1.0)).alias("b"))
-    b = cut(b)
-    rows = weighted_sums(b.select(F.lit(0).alias("k"), F.col("b").alias("w"), F.col("trace").alias("x"))).collect()  # one vector
-    norm = b.agg(F.sum(F.col("b") * F.col("b"))).first()[0] or 0.0
-    new = np.maximum(0.0, np.array(rows[0]["x"])) / norm if rows and norm else np.zeros(len(f))
-    return b.select("px", "b"), new
-
-
-def rank_one_background(pixels: DataFrame, rounds: int = 20, tol: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
+def rank_one_background(pixels: DataFrame, rounds: int = 20, tol: float = 1e-9) -> tuple[DataFrame, np.ndarray]:
     """(``px, b``, f) of the non-negative rank-one fit of ``pixels``, from the mean frame intensities on.
 
-    Stops where f moves by less than ``tol`` of its norm. An empty movie gives an empty table and no frames.
+    b belongs to the last f but one, which the round began with. An empty movie gives an empty table and no frames.
     """
     start = weighted_sums(pixels.select(F.lit(0).alias("k"), F.lit(1.0).alias("w"), F.col("trace").alias("x"))).collect()
     if not start:
         return pixels.select("px", F.lit(0.0).alias("b")), np.zeros(0)
-    f = np.maximum(0.0, np.array(start[0]["x"]) / pixels.count())
-    for _ in range(rounds):
-        b, new = background_step(pixels, f)
-        moved = np.linalg.norm(new - f) <= tol * max(np.linalg.norm(f), 1e-12)
-        f = new
-        if moved:
-            break
-    return b, f
+    f = np.maximum(0.0, np.array(start[0]["x"]) / pixels.count())[None]
+    if rounds > 1:
+        f = nonnegative_factors(pixels, 1, rounds - 1, tol, start=f)[1]
+    w = weight_rows(pixels, f, True)
+    return w.select("px", F.col("w")[0].alias("b")), nonnegative_factors(pixels, 1, 1, start=f)[1][0]

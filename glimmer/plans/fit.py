@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images, numerics, patches, seeds
 from ..operators.components import residual_movie
+from ..operators.factors import background_movie
 from ..operators.graphs import assignment, correlated_edges, merge_groups, session_distances, thresholded
 from ..operators.updates import rank_one_background, search_locations, temporal_hals, thresholded_footprints, update_spatial
 from .lineage import cut, ranked_by
@@ -97,16 +98,16 @@ def merged(components: DataFrame, options: FitOptions = FitOptions()) -> DataFra
     return tagged.select("k", "members", "px", "w", "c", "component").groupBy("component").applyInPandas(run, "k long, members long, px array<long>, w array<double>, c array<double>")
 
 
-def deconvolved(traces: DataFrame) -> DataFrame:
-    """``k, g, noise, c, s`` of every trace, row by row and without a shuffle."""
+def deconvolved_trace(y: np.ndarray) -> dict:
+    noise = numerics.noise_level(y, how="logmexp")
+    g = numerics.ar1_coefficient(y, noise)
+    c, s, _ = numerics.constrained_ar1(y - min(y.min(), 0.0), g, noise)
+    return {"g": g, "noise": noise, "c": c.tolist(), "s": s.tolist()}
 
-    def one(y: np.ndarray) -> dict:
-        noise = numerics.noise_level(y, how="logmexp")
-        g = numerics.ar1_coefficient(y, noise)
-        c, s, _ = numerics.constrained_ar1(y - min(y.min(), 0.0), g, noise)
-        return {"g": g, "noise": noise, "c": c.tolist(), "s": s.tolist()}
 
-    return numerics.map_traces(traces, one, "g double, noise double, c array<double>, s array<double>")
+def deconvolved(traces: DataFrame) -> DataFrame:
+    """``k, g, noise, c, s`` of every trace, row by row and without a shuffle."""
+    return numerics.map_traces(traces, deconvolved_trace, "g double, noise double, c array<double>, s array<double>")
 
 
 def fit(pixels: DataFrame, rows: int, columns: int, options: FitOptions = FitOptions()) -> DataFrame:
@@ -141,13 +142,13 @@ def refined(pixels: DataFrame, rows: int, columns: int, options: FitOptions = Fi
     found = merged_to_fixpoint(fit_patches(pixels, rows, columns, options), options)
     foot, traces = cut(footprints_of(found)), found.select("k", "c")
     b, f = rank_one_background(residual_movie(foot, traces, px))
-    back = b.select("px", F.transform(F.lit(np.asarray(f, float)), lambda x: x * F.col("b")).alias("trace"))
+    back = background_movie(b.select("px", F.array("b").alias("w")), f[None])
     noise = numerics.map_traces(px, lambda y: {"noise": numerics.noise_level(y)}, "noise double", "px", "trace")
     candidates = search_locations(foot, columns, rows, options.search)
     weights = cut(thresholded_footprints(update_spatial(px.join(noise, "px"), candidates, traces, background=back), columns, median=0))
     left = cut(px.join(back.select("px", F.col("trace").alias("back")), "px").select("px", F.zip_with("trace", "back", lambda x, y: x - y).alias("trace")))
     own = traces.join(weights.select("k").distinct(), "k", "left_semi")
-    raw = temporal_hals(weights, left, own, 1, shape=lambda d: deconvolved(d).select("k", "c"))
+    raw = temporal_hals(weights, left, own, 1, shape=lambda y: np.array(deconvolved_trace(y)["c"]))
     packed = weights.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("px", "w"))).alias("x")).select("k", F.col("x.px").alias("px"), F.col("x.w").alias("w"))
     return packed.join(deconvolved(raw), "k")
 
