@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import adapters as v
 from .adapters import FOOT_SQL, MOVIE_SQL, TRACE_SQL
 from .functions.stats import r6
-from .operators import linalg, numerics, quality, traces
+from .operators import linalg, numerics, quality, spatial, traces
 from .plans import fit as plan
 from .queries import _GRAM_SQL, query
 
@@ -83,15 +83,10 @@ def _spatial(spark, sf, solve):
     """``px, k (array), w (array)``: each pixel on the traces of the components whose footprints hold it, gathered by a join."""
     c = v.traces(spark, sf)
     low = c.agg(F.min(F.array_min("c"))).first()[0]
-    own = v.footprints(spark, sf).select("k", "px").join(c, "k").groupBy("px").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("own"))
-    d = v.pixels(spark, sf).select("px", "trace").join(own, "px", "left").select("px", "trace", F.coalesce("own.k", F.array().cast("array<long>")).alias("k"), F.col("own.c").alias("c"))
-
-    def run(frames):
-        for pdf in frames:
-            pdf["w"] = [solve(np.stack(c) - low, np.asarray(y, float)).tolist() if len(k) else [] for k, c, y in zip(pdf.k, pdf.c, pdf.trace, strict=True)]
-            yield pdf[["px", "k", "w"]]
-
-    return d.mapInPandas(run, "px long, k array<long>, w array<double>").select("px", "k", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
+    px = v.pixels(spark, sf)
+    d = spatial.pixel_weights(px, v.footprints(spark, sf), c, lambda y, c, _: solve(c - low, y))
+    d = px.select("px").join(d, "px", "left").select("px", *(F.coalesce(x, F.array().cast(f"array<{t}>")).alias(x) for x, t in (("k", "long"), ("w", "double"))))
+    return d.select("px", "k", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
 
 
 @query("nnls_spatial")
@@ -140,3 +135,20 @@ def _(spark, sf):
     return d.select("k", "members", F.size("px").alias("n_pixels"), r6(F.col("g")).alias("g"), r6(F.col("noise")).alias("noise"), F.size(F.filter("s", lambda x: x > 0)).alias("n_spikes"))
 
 
+
+
+@query("spatial_at_noise", f"with {FOOT_SQL} select px, count(*)::int as n, true as at_noise from foot join (select vec_id as px from embeddings) using (px) join (select vec_id as k from embeddings) using (k) group by px")
+def _(spark, sf):
+    """The weights of least sum within each pixel's noise; ``at_noise``: the residual is that of the noise, or all it can be."""
+    c = v.traces(spark, sf)
+    low = c.agg(F.min(F.array_min("c"))).first()[0] or 0.0
+    c = c.select("k", F.transform("c", lambda x: x - low).alias("c"))
+    px = v.pixels(spark, sf)
+    px = px.join(numerics.map_traces(px, lambda y: {"noise": numerics.noise_level(y)}, "noise double", "px", "trace"), "px")
+    d = spatial.weights_at_noise(px, v.footprints(spark, sf), c)
+    left = px.join(d, "px").join(linalg.reconstruction(spatial.positive(d), c).withColumnRenamed("trace", "fit"), "px", "left")
+    rest = F.when(F.col("fit").isNull(), F.col("trace")).otherwise(F.zip_with("trace", "fit", lambda x, y: x - y))
+    left = left.select("px", F.size("k").alias("n"), "reached", "w", rest.alias("rest"), (F.col("noise") ** 2 * F.size("trace")).alias("most"))
+    size = F.aggregate("rest", F.lit(0.0), lambda a, x: a + x * x)
+    none = ~F.exists("w", lambda x: x > 0)
+    return left.select("px", "n", F.when(F.col("reached"), F.abs(size - F.col("most")) < 1e-6 * size).otherwise(size > F.col("most")).alias("near"), none.alias("none"), (size <= F.col("most")).alias("less")).select("px", "n", (F.col("near") | F.col("none") & F.col("less")).alias("at_noise"))

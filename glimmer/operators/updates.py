@@ -19,6 +19,7 @@ from .factors import nonnegative_factors, weight_rows
 from .graphs import merge_groups
 from .linalg import gram, product_ay, weighted_sums
 from .numerics import map_traces, soft_hals
+from .spatial import pixel_weights, positive
 
 
 def update_order(overlaps: DataFrame, components: DataFrame, rounds: int = 200) -> DataFrame:
@@ -164,28 +165,15 @@ def ellipse_locations(foot: DataFrame, rows: int, columns: int, least: float = 3
 def update_spatial(pixels: DataFrame, candidates: DataFrame, traces: DataFrame, penalty: float = 0.6745, background: DataFrame | None = None) -> DataFrame:
     """``k, px, w`` > 0: each pixel's non-negative weights on its candidates' traces, soft-thresholded by its noise.
 
-    ``candidates``: k, px; a pixel meets only these traces, gathered by a join.
+    ``candidates``: k, px; a pixel meets only these traces.
     ``pixels`` has ``px, trace, noise``; ``background (px, trace)`` is taken off first.
     The threshold of a trace is ``penalty`` * noise * its norm.
     """
-    own = candidates.select("k", "px").distinct().join(traces.select("k", "c"), "k").groupBy("px").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("own"))
-    d = pixels.select("px", "trace", "noise")
-    if background is not None:
-        d = d.join(background.select("px", F.col("trace").alias("back")), "px", "left")
-        left = F.when(F.col("back").isNull(), F.col("trace")).otherwise(F.zip_with("trace", "back", lambda x, y: x - y))
-        d = d.select("px", left.alias("trace"), "noise")
-    d = d.join(own, "px").select("px", "trace", "noise", F.col("own.k").alias("k"), F.col("own.c").alias("c"))
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for px, y, sn, k, c in zip(pdf.px, pdf.trace, pdf.noise, pdf.k, pdf.c, strict=True):
-                c = np.stack(c)
-                a = soft_hals(c @ np.asarray(y, float), c @ c.T, penalty * sn * np.sqrt((c * c).sum(axis=1)), np.ones(len(c), bool))
-                out += [(int(i), int(px), float(x)) for i, x in zip(k, a, strict=True) if x > 0]
-            yield pd.DataFrame(out, columns=["k", "px", "w"])
-
-    return d.mapInPandas(run, "k long, px long, w double")
+
+    def solve(y, c, noise):
+        return soft_hals(c @ y, c @ c.T, penalty * noise * np.sqrt((c * c).sum(axis=1)), np.ones(len(c), bool))
+
+    return positive(pixel_weights(pixels, candidates, traces, solve, background))
 
 
 def thresholded_footprints(foot: DataFrame, rows: int, energy: float = 0.9999, close: int = 1, median: int = 1, method: str = "energy", share: float = 0.25) -> DataFrame:
@@ -253,18 +241,7 @@ def regressed_footprints(pixels: DataFrame, candidates: DataFrame, traces: DataF
 
     Equal traces share their weight (the solution of least norm).
     """
-    own = candidates.select("k", "px").distinct().join(traces.select("k", "c"), "k").groupBy("px").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("own"))
-    d = pixels.select("px", "trace").join(own, "px").select("px", "trace", F.col("own.k").alias("k"), F.col("own.c").alias("c"))
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for px, y, k, c in zip(pdf.px, pdf.trace, pdf.k, pdf.c, strict=True):
-                w = np.linalg.lstsq(np.stack(c).T, np.asarray(y, float), rcond=None)[0]
-                out += [(int(i), int(px), float(x)) for i, x in zip(k, w, strict=True) if x > 0]
-            yield pd.DataFrame(out, columns=["k", "px", "w"])
-
-    return d.mapInPandas(run, "k long, px long, w double")
+    return positive(pixel_weights(pixels.select("px", "trace"), candidates, traces, lambda y, c, _: np.linalg.lstsq(c.T, y, rcond=None)[0]))
 
 
 def regressed_traces(foot: DataFrame, pixels: DataFrame, rounds: int = 200, tol: float = 1e-10) -> DataFrame:
