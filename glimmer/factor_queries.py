@@ -9,7 +9,7 @@ from . import adapters as v
 from .adapters import FOOT_SQL, MOVIE_SQL, TRACE_SQL
 from .functions.stats import r6
 from .numeric_queries import _SPIKES, _field, _trace_query
-from .operators import factors, graphs, images, linalg, numerics, quality, traces, updates
+from .operators import factors, graphs, images, linalg, numerics, quality, spikes, traces, updates
 from .plans import fit as plan
 from .queries import _GRAM_SQL, query
 
@@ -336,3 +336,22 @@ def _(spark, sf):
 def _(spark, sf):
     w, _ = factors.background_model(v.pixels(spark, sf), "low_pass", 1, rate=0.2, size=6)
     return w.select("px", F.transform("w", lambda x: F.round(x, 6)).alias("w"))
+
+
+@query("oasis_ar2_exact", "select vec_id as k, true as optimal from embeddings")
+def _(spark, sf):
+    """Whether the spikes found by pools satisfy the optimality conditions of the non-negative fit with penalty."""
+    g1, g2, lam = 1.2, -0.35, 0.02
+
+    def one(y: np.ndarray) -> dict:
+        y = y - y.min()
+        c, s = spikes.oasis_ar2(y, g1, g2, lam)
+        pull = np.correlate(np.append(y - c, np.zeros(len(y) - 1)), numerics.ar2_response(g1, g2, len(y)), "valid") - lam
+        return {"optimal": bool((s >= 0).all() and pull.max() < 1e-6 and np.abs(pull[s > 0]).max(initial=0.0) < 1e-6)}
+
+    return numerics.map_traces(v.traces(spark, sf), one, "optimal boolean")
+
+
+_trace_query("oasis_ar2_pools", lambda y: dict(zip(("c", "s"), (x.tolist() for x in spikes.oasis_ar2(y - y.min(), 1.2, -0.35, 0.0, 0.1)), strict=True)), _SPIKES)
+_trace_query("decay_refined", lambda y: {k: x for k, x in spikes.refined_ar1(y, 0.8, 0.05, base=None).items() if k in ("g", "base")}, "g double, base double")
+_trace_query("kernel_refined", lambda y: {k: x for k, x in spikes.refitted_kernel(y - y.min(), 0.8, 0.3, 0.01, 40).items() if k in ("d", "r")}, "d double, r double")

@@ -265,17 +265,25 @@ def deconvolve(y: np.ndarray, kind: str = "ar1", method: str = "foopsi", pars=No
     ``kind``: ar1, ar2 (coefficients), exp2 (poles) or kernel (samples of the response);
     ``method``: foopsi (penalty ``lam``), constrained (the residual is the noise) or
     thresholded (spikes of at least ``smin``; 0 for ar1: as large as the noise allows).
-    Missing parameters and noise are estimated; ``base`` None fits the baseline too.
+    Missing parameters and noise are estimated; ``base`` None fits the baseline too, by
+    turns with the spikes (``settled``: whether it came to rest). Estimated AR(2) parameters whose poles are complex
+    are replaced by their common size, a double real pole (``oscillates``).
     """
-    noise = welch_noise(y) if noise is None else noise
+    noise, oscillates, settled = welch_noise(y) if noise is None else noise, False, True
     if pars is None:
         g = ar_coefficients(y, 1 if kind == "ar1" else 2, noise)
         if kind == "ar1":
             pars = [min(max(float(g[0]), 0.05), 0.98)]
         else:
+            oscillates = g[0] ** 2 + 4 * g[1] < 0
             d, r = decay_and_rise(*g)
             pars = [d + r, -d * r] if kind == "ar2" else [d, r] if kind == "exp2" else two_exponentials(d, r, window)
-    b = float(np.quantile(y, 0.15)) if base is None else base
+    if base is None and not (kind == "ar1" and method == "foopsi"):
+        from .spikes import settled_base
+
+        b, settled = settled_base(y, lambda x: deconvolve(x, kind, method, pars, noise, lam, smin, 0.0, window)["c"])
+    else:
+        b = 0.0 if base is None else base
     if kind == "ar1":
         g = float(pars[0])
         if method == "foopsi":
@@ -294,7 +302,7 @@ def deconvolve(y: np.ndarray, kind: str = "ar1", method: str = "foopsi", pars=No
             c, s = convolution_nnls(y - b, kernel, lam)
             if method == "constrained":
                 c, s = _constrained(y - b, kernel, noise)
-    return {"c": c, "s": s, "base": float(b), "pars": [float(x) for x in pars]}
+    return {"c": c, "s": s, "base": float(b), "pars": [float(x) for x in pars], "settled": settled, "oscillates": bool(oscillates)}
 
 
 def _constrained(y: np.ndarray, kernel: np.ndarray, noise: float, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
