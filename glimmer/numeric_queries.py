@@ -55,7 +55,9 @@ def _trace_query(name: str, f, schema: str):
 
     @query(name)
     def _(spark, sf):
-        d = numerics.map_traces(v.traces(spark, sf), f, schema)
+        # a few hundred operations a sample: one task a core is worth the shuffle of the traces
+        traces_by_task = v.traces(spark, sf).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+        d = numerics.map_traces(traces_by_task, f, schema)
         return d.select("k", *(r6(F.col(c)).alias(c) if t == "double" else F.transform(c, lambda x: F.round(x, 6)).alias(c) if t == "array<double>" else F.col(c) for c, t in rounded))
 
 
