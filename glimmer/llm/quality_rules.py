@@ -19,15 +19,9 @@ from pyspark.sql import functions as F
 from .native import windows, words
 from .shared import materialize, table
 
-#: Candidate thresholds (condition: ratio < t or ratio >= t); they bound the number of cells.
-THRESHOLDS = {
-    "words": [10, 20, 40, 100, 400, 2000],
-    "word_length": [2.5, 3.0, 4.0, 5.0, 6.5, 8.0, 12.0],
-    "symbols": [0.005, 0.02, 0.05, 0.1, 0.2, 0.4],
-    "dup_lines": [0.02, 0.1, 0.2, 0.3, 0.5],
-    "repeats": [0.01, 0.03, 0.06, 0.1, 0.15, 0.2],
-    "distinct": [0.1, 0.2, 0.3, 0.45, 0.6, 0.8],
-}
+#: Percentiles of the labelled rows to keep, and of those to reject, that become candidate thresholds of each ratio (condition: ratio < t
+#: or ratio >= t); they bound the number of cells.
+KEEP_AT, REJECT_AT = (0.01, 0.05, 0.5, 0.95, 0.99), (0.1, 0.25, 0.5, 0.75, 0.9)
 MAX_RULES, MAX_CONDITIONS = 8, 3
 #: A rule's least precision on the pruning part, and its least share of that part's rejects.
 PRECISION, SUPPORT = 0.95, 0.005
@@ -67,23 +61,35 @@ def base_failed() -> Column:
 
 Condition = tuple[str, bool, float]  # ratio, whether >= (else <), threshold
 Cell = tuple[tuple[int, ...], bool, bool, int]  # bins, pruning part, reject, rows
+Thresholds = dict[str, list[float]]
 
 
-def cells(stats: DataFrame, labels: DataFrame) -> list[Cell]:
-    """Counts of labelled rows by bin of each ratio, part and label: the bins bound how many."""
-    bins = [sum((c >= t).cast("int") for t in THRESHOLDS[k]) for k, c in ratios().items()]
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that pass the base rule and have a label ``q``, the least one of their doc_id."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    d = stats.where(~base_failed()).join(known, "doc_id")
-    d = d.groupBy(*(b.alias(f"b{i}") for i, b in enumerate(bins)), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), (F.col("q") == 0).alias("reject")).count()
+    return stats.where(~base_failed()).join(known, "doc_id")
+
+
+def thresholds(known: DataFrame) -> Thresholds:
+    """Of each ratio, its distinct percentiles in either class of the labelled rows; none where there are none."""
+    at = lambda c, test, p: F.percentile_approx(F.when(test, c), F.array(*map(F.lit, p)), F.lit(10_000))
+    row = known.agg(*(F.concat(*(F.coalesce(x, F.array().cast("array<double>")) for x in (at(c, F.col("q") != 0, KEEP_AT), at(c, F.col("q") == 0, REJECT_AT)))).alias(k) for k, c in ratios().items())).first()
+    return {k: sorted(set(row[k])) for k in ratios()}
+
+
+def cells(known: DataFrame, limits: Thresholds) -> list[Cell]:
+    """Counts of labelled rows by bin of each ratio, part and label: the bins bound how many."""
+    bins = [sum(((c >= t).cast("int") for t in limits[k]), F.lit(0)) for k, c in ratios().items()]
+    d = known.groupBy(*(b.alias(f"b{i}") for i, b in enumerate(bins)), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), (F.col("q") == 0).alias("reject")).count()
     return sorted((tuple(r[: len(bins)]), r["prune"], r["reject"], r["count"]) for r in d.collect())
 
 
-def learn(found: list[Cell]) -> list[list[Condition]]:
-    """The ordered rules, each a conjunction of thresholds that rejects."""
-    names = list(THRESHOLDS)
+def learn(found: list[Cell], limits: Thresholds) -> tuple[list[list[Condition]], str]:
+    """The ordered rules, each a conjunction of thresholds that rejects, and what ended learning: nothing left, an imprecise or a rare rule, or MAX_RULES."""
+    names = list(limits)
 
     def holds(bins: tuple[int, ...], c: Condition) -> bool:
-        at = THRESHOLDS[c[0]].index(c[2])
+        at = limits[c[0]].index(c[2])
         return (bins[names.index(c[0])] > at) == c[1]
 
     def score(left: list[Cell], rule: list[Condition]) -> tuple[int, int]:
@@ -103,11 +109,11 @@ def learn(found: list[Cell]) -> list[list[Condition]]:
                 break
             best, best_gain = None, 0.0
             for f, name in enumerate(names):
-                size = len(THRESHOLDS[name]) + 1
+                size = len(limits[name]) + 1
                 pos, neg = [0] * size, [0] * size
                 for bins, _, reject, n in inside:
                     (pos if reject else neg)[bins[f]] += n
-                for at, t in enumerate(THRESHOLDS[name]):
+                for at, t in enumerate(limits[name]):
                     for up in (False, True):
                         p = sum(pos[at + 1 :] if up else pos[: at + 1])
                         n = sum(neg[at + 1 :] if up else neg[: at + 1])
@@ -118,7 +124,7 @@ def learn(found: list[Cell]) -> list[list[Condition]]:
             rule.append(best)
             inside = [x for x in inside if holds(x[0], best)]
         if not rule:
-            break
+            return rules, "nothing left"
 
         def worth(k: int, rule=rule, prune=prune) -> float:
             p, n = score(prune, rule[:k])
@@ -126,11 +132,13 @@ def learn(found: list[Cell]) -> list[list[Condition]]:
 
         rule = rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))]
         p, n = score(prune, rule)
-        if p < max(1, SUPPORT * rejects) or p < PRECISION * (p + n):
-            break
+        if p < PRECISION * (p + n):
+            return rules, "imprecise"
+        if p < max(1, SUPPORT * rejects):
+            return rules, "rare"
         rules.append(rule)
         left = [x for x in left if not all(holds(x[0], c) for c in rule)]
-    return rules
+    return rules, "most rules"
 
 
 def expression(rules: list[list[Condition]]) -> Column:
@@ -146,15 +154,24 @@ def expression(rules: list[list[Condition]]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
+def learned(stats: DataFrame, labels: DataFrame) -> tuple[list[list[Condition]], str]:
+    """Rules from the labelled rows of written ``stats``, and what ended learning."""
+    known = materialize(labelled(stats, labels), "quality-labelled")
+    limits = thresholds(known)
+    return learn(cells(known, limits), limits)
+
+
 def judge(docs: DataFrame, labels: DataFrame, keys: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
-    """``keys`` (with ``doc_id``), STATS, ``base_failed``, ``rule`` (int, null: none) and ``kept`` of every row.
+    """``keys`` (with ``doc_id``), STATS, ``base_failed``, ``rule`` (int, null: none), ``kept`` and ``ended`` (what ended learning) of every row.
 
     ``labels (doc_id, quality)``: 0 is to be rejected; of repeated labels the least
     counts. Without labels, or where no rule is precise, only the base rule rejects.
+    Each row is judged by itself, repeated ones too, over its whole text.
     """
     stats = materialize(statistics(docs, list(keys)), "quality-statistics")
-    rules = learn(cells(stats, labels))
-    return stats.select(*keys, *STATS, base_failed().alias("base_failed"), expression(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    rules, ended = learned(stats, labels)
+    d = stats.select(*keys, *STATS, base_failed().alias("base_failed"), expression(rules).alias("rule"), F.lit(ended).alias("ended"))
+    return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
