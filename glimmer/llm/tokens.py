@@ -24,7 +24,7 @@ import pyarrow as pa
 from .words import Slice, mix, slices
 
 #: Chunks remembered by one Python worker; further ones are encoded again each time.
-MEMORY = 900_000
+MEMORY = 600_000
 _ODD = np.zeros(256, bool)
 _ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ALONE = re.compile(rb"[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
@@ -86,7 +86,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self.feed = np.array(self.encode("\n"), np.int32)
-        self.number: dict[tuple[int, int], int] = {}
+        self.number: dict[int, int] = {}  # by hash of the content, which is compared
+        self.content = np.zeros((2, 1 << 18), np.uint64)
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int64)
@@ -109,7 +110,7 @@ class Encoder:
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.used + n > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
+            self.at, self.length, self.content = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in (self.at, self.length, self.content))
         self.ids[at : at + len(ids)] = ids
         self.at[self.used : self.used + n] = at + np.cumsum(lengths) - lengths
         self.length[self.used : self.used + n] = lengths
@@ -128,9 +129,12 @@ class Encoder:
         ends = np.append(starts[1:], len(buf))
         content = contents(buf, starts, ends)
         inverse, first = distinct(content)
-        keys = list(zip(*content[:, first].tolist(), strict=True))
+        own = content[:, first]
+        keys = mix(own[0] + mix(own[1])).tolist()
         get = self.number.get
         numbers = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        other = (numbers >= 0) & (self.content[:, numbers] != own).any(axis=0)  # another content under the hash
+        numbers[other] = -1
         kept_used = self.used
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
@@ -146,7 +150,8 @@ class Encoder:
                 ids = [e.ids for e in encoded]
                 numbers[missing[other]] = self._store(np.concatenate([np.array(x, np.int32) for x in ids]), np.array([len(x) for x in ids]))
             if self.used <= self.memory:
-                self.number.update(zip([keys[i] for i in missing.tolist()], numbers[missing].tolist(), strict=True))
+                self.content[:, numbers[missing]] = own[:, missing]
+                self.number.update((keys[i], n) for i, n in zip(missing.tolist(), numbers[missing].tolist(), strict=True) if not other[i])
                 kept_used = self.used
         numbers = numbers[inverse]
         lengths = self.length[numbers]

@@ -673,3 +673,19 @@ def test_ordinal_likelihood_and_scores(spark):
             tails = 1 / (1 + np.exp(-x[r["doc_id"]] @ w.astype(float) + t))
             assert np.allclose(r["tails"], tails, atol=1e-5) and abs(r["expected_grade"] - tails.sum()) < 1e-5
     assert quality_classifier.score(d.limit(0), weights, t).count() == 0
+
+
+def test_remembered_chunks_are_compared(monkeypatch):
+    """Ids stay right where all contents share one hash, and in a memory of any size."""
+    import pyarrow as pa
+
+    from glimmer.llm import tokens
+
+    texts = ["one two three two one", "three  two\none", "x" * 40 + " " + "x" * 39 + "y", "", "one"] * 3
+    for memory, same in ((10**6, False), (3, False), (10**6, True)):
+        if same:
+            monkeypatch.setattr(tokens, "mix", lambda x: np.zeros_like(x))
+        own = tokens.Encoder(tokenizer_path(), memory)
+        for _ in range(2):
+            got = [r.flat[a:b].tolist() for part in tokens.slices(pa.array(texts), 64) for r in [own.slice_ids(part)] for a, b in zip(r.bounds[:-1], r.bounds[1:], strict=True)]
+            assert got == [own.encode(t) for t in texts]
