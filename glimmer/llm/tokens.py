@@ -133,8 +133,8 @@ class Encoder:
         keys = mix(own[0] + mix(own[1])).tolist()
         get = self.number.get
         numbers = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        other = (numbers >= 0) & (self.content[:, numbers] != own).any(axis=0)  # another content under the hash
-        numbers[other] = -1
+        strange = (numbers >= 0) & (self.content[:, numbers] != own).any(axis=0)  # another content under the hash
+        numbers[strange] = -1
         kept_used = self.used
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
@@ -151,7 +151,7 @@ class Encoder:
                 numbers[missing[other]] = self._store(np.concatenate([np.array(x, np.int32) for x in ids]), np.array([len(x) for x in ids]))
             if self.used <= self.memory:
                 self.content[:, numbers[missing]] = own[:, missing]
-                self.number.update((keys[i], n) for i, n in zip(missing.tolist(), numbers[missing].tolist(), strict=True) if not other[i])
+                self.number.update((keys[i], n) for i, n in zip(missing.tolist(), numbers[missing].tolist(), strict=True) if not strange[i])
                 kept_used = self.used
         numbers = numbers[inverse]
         lengths = self.length[numbers]
