@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from .functions.stats import r6
 from .numeric_queries import _SPIKES, _field, _trace_query
 from .operators import factors, graphs, images, linalg, numerics, quality, spikes, traces, updates
 from .plans import fit as plan
+from .plans import preprocess
+from .plans.lineage import shared_folder
 from .queries import _GRAM_SQL, query
+from .sources import ingest
 
 _AY_SQL = "ay as (select k, t, sum(w * y) as v from foot join movie using (px) group by k, t), ac as (select k1 as k, t, sum(v * y) as ac from gram join trace on k = k2 group by 1, 2)"
 
@@ -355,3 +360,42 @@ def _(spark, sf):
 _trace_query("oasis_ar2_pools", lambda y: dict(zip(("c", "s"), (x.tolist() for x in spikes.oasis_ar2(y - y.min(), 1.2, -0.35, 0.0, 0.1)), strict=True)), _SPIKES)
 _trace_query("decay_refined", lambda y: {k: x for k, x in spikes.refined_ar1(y, 0.8, 0.05, base=None).items() if k in ("g", "base")}, "g double, base double")
 _trace_query("kernel_refined", lambda y: {k: x for k, x in spikes.refitted_kernel(y - y.min(), 0.8, 0.3, 0.01, 40).items() if k in ("d", "r")}, "d double, r double")
+
+
+_NOISE_SQL = "dft as (select px, f, pow(sum(y * cos(2 * pi() * f * t / 64)), 2) + pow(sum(y * sin(2 * pi() * f * t / 64)), 2) as p from movie, range(17, 33) z(f) group by px, f)"
+_TOP_SQL = "top as (select 0.9 * (pow(2, ceil(log2(max(y)))) - 1) as most from movie)"
+
+
+@query("preprocess", f"with {MOVIE_SQL}, {_NOISE_SQL}, {_TOP_SQL}, sn as (select px, sqrt(avg(p / 64 * case when f = 32 then 0.5 else 1 end)) as sn from dft group by px), sat as (select px, avg(case when y >= most then 1 else 0 end) as share from movie, top group by px) select px, round(sn, 6) + 0.0 as noise, share < 0.005 as unsaturated, 0 as n_missing from sn join sat using (px)")
+def _(spark, sf):
+    d, _ = preprocess.preprocessed(v.pixels(spark, sf))
+    return d.select("px", r6(F.col("noise")).alias("noise"), "unsaturated", "n_missing")
+
+
+@query("common_autoregression", """with movie as (select vec_id as px, unnest(range(64)) as t, unnest(embedding)::double as y from embeddings), m as (select px, avg(y) as m from movie group by px), x as (select px, t, y - m as x from movie join m using (px)),
+ v as (select a.px, l, sum(a.x * b.x) / 64 - case when l = 0 then 0.0001 else 0 end as v from range(8) z(l), x a join x b on a.px = b.px and b.t = a.t + l group by 1, 2),
+ e as (select p.px, p.v as t, a.v as a, b.v as b from v p join v a on a.px = p.px and a.l = p.l - 1 join v b on b.px = p.px and b.l = abs(p.l - 2) where p.l >= 1),
+ s as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * t) as ax, sum(b * t) as bx from e)
+ select round((bb * ax - ab * bx) / (aa * bb - ab * ab), 6) + 0.0 as g1, round((aa * bx - ab * ax) / (aa * bb - ab * ab), 6) + 0.0 as g2 from s""")
+def _(spark, sf):
+    g = preprocess.common_autoregression(v.pixels(spark, sf).select("trace", F.lit(0.01).alias("noise")), 2, 5)
+    return spark.createDataFrame([tuple(g)], "g1 double, g2 double").select(r6(F.col("g1")).alias("g1"), r6(F.col("g2")).alias("g2"))
+
+
+@query("movie_binned", "with movie as (select vec_id as t, unnest(range(64)) as i, unnest(embedding)::double as y from embeddings), b as (select t // 4 as t, i // 8 - 1 as r, i % 8 - 2 as c, avg(y) as y, count(*) as n from movie where i // 8 between 1 and 6 and i % 8 between 2 and 6 group by 1, 2, 3) select t::int as t, (r * 5 + c)::int as i, round(y, 6) + 0.0 as y from b where n = 4")
+def _(spark, sf):
+    """Vectors as frames of 8 x 8 pixels, cropped and binned by four."""
+    frames = v.read(spark, sf, "embeddings").select(F.lit("embeddings").alias("path"), F.col("vec_id").cast("int").alias("t"), F.lit(8).alias("rows"), F.lit(8).alias("columns"), v.doubles("embedding").alias("pixels"))
+    d = ingest.converted(frames, 4, 1, 1, 2, 1)
+    return d.select("t", F.posexplode_outer("pixels").alias("i", "y")).where("i is not null").select("t", "i", r6(F.col("y")).alias("y"))
+
+
+@query("store_appended", "select vec_id::int as t, round(list_min(embedding)::double, 6) + 0.0 as least, (select round(min(list_min(embedding))::double, 6) + 0.0 from embeddings) as running from embeddings")
+def _(spark, sf):
+    """Frames appended to a store in two batches and read back, beside the least value that the store knows from its batches."""
+    frames = v.read(spark, sf, "embeddings").select(F.lit("embeddings").alias("path"), F.col("vec_id").cast("int").alias("t"), F.lit(8).alias("rows"), F.lit(8).alias("columns"), v.doubles("embedding").alias("pixels"))
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    for batch in range(2):
+        ingest.append_frames(frames.where(F.col("t") % 2 == batch), folder, batch)
+    _, least = ingest.running_least(spark, folder)
+    return ingest.stored_frames(spark, folder).select("t", r6(F.array_min("pixels")).alias("least"), r6(F.lit(least)).alias("running"))

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to ``spark.checkpoint.dir``; a temporary folder only in local mode where the session names none."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of ``spark.checkpoint.dir``, or a temporary one only in local mode where the session names none."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glimmer-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
