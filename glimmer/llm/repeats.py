@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, row_count, small_side
+from .shared import discard, materialize, row_count, small_side
 from .words import Slice, slices
 
 KEY = ["doc_id", "tkey"]
@@ -141,10 +141,13 @@ def find(docs: DataFrame, units: Units, keep_first: bool) -> Found:
     alone = small_side(texts.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tkey") == F.col("tkey")) & (F.col("n_units") >= units.width)).select(*KEY), 24)
     runs = scanned.join(alone, KEY, "left_semi")
     again = runs.select(F.explode_outer("names").alias("name")).groupBy("name").count().where("name is not null and count > 1").select("name")
-    again = small_side(materialize(again, "repeat-names"), 16)
+    names = materialize(again, "repeat-names")
+    again = small_side(names, 16)
     runs = runs.select(*KEY, F.explode_outer(F.arrays_zip("names", "digests", "places")).alias("x")).select(*KEY, F.col("x.names").alias("name"), F.col("x.digests").alias("digest"), F.col("x.places").alias("place"))
     hits = runs.join(again, "name")
     hits = materialize(hits if row_count(scanned) == row_count(texts) else hits.distinct(), "repeat-hits")
+    discard(scanned)
+    discard(names)
     equal = hits.groupBy("digest", "name").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "place")).alias("first"))
     equal = materialize(equal, "repeat-equal")
     differ = equal.groupBy("name").count().where("count > 1").select("name")
@@ -155,8 +158,12 @@ def find(docs: DataFrame, units: Units, keep_first: bool) -> Found:
     acts = opened.union(removed.select(*KEY, (F.col("place") * 8 + REMOVE).alias("act"), "name")).groupBy(*KEY).agg(F.collect_list(F.struct("act", "name")).alias("a"))
     acts = acts.select(*KEY, F.col("a.act").alias("acts"), F.filter("a", lambda x: x["act"].bitwiseAND(OPEN) > 0)["name"].alias("names"))
     acts = materialize(acts, "repeat-acts")
+    discard(hits)
+    discard(equal)
     involved = materialize(keyed(docs).join(acts, KEY), "repeat-involved")
-    return Found(texts, involved if row_count(involved) == row_count(acts) else involved.dropDuplicates(KEY))
+    single = row_count(involved) == row_count(acts)
+    discard(acts)
+    return Found(texts, involved if single else involved.dropDuplicates(KEY))
 
 
 def flags(batch: pa.RecordBatch, column: str, part: Slice) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only below this many bytes; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 _rows: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +52,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     n = seen.get.get("n")
     if n is not None:
         _rows[out] = n
+    _paths[out] = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that only tables read which are written themselves by now."""
+    if df in _paths:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_count(df: DataFrame) -> int:
     """Rows of a materialised table, known from its writing."""
     return _rows[df] if df in _rows else df.count()
