@@ -192,15 +192,12 @@ def _(spark, sf):
 
 @query("dff_auto")
 def _(spark, sf):
-    """dF/F with the percentile that each trace's own density puts its mode at."""
-
-    def one(y: np.ndarray) -> dict:
-        level = float(np.median(numerics.percentile_levels(y, len(y), len(y))[1]))
-        base = float(traces.hazen_rows(y[None], level)[0])
-        back = float(traces.hazen_rows((y * 0.5 + 3)[None], level)[0])
-        return {"level": level, "c": ((y - base) / (back + base)).tolist()}
-
-    d = numerics.map_traces(v.traces(spark, sf), one, "level double, c array<double>")
+    """dF/F over the movie's rank-one background, at the percentile that each trace's own density puts its mode at."""
+    foot, px = v.footprints(spark, sf), images.shifted(v.pixels(spark, sf))
+    b, f = updates.rank_one_background(px)
+    back = factors.background_movie(linalg.projected(foot, b).select(F.col("k").alias("px"), F.array("v").alias("w")), f[None])
+    norms = foot.groupBy("k").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"))
+    d = traces.dff_auto(v.traces(spark, sf), norms, back.select(F.col("px").alias("k"), F.col("trace").alias("b")))
     return d.select("k", r6(F.col("level")).alias("level"), F.transform("c", lambda x: F.round(x, 6)).alias("c"))
 
 

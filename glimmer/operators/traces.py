@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import dot, hazen, mean, total
 from .linalg import weighted_sums
-from .numerics import map_traces
+from .numerics import map_traces, percentile_levels
 
 
 def dff_global(traces: DataFrame, norms: DataFrame, background: DataFrame, p: float) -> DataFrame:
@@ -78,6 +78,34 @@ def dff_windowed(traces: DataFrame, norms: DataFrame, background: DataFrame, p:
     return both.mapInPandas(run, "k long, c array<double>")
 
 
+def dff_auto(traces: DataFrame, norms: DataFrame, background: DataFrame, window: int | None = None, shift: int | None = None) -> DataFrame:
+    """``k, level, c, base``: dF/F at the percentile that a trace's own density gives its mode, the median over segments.
+
+    F = |a|^2 c; ``base`` is the percentile of the component's background trace plus that of F. Without ``window``, or with one beyond
+    the trace, there is one segment and one level for all frames; else segments begin every half window, and percentiles are
+    those of ``block_percentiles`` (``shift``: half a window unless given). A base of zero gives null; a constant trace has the level 0.5.
+    """
+    both = traces.where(F.size("c") > 0).join(norms, "k").join(background, "k").select("k", F.transform("c", lambda x: x * F.col("norm2")).alias("f"), "b")
+
+    def one(f: np.ndarray, b: np.ndarray) -> tuple[float, list, list]:
+        if window is None or window > len(f):
+            level = float(np.median(percentile_levels(f, len(f), len(f))[1])) if np.ptp(f) > 0 else 0.5
+            low, back = (np.full(len(f), hazen_rows(x[None], level)[0]) for x in (f, b))
+        else:
+            half = round(window / 2)
+            level = float(np.median(percentile_levels(f, window, half)[1])) if np.ptp(f) > 0 else 0.5
+            low, back = (block_percentiles(x, level, window, shift or half) for x in (f, b))
+        base = low + back
+        return level, [float(x) if d else None for x, d in zip(np.divide(f - low, base, out=np.zeros(len(f)), where=base != 0), base, strict=True)], base.tolist()
+
+    def run(frames):
+        for pdf in frames:
+            rows = [one(np.asarray(f, float), np.asarray(b, float)) for f, b in zip(pdf.f, pdf.b, strict=True)]
+            yield pd.DataFrame({"k": pdf.k, **{name: [r[i] for r in rows] for i, name in enumerate(("level", "c", "base"))}})
+
+    return both.mapInPandas(run, "k long, level double, c array<double>, base array<double>")
+
+
 def extract_dff(traces: DataFrame, ay: DataFrame, gram: DataFrame, base: DataFrame, p: float) -> DataFrame:
     """``k, df, c``: |a|^2 (C - baseline) over the percentile ``df`` of A'Y less what the other components put there.
 
