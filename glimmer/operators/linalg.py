@@ -95,10 +95,14 @@ def binary_edges(foot: DataFrame, least: float) -> DataFrame:
     return d.select("k1", "k2", (F.col("n") / F.sqrt(F.col("s") * F.col("s2"))).alias("overlap")).where(F.col("overlap") > least)
 
 
-def centers(foot: DataFrame, rows: int) -> DataFrame:
-    """Centre of mass, 0-based; pixels are numbered down the columns of ``rows`` rows."""
+def centers(foot: DataFrame, rows: int, columns: int | None = None) -> DataFrame:
+    """Centre of mass, 0-based; pixels are numbered down the columns of ``rows`` rows.
+
+    With ``columns`` the footprints lie in a volume, plane after plane, and ``z`` is the third coordinate.
+    """
     r, c = F.col("px") % rows, F.floor(F.col("px") / rows)
-    return foot.groupBy("k").agg((F.sum(F.col("w") * r) / F.sum("w")).alias("r"), (F.sum(F.col("w") * c) / F.sum("w")).alias("c"))
+    axes = {"r": r, "c": c} if columns is None else {"r": r, "c": c % columns, "z": F.floor(c / columns)}
+    return foot.groupBy("k").agg(*((F.sum(F.col("w") * x) / F.sum("w")).alias(a) for a, x in axes.items()))
 
 
 def sizes(foot: DataFrame, share: float) -> DataFrame:

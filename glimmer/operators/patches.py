@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +27,32 @@ def patch_grid(spark: SparkSession, rows: int, columns: int, size: int, overlap:
     return spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "patch int, r0 int, r1 int, c0 int, c1 int")
 
 
+def patch_boxes(spark: SparkSession, **axes: tuple[int, int, int, int]) -> DataFrame:
+    """``patch`` and first and last place on each axis (``r0, r1, c0, ...``) of patches in a plane or a volume.
+
+    Each axis is given by its length, size, overlap and least size (``r=(128, 32, 6, 16), c=..., z=...``); the first one varies fastest.
+    """
+    spans = [axis_spans(*a) for a in reversed(axes.values())]
+    rows = [(i, *(x for span in reversed(box) for x in span)) for i, box in enumerate(itertools.product(*spans))]
+    return spark.createDataFrame(rows, "patch int, " + ", ".join(f"{a}0 int, {a}1 int" for a in axes))
+
+
+def axes_of(grid: DataFrame) -> list[str]:
+    return [c[:-1] for c in grid.columns if c.endswith("0")]
+
+
 def patch_pixels(grid: DataFrame) -> DataFrame:
-    """``patch, r, c`` of every pixel of every patch, unrolled from the bounds (no range join)."""
-    d = grid.select("patch", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1")
-    return d.select("patch", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    """``patch`` and place on every axis of every pixel of every patch, unrolled from the bounds (no range join)."""
+    for a in axes_of(grid):
+        grid = grid.withColumn(a, F.explode(F.sequence(f"{a}0", f"{a}1"))).drop(f"{a}0", f"{a}1")
+    return grid
 
 
-def coverage_mean(results: DataFrame) -> DataFrame:
-    """``r, c, n, value``: patch results (``patch, r, c, value``) averaged over the patches that hold a pixel."""
-    return results.groupBy("r", "c").agg(F.count("*").alias("n"), F.avg("value").alias("value"))
+def coverage_mean(results: DataFrame, *axes: str) -> DataFrame:
+    """Place, ``n, value``: patch results (``patch``, place, ``value``) averaged over the patches that hold a pixel; axes ``r, c`` unless named."""
+    return results.groupBy(*(axes or ("r", "c"))).agg(F.count("*").alias("n"), F.avg("value").alias("value"))
 
 
 def by_patch(pixels: DataFrame, grid: DataFrame, fit: Callable, schema: str) -> DataFrame:
-    """``fit`` on each patch's pixels (pandas in and out): a patch bounds what one task holds."""
-    return pixels.join(patch_pixels(grid), ["r", "c"]).groupBy("patch").applyInPandas(fit, schema)
+    """``fit`` on each patch's pixels (pandas in and out): a patch, flat or of a volume, bounds what one task holds."""
+    return pixels.join(patch_pixels(grid), axes_of(grid)).groupBy("patch").applyInPandas(fit, schema)

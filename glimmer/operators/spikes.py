@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .numerics import ar2_response, convolution_nnls, oasis_ar1, two_exponentials
+from .numerics import ar2_response, convolution_nnls, nnls_normal, oasis_ar1, two_exponentials
 
 
 def penalised(y: np.ndarray, g: tuple[float, ...], lam: float) -> np.ndarray:
@@ -204,3 +204,85 @@ def settled_base(y: np.ndarray, fit: Callable[[np.ndarray], np.ndarray], rounds:
         slope = min((new - mean) / move, -1e-2)
         base, mean = base + move, new
     return base, abs(mean) <= tol * scale
+
+
+def free_fit(y: np.ndarray, g: tuple[float, ...], lam: float, low: float | None, first: bool, guess: np.ndarray, steps: int = 1000) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """(spikes, baseline, initial value, samples that may hold a spike) of the least squares with penalty ``lam`` on the sum of spikes only.
+
+    ``low``: least baseline, or None for none; ``first``: whether an initial value that decays by the largest pole is fitted; it
+    stands for a spike at the first sample too, which would be the same with a smaller one after it.
+    Samples are added to ``guess`` until the optimality conditions of the whole problem hold.
+    """
+    n = len(y)
+    h = ar2_response(g[0], g[1] if len(g) > 1 else 0.0, n)
+    h[np.abs(h) < 1e-12 * np.abs(h).max()] = 0.0
+    pole = max(abs(x) for x in np.roots([1.0, *(-x for x in g)]))
+    extra = np.stack([x for x in (None if low is None else np.ones(n), pole ** np.arange(n) if first else None) if x is not None] or [np.zeros(n)], axis=1)
+    target = y - (low or 0.0)
+    allowed, s, usable = guess.copy(), np.zeros(n), np.arange(n) >= int(first)
+    for _ in range(steps):
+        allowed &= usable
+        at = np.flatnonzero(allowed)
+        lag = np.arange(n)[:, None] - at
+        a = np.concatenate([np.where(lag >= 0, h[np.clip(lag, 0, n - 1)], 0.0), extra], axis=1)
+        pull = a.T @ target - lam * (np.arange(a.shape[1]) < len(at))
+        # an idle column of zeros takes no part
+        x = nnls_normal(a.T @ a, pull, np.concatenate([s[at], np.ones(extra.shape[1])]))
+        s = np.zeros(n)
+        s[at] = x[: len(at)]
+        more = np.correlate(np.append(target - a @ x, np.zeros(n - 1)), h, "valid") - lam
+        missing = ~allowed & usable & (more > 1e-8 * max(1.0, float(np.abs(pull).max())))
+        if not missing.any():
+            b = x[len(at)] + low if low is not None else 0.0
+            return s, float(b), float(x[-1]) if first else 0.0, allowed
+        allowed |= missing
+    raise RuntimeError("free_fit: the steps ended before the optimum")
+
+
+def constrained_fit(y: np.ndarray, g: tuple[float, ...], noise: float, base: float | None = None, first: float | None = None, low: float | None = None, steps: int = 60, tol: float = 1e-6) -> dict:
+    """``c, s, base, first, lam, settled``: the spikes of least sum whose residual stays within the noise.
+
+    The residual's energy is held to noise^2 times the samples. ``base`` and ``first`` (value of an initial transient that decays
+    by the largest pole) are fitted where None; the baseline is ``low`` or more (least sample unless given). By the dual: the energy
+    rises with the penalty, whose value at the limit is bracketed and found by secants on the bracket. A limit that even no penalty
+    meets gives the least-squares fit, one that no spikes at all meet a fit without spikes (``settled`` false for both). Missing
+    samples (NaN) have no part in the fit and are filled on a line first. An empty trace has empty spikes.
+    """
+    n = len(y)
+    if not n or np.isnan(y).all():
+        return {"c": [0.0] * n, "s": [0.0] * n, "base": base or 0.0, "first": first or 0.0, "lam": 0.0, "settled": False}
+    known = ~np.isnan(y)
+    y = np.interp(np.arange(n), np.flatnonzero(known), y[known])
+    pole = max(abs(x) for x in np.roots([1.0, *(-x for x in g)]))
+    unit = float(y.std()) or 1.0  # tolerances are those of traces of unit spread
+    least_base = None if base is not None else (float(y.min()) if low is None else low) / unit
+    rest, h = (y - (base or 0.0) - (first or 0.0) * pole ** np.arange(n)) / unit, ar2_response(g[0], g[1] if len(g) > 1 else 0.0, n)
+    allowed = np.zeros(n, bool)
+    for t, *_ in ar2_pools(rest - (np.quantile(rest, 0.15) if base is None else 0.0), g[0], g[1] if len(g) > 1 else 0.0):
+        allowed[max(0, t - 1) : t + 2] = True
+
+    def solve(lam: float):
+        nonlocal allowed
+        s, b, c1, allowed = free_fit(rest, g, lam, least_base, first is None, allowed)
+        c = np.convolve(s, h)[:n]
+        return float(((rest - c - b - c1 * pole ** np.arange(n)) ** 2).sum()), s, c, b, c1
+
+    limit, lam, settled = (noise / unit) ** 2 * n, 0.0, False
+    now = solve(0.0)
+    if now[0] < limit:
+        # no spike pays at this penalty
+        high = float(np.correlate(np.append(rest - rest.min(), np.zeros(n - 1)), h, "valid").max()) + 1e-12
+        under, over, last = (0.0, now[0]), (high, solve(high)[0]), 0
+        lam, now = (high, solve(high)) if over[1] <= limit else (lam, now)
+        while over[1] > limit and steps and not settled:
+            steps -= 1
+            # on the root of the energies the curve is nearly straight; every third step halves, so the bracket always shrinks
+            a, b, m = (math.sqrt(x) for x in (under[1], over[1], limit))
+            part = 0.5 if last >= 2 else (m - a) / (b - a)
+            lam = under[0] + min(max(part, 0.01), 0.99) * (over[0] - under[0])
+            now = solve(lam)
+            last = 0 if last >= 2 else last + 1
+            under, over = ((lam, now[0]), over) if now[0] <= limit else (under, (lam, now[0]))
+            settled = abs(now[0] - limit) <= tol * limit
+    _, s, c, b, c1 = now
+    return {"c": (c * unit).tolist(), "s": (s * unit).tolist(), "base": b * unit if base is None else base, "first": c1 * unit if first is None else first, "lam": lam * unit, "settled": settled}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import component_queries, factor_queries, numeric_queries, queries as base  # noqa: F401  they add to the same tables
+from . import component_queries, factor_queries, numeric_queries, queries as base, shape_queries  # noqa: F401  they add to the same tables
 
 
 def queries() -> dict:
