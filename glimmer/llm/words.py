@@ -34,6 +34,8 @@ _MULTIPLIER = 0x16E8FEB86659FD93
 _INVERSE = pow(_MULTIPLIER, -1, FIELD)
 _P = _U(FIELD)
 _powers: dict[int, np.ndarray] = {}
+#: Elements that are hashed at a time.
+BLOCK = 1 << 13
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +73,7 @@ def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
 def reduced(x: np.ndarray) -> np.ndarray:
     """``x`` modulo FIELD."""
     x = (x & _P) + (x >> _U(61))
-    return np.where(x >= _P, x - _P, x)
+    return np.minimum(x, x - _P)  # below FIELD the difference wraps round and is the larger one
 
 
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,17 +100,29 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Ranges:
-    """Hashes of any ranges of a sequence of hashes or bytes: a polynomial in the field, mixed at the end."""
+    """Hashes of any ranges of a sequence of hashes or bytes: a polynomial in the field, mixed at the end.
+
+    Arrays are gone through in blocks, so that what is computed on the way stays in the processor's cache.
+    """
 
     def __init__(self, values: np.ndarray):
-        terms = multiply(reduced(values.astype(np.uint64)), powers(_MULTIPLIER, len(values)))
-        high, low = np.cumsum(terms >> _U(31), dtype=np.uint64), np.cumsum(terms & _U(2**31 - 1), dtype=np.uint64)
-        self.prefix = np.zeros(len(values) + 1, np.uint64)
-        self.prefix[1:] = reduced(multiply(reduced(high), np.full(1, 2**31, np.uint64)) + reduced(low))
+        n, base = len(values), powers(_MULTIPLIER, len(values))
+        self.prefix = np.zeros(n + 1, np.uint64)
+        high, low, shift = _U(0), _U(0), np.full(1, 2**31, np.uint64)
+        for at in range(0, n, BLOCK):
+            part = slice(at, min(at + BLOCK, n))
+            terms = multiply(reduced(values[part].astype(np.uint64)), base[part])
+            highs, lows = high + np.cumsum(terms >> _U(31), dtype=np.uint64), low + np.cumsum(terms & _U(2**31 - 1), dtype=np.uint64)
+            self.prefix[at + 1 : part.stop + 1] = reduced(multiply(reduced(highs), shift) + reduced(lows))
+            high, low = highs[-1], lows[-1]
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        own = reduced(self.prefix[end] + _P - self.prefix[start])
-        return mix(multiply(own, powers(_INVERSE, len(self.prefix))[start]) + ((end - start).astype(np.uint64) << _U(61)))
+        out, inverse = np.empty(len(start), np.uint64), powers(_INVERSE, len(self.prefix))
+        for at in range(0, len(start), BLOCK):
+            a, z = start[at : at + BLOCK], end[at : at + BLOCK]
+            own = reduced(self.prefix[z] + _P - self.prefix[a])
+            out[at : at + BLOCK] = mix(multiply(own, inverse[a]) + ((z - a).astype(np.uint64) << _U(61)))
+        return out
 
 
 class Slice(NamedTuple):
