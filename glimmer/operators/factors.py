@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .images import TILE, tiles
-from .linalg import gram, leading_factors
+from .linalg import leading_factors
 
 #: Sums of tasks are added up in so many groups first.
 FAN_IN = 32
@@ -150,7 +150,7 @@ def product_factors(foot: DataFrame, traces: DataFrame, count: int, rounds: int
 
     What travels are vectors of ``count`` numbers a component or pixel.
     """
-    foot = foot.select("k", "px", F.col("w").cast("double").alias("a"))
+    foot = cut(foot.select("k", "px", F.col("w").cast("double").alias("a")))
     packed = cut(traces.join(foot.select("k").distinct(), "k", "left_semi").select("k", F.col("c").alias("trace")))
     frames = frames_of(packed)
     if not frames:
@@ -174,10 +174,9 @@ def product_factors(foot: DataFrame, traces: DataFrame, count: int, rounds: int
         return added(packed.join(small, "k").select("trace", "m"), lambda batch: matrix(batch.column("m"), batch.num_rows).T @ matrix(batch.column("trace"), batch.num_rows))
 
     def first() -> np.ndarray:
-        pairs = cut(gram(foot.select("k", "px", F.col("a").alias("w"))).select("k1", F.col("k2").alias("k"), F.col("v").alias("a")))
         size = min(count, frames)
         v = np.linalg.qr(np.random.Generator(np.random.PCG64(0)).normal(size=(frames, size)))[0]
-        step = lambda v: back(mixed(pairs.join(projected(v), "k"), v.shape[1], "k1").withColumnRenamed("k1", "k")).T
+        step = lambda v: back(mixed(foot.join(mixed(foot.join(projected(v), "k"), v.shape[1], "px"), "px"), v.shape[1], "k")).T
         for _ in range(8):
             v = np.linalg.qr(step(v))[0]
         values, turn = np.linalg.eigh(v.T @ step(v))
