@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import correlation, dot, mean, total
 from ..plans.lineage import ranked_by
-from .linalg import binary_edges, centers, weighted_sums
+from .linalg import binary_edges, centers, reconstruction
 from .numerics import map_traces
 
 
@@ -108,8 +108,7 @@ def triple_edges(foot: DataFrame, traces: DataFrame, spikes: DataFrame, overlap:
 
 def residual_movie(foot: DataFrame, traces: DataFrame, pixels: DataFrame) -> DataFrame:
     """``px, trace``: packed pixels less the components. Footprints are cut to the movie's pixels before they meet the traces."""
-    own = foot.join(pixels.select("px"), "px", "left_semi")
-    model = weighted_sums(own.join(traces, "k").select(F.col("px").alias("k"), "w", F.col("c").alias("x"))).select(F.col("k").alias("px"), "x")
+    model = reconstruction(foot.join(pixels.select("px"), "px", "left_semi"), traces).select("px", F.col("trace").alias("x"))
     left = F.when(F.col("x").isNull(), F.col("trace")).otherwise(F.zip_with("trace", "x", lambda y, m: y - m))
     return pixels.select("px", "trace").join(model, "px", "left").select("px", left.alias("trace"))
 
