@@ -32,7 +32,7 @@ FILTER_BITS = 1 << 27
 #: Hashes to try, and parts of a language that are ranked on their own first.
 SEEDS, PARTS = 8, 128
 #: Rows that a task holds before it adds them up.
-HELD = 800_000
+HELD = 500_000
 _U = np.uint64
 _CUT = np.zeros(256, bool)
 _CUT[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -65,9 +65,14 @@ def added_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if not len(n):
         return keys, n, n
     order = np.argsort(functools.reduce(lambda h, c: mix(h * _U(0xD6E8FEB86659FD93) + c), keys))
-    keys, n = keys[:, order], n[order]
-    heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-    return keys[:, heads], np.add.reduceat(n, heads), order[heads]
+    new = np.zeros(len(n), bool)
+    new[0] = True
+    for column in keys:  # one at a time: no sorted copy of all
+        column = column[order]
+        new[1:] |= column[1:] != column[:-1]
+    heads = np.flatnonzero(new)
+    first = order[heads]
+    return keys[:, first], np.add.reduceat(n[order], heads), first
 
 
 class Languages:
