@@ -50,14 +50,17 @@ def _(spark, sf):
     return size.join(z, "k", "left").select("k", quality.keep_rule(F.col("size") >= 500, F.col("m") > 0, F.col("z") > 2.2).alias("keep"))
 
 
-def _trace_query(name: str, f, schema: str):
+def _spread_traces(spark, sf):
+    """Traces for some hundred operations a sample: tasks for all cores are worth the shuffle, also where the table is one file of one part."""
+    return v.traces(spark, sf).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+
+
+def _trace_query(name: str, f, schema: str, many: bool = False):
     rounded = [x.split() for x in schema.split(", ")]
 
     @query(name)
     def _(spark, sf):
-        # a few hundred operations a sample: one task a core is worth the shuffle of the traces
-        traces_by_task = v.traces(spark, sf).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
-        d = numerics.map_traces(traces_by_task, f, schema)
+        d = numerics.map_traces(_spread_traces(spark, sf), f, schema, many=many)
         return d.select("k", *(r6(F.col(c)).alias(c) if t == "double" else F.transform(c, lambda x: F.round(x, 6)).alias(c) if t == "array<double>" else F.col(c) for c, t in rounded))
 
 
