@@ -40,7 +40,7 @@ def _(spark, sf):
 @query("frame_exclusion_corr", f"with {_ACTIVE_SQL}, {MOVIE_SQL}, im as (select ex.k, foot.px, avg(y) as m, any_value(w) as w from ex join foot on foot.k = ex.k join movie on movie.px = foot.px and movie.t = ex.t group by 1, 2) select k, count(*) as n, case when stddev_pop(m) * stddev_pop(w) > 0 then round(covar_pop(m, w) / (stddev_pop(m) * stddev_pop(w)), 6) + 0.0 end as rho from im group by k")
 def _(spark, sf):
     foot, frames = _exclusive(spark, sf)
-    return quality.spatial_match(frames, foot, v.movie(spark, sf)).select("k", "n", r6(F.col("rho")).alias("rho"))
+    return quality.spatial_match(frames, foot, v.pixels(spark, sf)).select("k", "n", r6(F.col("rho")).alias("rho"))
 
 
 @query("quality_keep_rule", f"with {FOOT_SQL}, {TRACE_SQL}, s as (select k, count(*) filter (w > 0.2 * top) as size from (select k, w, max(w) over (partition by k) as top from foot) group by k), z as (select k, max(y) / stddev_pop(y) as z, avg(y) as m from trace group by k) select k, coalesce((size >= 500 or m > 0) and z > 2.2, false) as keep from s left join z using (k)")
