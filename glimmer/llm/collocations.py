@@ -5,6 +5,9 @@ words in it are frequent; a phrase that is frequent itself always is, so counts
 nothing. What is known of the pass before goes to the tasks as a bitmap of fixed
 size, FILTER_BITS bits over hashes of the frequent phrases: a false hit costs a row
 that the exact count drops again. Tasks add up what they emit before the shuffle.
+The last pass meets so few phrases that a task holds the sums of any amount of text;
+it runs in a fixed number of tasks a core, as otherwise the rows that it emits would
+be those phrases times the tasks, and both grow with the input.
 
 Words travel as 64-bit hashes. Pass 1 shuffles the words themselves with their
 hashes, so it sees whether two words of a language share one, and then takes the
@@ -31,8 +34,8 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 FILTER_BITS = 1 << 27
 #: Hashes to try, and parts of a language that are ranked on their own first.
 SEEDS, PARTS = 8, 128
-#: Rows that a task holds before it adds them up.
-HELD = 500_000
+#: Rows that a task holds before it adds them up, and tasks a core of the last pass, at most.
+HELD, LAST_TASKS = 500_000, 2
 _U = np.uint64
 _CUT = np.zeros(256, bool)
 _CUT[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -139,9 +142,10 @@ def frequent_filter(level: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def phrases(docs: DataFrame, k: int, seed: int, known: DataFrame) -> DataFrame:
-    """``lang, w1, ..., wk, n`` of the frequent phrases of ``k`` words, ``known`` being those of one word less."""
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_filter(known, k - 1))
+def partial_counts(docs: DataFrame, k: int, seed: int, known: DataFrame) -> DataFrame:
+    """``lang, w1, ..., wk, n`` as the tasks add them up: phrases of ``k`` words with both inner phrases in ``known``, or by a false hit."""
+    context = docs.sparkSession.sparkContext
+    bits = context.broadcast(frequent_filter(known, k - 1))
     names = [f"w{i}" for i in range(1, k + 1)]
 
     def run(batches):
@@ -175,7 +179,16 @@ def phrases(docs: DataFrame, k: int, seed: int, known: DataFrame) -> DataFrame:
         if held:
             yield from out(*added_up(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)))[:2])
 
-    found = by_language(docs).mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long")
+    texts = by_language(docs)
+    if k == LONGEST:
+        texts = texts.coalesce(LAST_TASKS * context.defaultParallelism)
+    return texts.mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long")
+
+
+def phrases(docs: DataFrame, k: int, seed: int, known: DataFrame) -> DataFrame:
+    """``lang, w1, ..., wk, n`` of the frequent phrases of ``k`` words, ``known`` being those of one word less."""
+    names = [f"w{i}" for i in range(1, k + 1)]
+    found = partial_counts(docs, k, seed, known)
     return materialize(found.groupBy("lang", *names).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), f"collocation-level{k}")
 
 

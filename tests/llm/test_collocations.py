@@ -74,3 +74,14 @@ def test_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert collocations.collocations(frame).collect() == []
     assert collocations.collocations(spark.createDataFrame([(None, None)], "lang string, text string")).collect() == []
+
+
+def test_last_pass_emits_no_row_a_phrase_and_partition(spark):
+    """Rows before the shuffle: phrases times twice the cores at most, in however many parts the input comes."""
+    frame = spark.createDataFrame([("x", "a b c d e")] * 80, "lang string, text string").repartition(40)
+    known = [collocations.vocabulary(frame, 0).select("lang", "w1", "n")]
+    for k in (2, 3):
+        known.append(collocations.phrases(frame, k, 0, known[-1]))
+    emitted = collocations.partial_counts(frame, 4, 0, known[-1])
+    assert emitted.count() <= 2 * 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r["n"] for r in emitted.groupBy("w1", "w2", "w3", "w4").agg({"n": "sum"}).toDF("w1", "w2", "w3", "w4", "n").collect()) == [80, 80]
