@@ -162,6 +162,7 @@ def register_sessions(sessions: list[DataFrame], share: float, exponent: float =
     union = cut(sessions[0].select(F.col("k").alias("u"), "k", "px", "w"))
     out = [union.select("u", F.lit(0).alias("session"), "k").distinct()]
     for i, session in enumerate(sessions[1:], 1):
+        session = cut(session)  # read four times
         masks = thresholded(session, share), thresholded(union.select(F.col("u").alias("k"), "px", "w"), share)
         pairs = cut(assignment(session_distances(*masks, exponent, contained, most)))
         last = union.agg(F.max("u")).first()[0]
