@@ -75,6 +75,7 @@ def test_blocks_of_pairs_are_parts(spark, monkeypatch):
     d = quality.exclusive_frames(spark.createDataFrame(own, "k long, t int"), edges)
     assert plan_of(d).count("FlatMapGroupsInArrow") == 1
     assert int(plan_of(d).split("RepartitionByExpression [block", 1)[1].split("], ", 1)[1].split()[0]) > 20
+    assert "RepartitionByExpression [px" in plan_of(d)
     vectors = [{p: w for j, p, w in rows if j == k} for k in range(4)]
     cosine = lambda a, b: sum(w * b.get(p, 0.0) for p, w in a.items()) / np.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
     linked = {(i, j) for i in range(4) for j in range(4) if i != j and cosine(vectors[i], vectors[j]) > 0.2}
