@@ -145,7 +145,7 @@ def refined(pixels: DataFrame, rows: int, columns: int, options: FitOptions = Fi
     back = background_movie(b.select("px", F.array("b").alias("w")), f[None])
     noise = numerics.map_traces(px, lambda y: {"noise": numerics.noise_level(y)}, "noise double", "px", "trace")
     candidates = search_locations(foot, columns, rows, options.search)
-    weights = cut(thresholded_footprints(update_spatial(px.join(noise, "px"), candidates, traces, background=back), columns, median=0))
+    weights = cut(thresholded_footprints(update_spatial(px.join(noise, "px"), candidates, traces, background=back), columns))
     left = cut(px.join(back.select("px", F.col("trace").alias("back")), "px").select("px", F.zip_with("trace", "back", lambda x, y: x - y).alias("trace")))
     own = traces.join(weights.select("k").distinct(), "k", "left_semi")
     raw = temporal_hals(weights, left, own, 1, shape=lambda y: np.array(deconvolved_trace(y)["c"]))
