@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .images import TILE, tiles
-from .linalg import leading_factors
+from .linalg import BLOCK_PIXELS, NORM_BYTES, leading_factors, lists, packed_bytes, sparse_times, unpacked_bytes
 
 #: Sums of tasks are added up in so many groups first.
 FAN_IN = 32
@@ -145,61 +145,151 @@ def nonnegative_factors(rows: DataFrame, count: int, rounds: int = 20, tol: floa
     return weight_rows(rows, h, exact), h, errors
 
 
-def product_factors(foot: DataFrame, traces: DataFrame, count: int, rounds: int = 20, start: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(``px, w``, H): the same fit (als) of the product of ``foot (k, px, w)`` and ``traces (k, c)``, which is never formed.
+class Product:
+    """The product of ``foot (k, px, a)`` and packed traces (``k, trace``), never formed: passes from numbers of components to pixels and back.
 
-    What travels are vectors of ``count`` numbers a component or pixel.
+    Entries are packed once, a compressed string a block of pixels, and stay where they lie; a pass takes the components' numbers to
+    the tasks and brings one row a component and task back. Beyond NORM_BYTES of numbers entries meet them by joins.
     """
-    foot = cut(foot.select("k", "px", F.col("w").cast("double").alias("a")))
-    packed = cut(traces.join(foot.select("k").distinct(), "k", "left_semi").select("k", F.col("c").alias("trace")))
-    frames = frames_of(packed)
-    if not frames:
-        return foot.select("px", F.array().cast("array<double>").alias("w")).limit(0), np.zeros((count, 0))
 
-    def projected(v: np.ndarray) -> DataFrame:
+    def __init__(self, foot: DataFrame, traces: DataFrame, count: int):
+        self.joined = traces.count() * 8 * (count + 1) > NORM_BYTES
+
+        def pack(table: pa.Table) -> pa.Table:
+            k, px, a = (table.column(c).to_numpy() for c in ("k", "px", "a"))
+            order = np.lexsort((k, px))
+            data = packed_bytes(k[order], px[order], a[order])
+            return pa.table({"pixels": [len(np.unique(px))], "size": [24 * len(k) + 24], "data": [data]})
+
+        if self.joined:
+            self.foot = cut(foot)
+            self.pixels = self.foot.select("px").distinct().count()
+            keys = self.foot.select("k")
+        else:
+            block = F.floor(F.col("px") / BLOCK_PIXELS)
+            self.tiles = cut(foot.where("k is not null and px is not null").groupBy(block.alias("block")).applyInArrow(lambda _, d: pack(d.select(["k", "px", "a"])), "pixels long, size long, data binary"))
+            self.pixels = self.tiles.agg(F.sum("pixels")).first()[0] or 0
+            keys = self.sums()
+        self.packed = cut(traces.join(keys.select("k").distinct(), "k", "left_semi"))
+
+    def sums(self) -> DataFrame:
+        """``k, s``: sums of a component's entries, a row a tile."""
+
+        def run(batches):
+            for batch in batches:
+                for n, data in zip(batch.column("size").to_pylist(), batch.column("data"), strict=True):
+                    k, _, a = unpacked_bytes(data.as_py(), n, [np.int64, np.int64, np.float64])
+                    keys, at = np.unique(k, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, a, len(keys)))], ["k", "s"])
+
+        return self.tiles.select("size", "data").mapInArrow(run, "k long, s double")
+
+    def back(self, small: DataFrame) -> np.ndarray:
+        """m'C of ``small (k, m)``."""
+        return added(self.packed.join(small, "k").select("trace", "m"), lambda batch: matrix(batch.column("m"), batch.num_rows).T @ matrix(batch.column("trace"), batch.num_rows))
+
+    def numbers(self, v: np.ndarray) -> DataFrame:
+        """``k, m``: C v."""
+
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(list(matrix(batch.column("trace"), batch.num_rows) @ v), pa.list_(pa.float64()))], ["k", "m"])
 
-        return packed.mapInArrow(run, "k long, m array<double>")
+        return self.packed.mapInArrow(run, "k long, m array<double>")
 
-    def mixed(rows: DataFrame, size: int, key: str) -> DataFrame:
+    def mixed(self, rows: DataFrame, size: int, key: str) -> DataFrame:
         """Sums of a m over ``rows (key, a, m)``, in plain aggregates."""
         d = rows.groupBy(key).agg(*(F.sum(F.col("a") * F.col("m")[i]).alias(f"s{i}") for i in range(size)))
         return d.select(key, F.array(*(f"s{i}" for i in range(size))).alias("m"))
 
-    def back(small: DataFrame) -> np.ndarray:
-        """m'B of ``small (k, m)``."""
-        return added(packed.join(small, "k").select("trace", "m"), lambda batch: matrix(batch.column("m"), batch.num_rows).T @ matrix(batch.column("trace"), batch.num_rows))
+    def images(self, v: np.ndarray, positive: bool) -> tuple:
+        """(``px, w``: A C v, negative ones set to zero if ``positive``; what a tile needs for them)."""
+        own, size = self.numbers(v), v.shape[1]
+        if self.joined:
+            w = self.mixed(self.foot.join(own, "k"), size, "px")
+            return w.select("px", (F.transform("m", lambda x: F.greatest(x, F.lit(0.0))) if positive else F.col("m")).alias("w")), None
+        table = own.toArrow().sort_by("k")  # some numbers a component
+        ids, m = table.column("k").to_numpy(), matrix(table.column("m"), table.num_rows)
+
+        def tile(size: int, data: bytes) -> tuple:
+            k, px, a = unpacked_bytes(data, size, [np.int64, np.int64, np.float64])
+            place = np.minimum(np.searchsorted(ids, k), len(ids) - 1)
+            known = ids[place] == k
+            cells, row = np.unique(px[known], return_inverse=True)
+            w = sparse_times(row, len(cells), place[known], a[known], m)
+            return place[known], row, a[known], cells, np.maximum(w, 0.0) if positive else w
+
+        def run(batches):
+            for batch in batches:
+                for size, data in zip(batch.column("size").to_pylist(), batch.column("data"), strict=True):
+                    _, _, _, cells, w = tile(size, data.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), lists(w)], ["px", "w"])
+
+        return self.tiles.select("size", "data").mapInArrow(run, "px long, w array<double>"), (ids, tile)
+
+    def turned(self, v: np.ndarray, positive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(W'A C, W'W, squared norms of the positive and the negative parts of W) of the images W."""
+        w, small = self.images(v, positive)
+        size = v.shape[1]
+        if self.joined:
+            w = cut(w)
+            squares = added(w.select("w"), lambda batch: (lambda x: np.vstack([x.T @ x, (np.maximum(x, 0.0) ** 2).sum(axis=0), (np.maximum(-x, 0.0) ** 2).sum(axis=0)]))(matrix(batch.column("w"), batch.num_rows)))
+            return self.back(self.mixed(self.foot.join(w.withColumnRenamed("w", "m"), "px"), size, "k")), squares[:size], squares[size:]
+        ids, tile = small
+
+        def run(batches):
+            sums, squares, met = np.zeros((len(ids), size)), np.zeros((size + 2, size)), np.zeros(len(ids), bool)
+            for batch in batches:
+                for n, data in zip(batch.column("size").to_pylist(), batch.column("data"), strict=True):
+                    place, row, a, _, w = tile(n, data.as_py())
+                    keys, at = np.unique(place, return_inverse=True)
+                    sums[keys] += sparse_times(at, len(keys), row, a, w)
+                    met[keys] = True
+                    squares += np.vstack([w.T @ w, (np.maximum(w, 0.0) ** 2).sum(axis=0), (np.maximum(-w, 0.0) ** 2).sum(axis=0)])
+            of = np.append(np.zeros(met.sum(), np.int32), np.ones(len(squares), np.int32))
+            x = np.vstack([sums[met], squares])
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.append(ids[met], np.arange(len(squares)))), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(size))], ["of", "k", *(f"s{i}" for i in range(size))])
+
+        d = self.tiles.select("size", "data").mapInArrow(run, "of int, k long, " + ", ".join(f"s{i} double" for i in range(size)))
+        d = cut(d.groupBy("of", "k").agg(F.array(*(F.sum(f"s{i}") for i in range(size))).alias("m")))
+        squares = np.stack([r["m"] for r in d.where("of = 1").orderBy("k").collect()])
+        return self.back(d.where("of = 0").select("k", "m")), squares[:size], squares[size:]
+
+    def total(self) -> float:
+        """Sum over the whole product."""
+        d = self.foot.select("k", F.col("a").alias("s")) if self.joined else self.sums()
+        return float(self.back(d.groupBy("k").agg(F.array(F.sum("s")).alias("m"))).sum())
+
+
+def product_factors(foot: DataFrame, traces: DataFrame, count: int, rounds: int = 20, start: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(``px, w``, H): the same fit (als) of the product of ``foot (k, px, w)`` and ``traces (k, c)``, which is never formed.
+
+    What travels are vectors of ``count`` numbers a component or pixel.
+    """
+    foot = foot.select(F.col("k").cast("long"), F.col("px").cast("long"), F.col("w").cast("double").alias("a"))
+    product = Product(foot, traces.select(F.col("k").cast("long"), F.col("c").alias("trace")), count)
+    frames = frames_of(product.packed)
+    if not frames:
+        return foot.select("px", F.array().cast("array<double>").alias("w")).limit(0), np.zeros((count, 0))
 
     def first() -> np.ndarray:
-        size = min(count, frames)
-        v = np.linalg.qr(np.random.Generator(np.random.PCG64(0)).normal(size=(frames, size)))[0]
-        step = lambda v: back(mixed(foot.join(mixed(foot.join(projected(v), "k"), v.shape[1], "px"), "px"), v.shape[1], "k")).T
+        v = np.linalg.qr(np.random.Generator(np.random.PCG64(0)).normal(size=(frames, min(count, frames))))[0]
         for _ in range(8):
-            v = np.linalg.qr(step(v))[0]
-        values, turn = np.linalg.eigh(v.T @ step(v))
+            v = np.linalg.qr(product.turned(v)[0].T)[0]
+        values, turn = np.linalg.eigh(v.T @ product.turned(v)[0].T)
         v, s = v @ turn[:, ::-1], np.sqrt(np.maximum(values[::-1], 0.0))
-        image = mixed(foot.join(projected(v), "k"), size, "px")
-        u = image.agg(*(F.sum(F.pow(F.greatest(sign * F.col("m")[i], F.lit(0.0)), F.lit(2.0))) for sign in (1, -1) for i in range(size))).first()
-        scale = np.maximum(s, 1e-300) ** 2
-        pixels = foot.select("px").distinct().count()
-        mean = float(back(foot.groupBy("k").agg(F.array(F.sum("a")).alias("m"))).sum()) / (pixels * frames)
-        return signed_start(v, s, np.array(u[:size]) / scale, np.array(u[size:]) / scale, mean)
+        energy = product.turned(v)[2] / np.maximum(s, 1e-300) ** 2
+        return signed_start(v, s, *energy, product.total() / (product.pixels * frames))
 
     h = first() if start is None else np.asarray(start, float)
-    def fitted(h: np.ndarray) -> DataFrame:
-        w = mixed(foot.join(projected(h.T @ np.linalg.pinv(h @ h.T)), "k"), len(h), "px")
-        return w.select("px", F.transform("m", lambda x: F.greatest(x, F.lit(0.0))).alias("m"))
-
-    w = None
+    weights_of = lambda h: h.T @ np.linalg.pinv(h @ h.T)
+    v = weights_of(h)
     for _ in range(rounds):
-        w = cut(fitted(h))
-        ww = added(w.select("m"), lambda batch: (lambda x: x.T @ x)(matrix(batch.column("m"), batch.num_rows)))
-        wb = back(mixed(foot.join(w, "px"), len(h), "k"))
+        v = weights_of(h)
+        wb, ww, _ = product.turned(v, positive=True)
         h = np.maximum(np.linalg.pinv(ww) @ wb, 0.0)
-    return (fitted(h) if w is None else w).withColumnRenamed("m", "w"), h
+    return product.images(v, True)[0], h
 
 
 def splines(frames: int, knots: int) -> np.ndarray:
